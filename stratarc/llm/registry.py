@@ -9,14 +9,14 @@ QUERIES = {
     "op1_mixing": ("stratarc.llm.mixing", "op1_mixing"),
     "op2_token_binary": ("stratarc.llm.token_binary", "op2_token_binary"),
     "op3_chat_format": ("stratarc.llm.chat", "op3_chat_format"),
-    #     "op4_secret_scan": ("stratarc.llm.secrets_scan", "op4_secret_scan"),
+    "op4_secret_scan": ("stratarc.llm.secrets_scan", "op4_secret_scan"),
     "op5_exact_dedup": ("stratarc.llm.exact_dedup", "op5_exact_dedup"),
     "op6_lm_scoring": ("stratarc.llm.lm_scoring", "op6_lm_scoring"),
-    #     "op7_quality": ("stratarc.llm.quality", "op7_quality"),
+    "op7_quality": ("stratarc.llm.quality", "op7_quality"),
     "op8_minhash": ("stratarc.llm.minhash", "op8_minhash"),
-    #     "op9_topk": ("stratarc.llm.topk", "op9_topk"),
+    "op9_topk": ("stratarc.llm.topk", "op9_topk"),
     "op10_packing": ("stratarc.llm.packing", "op10_packing"),
-    #     "pipeline": ("corpus_pipeline", "run"),
+    "pipeline": ("corpus_pipeline", "run"),
 }
 
 _SIZES = r"""
@@ -81,4 +81,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    pipeline = import_module("corpus_pipeline").ORACLE_SQL
+    return dict(ORACLES) | ({"pipeline": pipeline} if pipeline else {})

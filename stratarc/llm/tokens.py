@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from stratarc.llm.common import split_words
 
-CACHE = 1_200_000
+CACHE = 700_000
 _PUNCTUATION = string.punctuation.encode()
 
 

@@ -17,6 +17,10 @@ from stratarc.operators.ordered import running
 from stratarc.operators.scratch import written
 
 
+#: Entry of a segment in which no block starts.
+NONE = 1 << 62
+
+
 def greedy(lengths: list[int], size: int) -> list[int]:
     """Block numbers by one scan; what pack_blocks gives, for small inputs."""
     out, block, used = [], 0, 0
@@ -71,6 +75,8 @@ def pack_blocks(chunks: DataFrame, size: int, segment_blocks: int = 256) -> Data
             seg, goes, n = known[group, at]
             entries.append((group, seg, at, number))
             at, number = goes, number + n
+            # segments that the last block passes over, or ends in, start none
+            entries += [(group, s, NONE, number) for s in range(seg + 1, goes // span + ((group, goes) not in known))]
     entry = placed.sparkSession.createDataFrame(entries, "store_group boolean, segment long, entry long, number long")
 
     def name(rows: pd.DataFrame) -> pd.DataFrame:

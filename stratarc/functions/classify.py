@@ -71,18 +71,19 @@ def looks_incompressible(sample: pa.Array) -> pa.Array:
     return pa.array([x is not None and len(x) >= 512 and len(fast.compress(x)) * 100 >= len(x) * 97 for x in data], pa.bool_())
 
 
-def by_rules(path: Column, sample: Column) -> Column:
-    """Class from cheap rules; null where only the probe can tell."""
+def by_rules(path: Column, sample: Column, machine: Column | None = None) -> Column:
+    """Class from cheap rules; null where only the probe can tell. machine: exec_transform(sample), if there already."""
     ext = extension(path)
-    return F.when(exec_transform(sample).isNotNull(), 1).when(ext.isin(*STORE_EXTENSIONS, OWN_EXTENSION) | has_compressed_magic(sample), 2).when(ext.isin(*TEXT_EXTENSIONS), 0)
+    machine = exec_transform(sample) if machine is None else machine
+    return F.when(machine.isNotNull(), 1).when(ext.isin(*STORE_EXTENSIONS, OWN_EXTENSION) | has_compressed_magic(sample), 2).when(ext.isin(*TEXT_EXTENSIONS), 0)
 
 
 def classified(files: DataFrame, use_filters: bool = True) -> DataFrame:
     """files with class and transform. Only files that no rule settles reach the probe, which is Python."""
     sample = F.substring(F.col("content"), 1, SAMPLE)
-    ruled = files.withColumn("class", by_rules(F.col("path"), sample))
+    ruled = files.withColumn("cl_machine", exec_transform(sample)).withColumn("class", by_rules(F.col("path"), sample, F.col("cl_machine")))
     settled = ruled.where("class IS NOT NULL")
     open_ = ruled.where("class IS NULL").withColumn("class", F.when(looks_incompressible(sample), 2).otherwise(0))
     every = settled.unionByName(open_)
-    transform = F.when(F.col("class") == 1, exec_transform(sample)).otherwise(0) if use_filters else F.lit(0)
-    return every.withColumns({"class": F.col("class").cast("short"), "transform": transform.cast("short")})
+    transform = F.when(F.col("class") == 1, F.col("cl_machine")).otherwise(0) if use_filters else F.lit(0)
+    return every.withColumns({"class": F.col("class").cast("short"), "transform": transform.cast("short")}).drop("cl_machine")

@@ -92,8 +92,8 @@ def _shapes(unique: pa.Array) -> np.ndarray:
     out = np.empty(len(unique), np.int64)
     known: dict[tuple, int] = {}
     for i, w in enumerate(unique.to_pylist()):
-        tail = w[-1]
-        kind = (w.isupper(), w[0].isupper(), w.isalpha(), w.isdigit(), len(w) < 4, "" if tail.isalpha() else tail, "" if len(w) < 3 or w[-3].isalpha() or w[-3] != tail else "3")
+        tail = w[-1:]  # the dictionary may hold the empty string, which no code refers to
+        kind = (w.isupper(), w[:1].isupper(), w.isalpha(), w.isdigit(), len(w) < 4, "" if tail.isalpha() else tail, "" if len(w) < 3 or w[-3].isalpha() or w[-3] != tail else "3")
         if kind not in known:
             known[kind] = zlib.crc32(repr(kind).encode()) % SHAPES
         out[i] = known[kind]

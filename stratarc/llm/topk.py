@@ -116,9 +116,11 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 class Tree:
     def __init__(self, dim: int, row: dict) -> None:
-        self.ids, self.vectors = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(self.ids), dim)
         self.lows, self.highs, self.left = (np.frombuffer(row[n], "<i8") for n in ("lows", "highs", "left"))
-        self.centers, self.radii = np.frombuffer(row["centers"], "<f8").reshape(-1, dim), np.frombuffer(row["radii"], "<f8")
+        self.radii = np.frombuffer(row["radii"], "<f8")
+        self.centers = np.frombuffer(row["centers"], "<f8").reshape(len(self.radii), dim)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds [queries, nodes] of inner products."""
@@ -174,7 +176,7 @@ def _search(pairs: DataFrame, k: int, only_first: bool) -> DataFrame:
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 tree = Tree(row["dim"], row)
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
-                queries = np.frombuffer(row["q_vectors"], "<f8").reshape(-1, row["dim"])
+                queries = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), row["dim"])
                 least = np.frombuffer(row["least"], "<f8") if row.get("least") else np.full(len(q_ids), -np.inf)
                 found = tree.search(q_ids, queries, k, least, only_first)
                 n = [len(x) for x, _ in found]

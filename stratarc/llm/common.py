@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratarc-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Most rows and bytes that go to a Python worker at once; whole texts and blocks are long rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds for the jobs run inside; the session's own settings come back after them."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,3 +117,46 @@ def id_hash(col: Column) -> Column:
 def bucket_bits(rows: int) -> int:
     """Bits of bucket number so that buckets and rows per bucket both grow with the root of the rows."""
     return max(0, min(24, (max(rows, 1).bit_length() + 1) // 2 - 1))
+
+
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """An integer array as compressed byte planes; rising: of differences, for sorted values."""
+    import zstandard
+
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueeze(data: bytes, dtype, rising: bool = False) -> np.ndarray:
+    import zstandard
+
+    dtype = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(dtype.itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if rising else values
+
+
+_trimmed = False
+
+
+def frugal() -> None:
+    """Have this worker give large buffers back to the system as soon as they are free.
+
+    Workers are kept for many tasks, and by default both Arrow's pool and malloc keep what one task needed at its peak.
+    """
+    global _trimmed
+    if _trimmed:
+        return
+    _trimmed = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        import ctypes
+
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except (OSError, AttributeError):  # another C library: nothing to set
+        pass

@@ -9,9 +9,11 @@ similarity 0.85 misses all 121 tables with probability 6e-5.
    there, and only that one goes on to the key's shard, where the same is done across blocks. So a bucket of any size
    gives one candidate link per member and no task sees more than one row per block of a hot bucket.
 3. Each document's most frequent candidate is verified on the full sets; verified links form components.
-4. Buckets that still hold several components are joined with themselves: every pair of documents of different components
-   there whose sizes and sketches allow the similarity is verified too, without a cap, and components are formed anew.
-   Pairs inside a component need no check: they can't change the result.
+4. In buckets that still hold several components, shingles that no other document there has are counted. They bound every similarity
+   from above: sets that differ in their own shingles alone may already be too unlike. Each document is verified with the least
+   peculiar member of its buckets, which near copies of one text mostly link to, and components are formed anew.
+5. Then every pair of different components in a common bucket that this bound and the sketches allow is verified, without a cap, and
+   named in the first table that it shares. Pairs inside a component need no check: they can't change the result.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles are five words; a text with fewer words is one shingle.
 Null and empty texts have no shingles and link with nothing. Null doc_ids are never linked (component null, kept). Rows that
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import hash_words, mix64, split_words, written
+from stratarc.llm.common import frugal, hash_words, mix64, split_words, written
 from stratarc.llm.components import components
 from stratarc.llm.tokens import text_slices
 
 WORDS = 5
 ROWS = 3
-BLOCK = 16_384
+BLOCK = 6_144
 #: Rows up to which a set of ids is broadcast (8 bytes each); beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -170,6 +172,7 @@ def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), none, none, none, pa.array([(flat[x] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for _, x in rows], pa.binary()), pa.array([owner[x].astype("<i8").tobytes() for _, x in rows], pa.binary())], schema=_EDGE)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         ids, sigs, n = [], [], 0
         for batch in batches:
             ids.append(batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64))
@@ -182,6 +185,7 @@ def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
             yield from of_block(np.concatenate(ids), np.concatenate(sigs))
 
     def merged(table: pa.Table) -> pa.Table:
+        frugal()
         keys = np.frombuffer(b"".join(x for x in table.column("keys").to_pylist() if x is not None), "<u4")
         ids = np.frombuffer(b"".join(x for x in table.column("ids").to_pylist() if x is not None), "<i8")
         _, _, a, b = _stars(keys, ids)
@@ -194,10 +198,9 @@ def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
     return local.where("shard < 0").select("a", "b", "n").unionByName(across)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of representatives with 100 * |intersection| >= percent * |union| on full sets."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    needed = written(reps.select("rep", "set_key").join(ends, "rep", "left_semi"), "minhash-needed")
+def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles): the whole sets of the given representatives, from their texts."""
+    needed = written(reps.select("rep", "set_key").join(ids, "rep", "left_semi"), "minhash-needed")
     small = needed.count() <= BROADCAST_ROWS
     keys = needed.select(F.col("rep").alias("doc_id"))
     some = docs.join(F.broadcast(keys) if small else keys, "doc_id", "left_semi")
@@ -210,9 +213,15 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -
 
     sets = some.mapInArrow(full, "rep long, set_key binary, shingles binary")
     # an id whose rows differ in text has several sets; the representative's is the one meant
-    sets = written(sets.join(F.broadcast(needed) if small else needed, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"), "minhash-sets")
+    return written(sets.join(F.broadcast(needed) if small else needed, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"), "minhash-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of representatives with 100 * |intersection| >= percent * |union| on full sets."""
+    sets = full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), reps)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -229,38 +238,112 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(reps: DataFrame, labels: DataFrame, cross: DataFrame, m: int, percent: int) -> DataFrame:
-    """Pairs of different components within one bucket that sizes and sketches allow to be similar."""
-    count, p = 2 * m * ROWS, percent / 100
-    least = max(0, int(count * p - 5.3 * (count * p * (1 - p)) ** 0.5))
-    touched = cross.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
-    members = labels.join(touched, "component", "left_semi")
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): how many of a set's shingles no other of the sets has."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, count)
-            keys = table_keys(sig, m).view(np.int64).reshape(-1)
-            who = pa.array(np.repeat(np.arange(batch.num_rows), m * m))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("rep").take(who), batch.column("component").take(who)], names=["key", "rep", "component"])
-
-    rows = reps.select("rep", "n_shingles", "sig").join(members, "rep")
-    keys = written(rows.select("rep", "component", "sig").mapInArrow(keyed, "key long, rep long, component long"), "minhash-keys")
-    mixed = written(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
-    inside = written(keys.join(mixed, "key", "left_semi"), "minhash-inside")
-    x = inside.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    y = inside.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    facts = written(rows.select("rep", "n_shingles", "sig"), "minhash-facts")
-    pairs = written(x.join(y, "key").where("ca < cb").select("a", "b").distinct(), "minhash-pairs")
-    one = facts.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    two = facts.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, count) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= least))
-
-    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return sized.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                data = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+                who = pa.array(np.repeat(np.arange(len(data)), [len(d) for d in data]))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(who), pa.array(np.concatenate(data))], names=["rep", "shingle"])
+
+    rows = sets.mapInArrow(each, "rep long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return written(once.groupBy("rep").agg(F.count("*").alias("own")), "minhash-own")
+
+
+def _possible(percent: int) -> str:
+    """Whether sizes and own shingles of a and b leave room for the similarity.
+
+    The sets differ in at least their own shingles and the difference of the rest; with sizes adding up to s and a difference
+    of d the similarity is (s - d) / (s + d).
+    """
+    return f"(oa + ob + abs((na - oa) - (nb - ob))) * {100 + percent} <= (na + nb) * {100 - percent}"
+
+
+class _Mixed:
+    """Buckets that hold several components, and what has to be known of their members."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, labels: DataFrame, cross: DataFrame, m: int, percent: int) -> None:
+        self.docs, self.reps, self.m, self.percent = docs, reps, m, percent
+        count = 2 * m * ROWS
+        touched = cross.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
+        members = written(labels.join(touched, "component", "left_semi").select("rep", "component"), "minhash-members")
+        own = _own_shingles(full_sets(docs, members.select("rep"), reps))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frugal()
+            for batch in batches:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, count)
+                who = pa.array(np.repeat(np.arange(batch.num_rows), m * m))
+                place = np.tile(np.arange(m * m, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(table_keys(sig, m).view(np.int64).reshape(-1)), pa.array(place), batch.column("rep").take(who), batch.column("component").take(who)], names=["key", "place", "rep", "component"])
+
+        def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, 2, m, ROWS).astype(np.uint64)
+                h = mix64(sig[..., 0] + mix64(sig[..., 1] + mix64(sig[..., 2]))).view(np.int64)
+                lists = [pa.array(list(h[:, k]), pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["rep", "n_shingles", "ga", "gb"])
+
+        rows = reps.select("rep", "n_shingles", "sig").join(members, "rep")
+        keys = written(rows.select("rep", "component", "sig").mapInArrow(keyed, "key long, place int, rep long, component long"), "minhash-keys")
+        mixed = written(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
+        self.inside = written(keys.drop("component").join(mixed, "key", "left_semi"), "minhash-inside")
+        facts = rows.select("rep", "n_shingles", "sig").mapInArrow(grouped, "rep long, n_shingles long, ga array<long>, gb array<long>")
+        self.facts = written(facts.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "minhash-facts")
+        self.sig = rows.select("rep", "sig")
+
+    def _sides(self, labels: DataFrame, arrays: bool) -> DataFrame:
+        more = ["ga", "gb"] if arrays else []
+        known = self.facts.select("rep", "n_shingles", "own", *more).join(labels, "rep")
+        return self.inside.join(written(known, "minhash-known"), "rep")
+
+    def hub_pairs(self, labels: DataFrame) -> DataFrame:
+        """One pair per document at most: with the member that has the fewest own shingles in most of its mixed buckets."""
+        rows = written(self._sides(labels, False), "minhash-sides")
+        hubs = rows.groupBy("key").agg(F.min(F.struct("own", "rep", "component", "n_shingles")).alias("h"))
+        hubs = written(hubs.select("key", F.col("h.own").alias("ob"), F.col("h.rep").alias("b"), F.col("h.component").alias("cb"), F.col("h.n_shingles").alias("nb")), "minhash-hubs")
+        mine = rows.select("key", F.col("own").alias("oa"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
+        near = mine.join(hubs, "key").where(f"ca <> cb AND {_possible(self.percent)}")
+        counted = near.groupBy("a", "b").agg(F.count("*").alias("n"))
+        return written(counted.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "minhash-hub-pairs")
+
+    def every_pair(self, labels: DataFrame) -> DataFrame:
+        """Each pair of different components in a common bucket that may be similar, in the first table that it shares."""
+        rows = written(self._sides(labels, True), "minhash-sides")
+        # documents that are too unlike any other, by their own shingles, are in no pair
+        rows = rows.where(f"own * {100 + self.percent} <= (2 * n_shingles - own) * {100 - self.percent}")
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        rows = written(rows.join(mixed, "key", "left_semi"), "minhash-last")
+        x = rows.select("key", "place", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("own").alias("oa"), F.col("ga").alias("gax"), F.col("gb").alias("gbx"))
+        y = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("own").alias("ob"), F.col("ga").alias("gay"), F.col("gb").alias("gby"))
+        first = lambda g, h: F.array_position(F.zip_with(g, h, lambda p, q: p == q), True) - 1
+        here = (first("gax", "gay") * self.m + first("gbx", "gby")) == F.col("place")
+        pairs = x.join(y, "key").where(F.expr(f"ca < cb AND {_possible(self.percent)}") & here).select("a", "b")
+        return self._alike(written(pairs.distinct(), "minhash-pairs"))
+
+    def _alike(self, pairs: DataFrame) -> DataFrame:
+        """Without the pairs whose sketches agree too little, by 5.3 standard deviations."""
+        count, p = 2 * self.m * ROWS, self.percent / 100
+        least = max(0, int(count * p - 5.3 * (count * p * (1 - p)) ** 0.5))
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frugal()
+            for batch in batches:
+                s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, count) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= least))
+
+        one, two = self.sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), self.sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+
+
+def _labels(ends: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) of all ends."""
+    return written(ends.join(components(links), "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("component")), "minhash-labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,12 +362,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
     best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "minhash-best")
     links = written(verified(best, docs, reps, percent), "minhash-links")
     ends = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    labels = written(ends.join(components(links), "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("component")), "minhash-labels")
+    labels = _labels(ends, links)
     one = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
     two = labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
     cross = written(stars.join(one, "a").join(two, "b").where("ca <> cb").select("ca", "cb").distinct(), "minhash-cross")
     if not cross.isEmpty():
-        more = written(_cross_pairs(reps, labels, cross, m, percent), "minhash-more")
+        mixed = _Mixed(docs, reps, labels, cross, m, percent)
+        links = written(links.unionByName(verified(mixed.hub_pairs(labels), docs, reps, percent)), "minhash-links")
+        more = written(mixed.every_pair(_labels(ends, links)), "minhash-more")
         links = links.unionByName(verified(more, docs, reps, percent))
     found = written(components(links.unionByName(copies)), "minhash-components")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

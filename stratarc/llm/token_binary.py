@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratarc.llm import range_coder
-from stratarc.llm.common import scratch_path
+from stratarc.llm.common import scratch_path, small_batches
 from stratarc.llm.tokens import WordEncoder, default_path, text_slices
 
 #: Ids after which a frame ends with the document in hand.
@@ -91,7 +91,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
     ranged = source.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ranged.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    with small_batches(spark):
+        ranged.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 The vocabulary used here drops white space and ends every token at a word's end, so the ids of a text are the ids
 of its words in a row. A batch's words are made distinct in Arrow, new ones are encoded by the library, and ids
 are put together with numpy. Words that are letters followed by ASCII punctuation are encoded as two pieces, since the
-vocabulary splits there too. A worker keeps what it has encoded, up to CACHE words, then starts anew.
+vocabulary splits there too. A worker keeps what it has encoded, up to CACHE stems and marks, then starts anew.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from stratarc.llm.common import split_words
+from stratarc.llm.common import frugal, split_words
 
-CACHE = 700_000
+CACHE = 400_000
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -54,27 +54,24 @@ class WordEncoder:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        parts: list[tuple[bytes, bytes, bytes]] = []
+        parts: list[tuple[bytes, bytes]] = []
         new: dict[bytes, None] = {}
         for w in words:
+            stem, tail = w, b""
             if w not in known:
                 stem = w.rstrip(_PUNCTUATION)
                 tail = w[len(stem) :]
-                if tail and stem and (stem.isalpha() if stem.isascii() else stem.decode("utf-8", "replace").isalpha()):
-                    parts.append((w, stem, tail))
-                    if stem not in known:
-                        new[stem] = None
-                    if tail not in known:
-                        new[tail] = None
-                else:
-                    new[w] = None
+                if not (tail and stem and (stem.isalpha() if stem.isascii() else stem.decode("utf-8", "replace").isalpha())):
+                    stem, tail = w, b""
+                if stem not in known:
+                    new[stem] = None
+                if tail and tail not in known:
+                    new[tail] = None
+            parts.append((stem, tail))
         todo = list(new)
         for i in range(0, len(todo), 20_000):
             self._encode(todo[i : i + 20_000])
-        out = known
-        for w, stem, tail in parts:
-            out[w] = known[stem] + known[tail]
-        return [known[w] for w in words]
+        return [known[stem] + known[tail] if tail else known[stem] for stem, tail in parts]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row as uint16, and each text's end among them."""
@@ -90,8 +87,9 @@ class WordEncoder:
         return pool[places], np.concatenate([[0], stops])[ends]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 12_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """The batch in slices of at most about so many text bytes, at least one row each."""
+    frugal()
     texts = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0

@@ -35,7 +35,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = written(based.select("doc_id", *keys, *([digest] if digest_all else [])), "dedup-keys")
 
     lengths = slim.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    prefixes = slim.join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that a length of very many rows is only ever split among tasks, not grouped in one
+    long = written(slim.join(lengths, "len", "left_semi"), "dedup-lengths")
+    prefixes = long.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
     prefixes = written(prefixes.select("len", "prefix"), "dedup-prefixes")
     if digest_all:
         survivors = slim.join(prefixes, ["len", "prefix"], "left_semi").select("doc_id", "len", "sha")

@@ -103,7 +103,11 @@ def test_cuts_tile_the_content(data, least, bits):
 def test_an_insertion_moves_few_cuts():
     r = random.Random(5)
     data = bytes(r.randrange(256) for _ in range(200_000))
-    parts = lambda d: {d[a:b] for a, b in zip([0, *(e := cuts(d, 256, 9, 4096))], e, strict=False)}
+
+    def parts(d):
+        ends = cuts(d, 256, 9, 4096)
+        return {d[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+
     a, b = parts(data), parts(data[:1000] + b"inserted" + data[1000:])
     assert len(a - b) <= 3
 

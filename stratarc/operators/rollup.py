@@ -38,5 +38,6 @@ def create_stats(files: DataFrame, refs: DataFrame, chunks: DataFrame, blocks: D
 
 
 def size_report(classified: DataFrame) -> DataFrame:
-    """Rollup of files and bytes by class and extension."""
-    return classified.rollup("class", "ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """Rollup of files and bytes by class and extension; totals have class -1 or extension '*'."""
+    sums = classified.rollup("class", "ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.grouping("class").alias("c"), F.grouping("ext").alias("e"))
+    return sums.select(F.when(F.col("c") == 1, -1).otherwise(F.col("class")).alias("class"), F.when(F.col("e") == 1, "*").otherwise(F.col("ext")).alias("ext"), "files", "bytes")

@@ -272,7 +272,7 @@ def file_sizes(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT 0 AS class, 'txt' AS ext, octet_length(encode(text)) AS size FROM documents UNION ALL SELECT 0, 'html', octet_length(encode(html)) FROM pages)
-SELECT class, ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ROLLUP (class, ext)""")
+SELECT CAST(CASE WHEN grouping(class) = 1 THEN -1 ELSE class END AS INTEGER) AS class, CASE WHEN grouping(ext) = 1 THEN '*' ELSE ext END AS ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ROLLUP (class, ext)""")
 def size_report(spark, sf_dir):
     files = classified(views.documents(spark, sf_dir).unionByName(views.pages(spark, sf_dir)))
     return rollup.size_report(files.select(F.col("class").cast("int").alias("class"), paths.extension(F.col("path")).alias("ext"), "size"))

@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import hash_words, mix64, scratch_path, split_words, written
+from stratarc.llm.common import frugal, hash_words, mix64, scratch_path, split_words, squeeze, unsqueeze, written
 from stratarc.llm.shared_files import mapped, put
 from stratarc.llm.tokens import text_slices
 
@@ -53,13 +54,14 @@ def token_blocks(docs: DataFrame, folds: int) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 unique, codes, ends = split_words(batch.column("text"), lower=True)
-                words = np.concatenate([hash_words(unique), [END]]).astype("<u8")
-                codes = np.insert(codes, ends, len(unique)).astype("<u4")
+                words, place = np.unique(np.concatenate([hash_words(unique), [END]]).astype("<u8"), return_inverse=True)
+                codes = place[np.insert(codes, ends, len(unique))].astype("<u4")
                 ends = ends + np.arange(1, len(ends) + 1)
                 ids = batch.column("doc_id").to_pylist()
                 flags = np.array([held_out(d, folds) for d in ids], np.uint8)
-                data = [np.array([d or 0 for d in ids], "<i8"), np.array([d is None for d in ids], np.uint8), flags, ends.astype("<i8"), words, codes]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(ids)]), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["block", "docs", "doc_ids", "no_id", "held", "ends", "words", "codes"])
+                plain = [np.array([d or 0 for d in ids], "<i8"), np.array([d is None for d in ids], np.uint8), flags, ends.astype("<i8")]
+                data = [*(x.tobytes() for x in plain), squeeze(words, True), squeeze(codes)]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(ids)]), *(pa.array([x], pa.binary()) for x in data)], names=["block", "docs", "doc_ids", "no_id", "held", "ends", "words", "codes"])
                 block += 1
 
     return docs.mapInArrow(run, BLOCK_SQL)
@@ -70,7 +72,8 @@ class _Block:
         read = lambda k, t: np.frombuffer(row[k], t)
         self.block, self.ends = row["block"], read("ends", "<i8")
         self.ids = [None if z else int(d) for d, z in zip(read("doc_ids", "<i8"), read("no_id", np.uint8), strict=True)]
-        self.held, self.words, self.codes = read("held", np.uint8), read("words", "<u8"), read("codes", "<u4")
+        self.held, self.codes = read("held", np.uint8), unsqueeze(row["codes"], "<u4")
+        self.words = unsqueeze(row["words"], "<u8", True) if "words" in row else None
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.train = np.repeat(self.held == 0, self.ends - self.begins)
 
@@ -84,6 +87,7 @@ class _Block:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    frugal()
     for batch in batches:
         for i in range(batch.num_rows):
             yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
@@ -99,13 +103,13 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[at], *(np.add.reduceat(v[order], at) for v in values)
 
 
-def _pack(shards: np.ndarray, count: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+def _pack(shards: np.ndarray, count: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Arrays split by shard number, their order kept."""
     by = np.argsort(shards, kind="stable")
     cuts = np.searchsorted(shards[by], np.arange(count + 1))
     for s in range(count):
         if cuts[s] < cuts[s + 1]:
-            yield s, [a[by[cuts[s] : cuts[s + 1]]].tobytes() for a in arrays]
+            yield s, [a[by[cuts[s] : cuts[s + 1]]] for a in arrays]
 
 
 def count_words(blocks: DataFrame, root: str, shards: int) -> list[int]:
@@ -119,11 +123,12 @@ def count_words(blocks: DataFrame, root: str, shards: int) -> list[int]:
             there = n > 0
             words, n = b.words[there], n[there].astype("<i8")
             shard = (words >> width).astype(np.int64) if width is not None else np.zeros(len(words), np.int64)
-            rows = list(_pack(shard, shards, words, n))
+            rows = [(s, (squeeze(k, True), squeeze(v))) for s, (k, v) in _pack(shard, shards, words, n)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x[0] for _, x in rows], pa.binary()), pa.array([x[1] for _, x in rows], pa.binary())], names=["shard", "keys", "n"])
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, n = _summed(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8"))
+        frugal()
+        keys, n = _summed(*(np.concatenate(x) for x in ([unsqueeze(b, "<u8", True) for b in table.column("keys").to_pylist()], [unsqueeze(b, "<i8") for b in table.column("n").to_pylist()])))
         shard = table.column("shard")[0].as_py()
         put(f"{root}/words-{shard}", keys.astype("<u8").tobytes())
         put(f"{root}/counts-{shard}", n.astype("<i8").tobytes())
@@ -173,26 +178,35 @@ def count_pairs(blocks: DataFrame, root: str, words: _Words, shards: int) -> Dat
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = _Block(row)
-            keys, n = _summed(b.pairs(words.look(b.words)[0], vocabulary + 1), b.train.astype("<i8"))
-            rows = list(_pack(_pair_shard(keys, shards), shards, keys, n.astype("<u4")))
+            number, known = words.look(b.words)
+            keys, n = _summed(b.pairs(number, vocabulary + 1), b.train.astype("<i8"))
+            rows = [(s, (squeeze(k, True), squeeze(v))) for s, (k, v) in _pack(_pair_shard(keys, shards), shards, keys, n.astype("<u4"))]
+            # a block's own numbers and counts go along to where it is scored; any shard will do
+            rows.append((-1 - b.block % shards, (squeeze(number), squeeze(known))))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b.block] * len(rows), pa.int64()), pa.array([x[0] for _, x in rows], pa.binary()), pa.array([x[1] for _, x in rows], pa.binary())], names=["shard", "block", "keys", "n"])
 
     def merge(table: pa.Table) -> pa.Table:
+        frugal()
         shard = table.column("shard")[0].as_py()
-        each = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-        keys, n = _summed(np.concatenate(each), np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64))
-        keys, n = keys[n > 0], n[n > 0]
+        if shard < 0:
+            size = table.num_rows
+            return pa.table({"kind": pa.array(["words"] * size), "at": table.column("block"), "shard": table.column("shard"), "data": table.column("keys"), "more": table.column("n")})
+        coded = table.column("keys").to_pylist()
+        keys, n = np.concatenate([unsqueeze(x, "<u8", True) for x in coded]), np.concatenate([unsqueeze(x, "<u4") for x in table.column("n").to_pylist()])
+        keys, n = keys[n > 0], n[n > 0]  # what only held-out texts have is no part of the model
+        keys, n = _summed(keys, n.astype(np.int64))
         put(f"{root}/pairs-{shard}", keys.astype("<u8").tobytes())
         put(f"{root}/pair-counts-{shard}", n.astype("<u4").tobytes())
         model, counts = mapped(f"{root}/pairs-{shard}", "<u8"), mapped(f"{root}/pair-counts-{shard}", "<u4")
         out = []
-        for block, asked in zip(table.column("block").to_pylist(), each, strict=True):
+        for block, packed in zip(table.column("block").to_pylist(), coded, strict=True):
+            asked = unsqueeze(packed, "<u8", True)
             got = np.zeros(len(asked), "<u4")
             if len(model):
                 at = np.minimum(np.searchsorted(model, asked), len(model) - 1)
                 hit = model[at] == asked
                 got[hit] = counts[at[hit]]
-            out.append(("answer", block, shard, got.tobytes()))
+            out.append(("answer", block, shard, squeeze(got)))
         left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ids = np.concatenate([left, right])
         zero = np.zeros(len(left), np.int64)
@@ -204,16 +218,17 @@ def count_pairs(blocks: DataFrame, root: str, words: _Words, shards: int) -> Dat
                 out.append(("stat", r, shard, mine.tobytes()))
         out.append(("coc", 0, shard, np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], "<i8").tobytes()))
         kind, at, by, data = zip(*out, strict=True)
-        return pa.table({"kind": pa.array(kind, pa.string()), "at": pa.array(at, pa.int64()), "shard": pa.array(by, pa.int32()), "data": pa.array(data, pa.binary())})
+        return pa.table({"kind": pa.array(kind, pa.string()), "at": pa.array(at, pa.int64()), "shard": pa.array(by, pa.int32()), "data": pa.array(data, pa.binary()), "more": pa.nulls(len(data), pa.binary())})
 
     pairs = blocks.mapInArrow(local, "shard int, block long, keys binary, n binary")
-    return pairs.groupBy("shard").applyInArrow(merge, "kind string, at long, shard int, data binary")
+    return pairs.groupBy("shard").applyInArrow(merge, "kind string, at long, shard int, data binary, more binary")
 
 
 def word_stats(counted: DataFrame, root: str) -> np.ndarray:
     """Write per-word sums of contexts and continuations; the sum of count-of-counts of continuations 1 to 4."""
 
     def merge(table: pa.Table) -> pa.Table:
+        frugal()
         at = table.column("at")[0].as_py()
         rows = np.frombuffer(b"".join(table.column("data").to_pylist()), "<i8").reshape(-1, 6)
         out = np.zeros(RANGE, STAT)
@@ -244,6 +259,7 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
     word_shards = 1 << max(0, (shards - 1).bit_length())
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(token_blocks(slim, folds), "lm-blocks")
+    shards = max(shards, blocks.count() // 3)
     sizes = count_words(blocks, root, word_shards)
     words = _Words(root, sizes)
     vocabulary, tokens = int(words.base[-1]), sum(t for _, t in sizes)
@@ -265,8 +281,11 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
         return out
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        frugal()
         b = _Block({n: left.column(n)[0].as_py() for n in left.column_names})
-        number, count = words.look(b.words)
+        own = right.filter(pc.equal(right.column("kind"), "words"))
+        right = right.filter(pc.equal(right.column("kind"), "answer"))
+        number, count = (unsqueeze(own.column(c)[0].as_py(), "<i8") for c in ("data", "more"))
         pair = b.pairs(number, vocabulary + 1)
         order = np.argsort(pair, kind="stable")
         first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(pair) else np.empty(0, bool)
@@ -277,30 +296,33 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
         shard = _pair_shard(keys, shards)
         by = np.argsort(shard, kind="stable")
         seen = np.zeros(len(keys), np.int64)
-        seen[by] = np.frombuffer(b"".join(answers[s] for s in sorted(answers)), "<u4")
+        seen[by] = np.concatenate([unsqueeze(answers[s], "<u4") for s in sorted(answers)])
+        del pair, order, first, keys, shard, by, answers, right
         # probabilities of distinct pairs
         known = stats(np.append(number, vocabulary + 1))
         cont = known["cont"][:-1].astype(float)
         spare = low[1] * continued[0] + low[2] * continued[1] + low[3] * max(0, vocabulary - continued[0] - continued[1])
         lower = (np.maximum(cont - low[np.minimum(cont, 3).astype(int)], 0) + (spare / (vocabulary + 1) if types else 1 / (vocabulary + 1))) / (types or 1)
         gamma = known["n1"] * high[1] + known["n2"] * high[2] + known["n3"] * high[3]
-        code, context = b.codes.astype(np.int64), np.empty(len(b.codes), np.int64)
+        known_base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+        code, total = b.codes, known["total"].astype(float)
+        base, logs = known_base[code], np.empty(len(code))
+        context = np.empty(len(code), np.uint32)
         context[1:] = code[:-1]
         context[b.begins] = len(number)
-        total = known["total"].astype(float)
-        c = seen[inverse]
-        own = np.maximum(c - high[np.minimum(c, 3)], 0)
-        t = total[context]
-        p = np.where(t > 0, (own + gamma[context] * lower[code]) / np.maximum(t, 1), lower[code])
-        base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))[code]
+        for i in range(0, len(code), 65_536):  # by parts, so that few whole-block arrays are held
+            at = slice(i, i + 65_536)
+            c, low_p, t = seen[inverse[at]], lower[code[at]], total[context[at]]
+            top = np.maximum(c - high[np.minimum(c, 3)], 0)
+            logs[at] = np.log10(np.where(t > 0, (top + gamma[context[at]] * low_p) / np.maximum(t, 1), low_p))
         add = lambda x: np.add.reduceat(x, b.begins) if len(x) else x
         return pa.table({
             "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held == 1), "n_tokens": pa.array(b.ends - b.begins), "n_known": pa.array(add((count[code] > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(len(b.ids), tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(np.log10(p)), pa.float64()),
+            "train_tokens": pa.array(np.full(len(b.ids), tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(logs), pa.float64()),
         })
 
-    answers = counted.where("kind = 'answer'").select(F.col("at").alias("block"), "shard", "data")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = counted.where("kind IN ('answer', 'words')").select(F.col("at").alias("block"), "kind", "shard", "data", "more")
+    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

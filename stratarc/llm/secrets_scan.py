@@ -1,7 +1,8 @@
 """Secret scan: pattern candidates, then a random forest that removes false positives.
 
-Candidates are strings of known key formats, values assigned to credential names, and long mixed strings, found in whole texts. Overlapping candidates
-count once, at the first pattern that names them. The forest sees a candidate's length and character mix, its transitions between
+Candidates are strings of known key formats, values assigned to credential names or to identifiers that contain one, and long mixed strings,
+found in whole texts. Overlapping candidates count once, at the first pattern that names them; only a mixed string with slashes, which may be a
+secret or a path, is a candidate beside its long parts. The forest sees a candidate's length and character mix, its transitions between
 character classes and how likely its letter pairs are in words, how much of it a dictionary covers, whether it stands in a path or address, and the words
 before and after it. It is trained on labelled findings, on the driver, from at most LABELLED_ROWS rows; without a table of
 findings, a built-in generator gives labelled ones of many kinds. The trees are a few thousand numbers, sent with the task.
@@ -31,7 +32,8 @@ THRESHOLD = 0.5
 AROUND = 48
 
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credentials?"
-#: Kind and pattern, the value being group 1; earlier kinds win.
+ASSIGNED = r"[\"']?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"']?([^\s\"'<>]{4,200})"
+#: Kind and pattern, the value being group 1; earlier kinds win. Bare credential names come before identifiers that contain one.
 PATTERNS = [
     ("private_key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)"),
     ("cloud_key_id", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
@@ -40,12 +42,14 @@ PATTERNS = [
     ("pay_key", r"(?<![A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{16,})"),
     ("map_key", r"(?<![A-Za-z0-9])(AIza[A-Za-z0-9_-]{35})"),
     ("web_token", r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    ("assigned", rf"(?i:\b(?:{NAMES})s?\b)[\"']?[ \t]{{0,3}}(?:=|:|:=|=>)[ \t]{{0,3}}[\"']?([^\s\"'<>]{{4,200}})"),
+    ("assigned", rf"(?i:\b(?:{NAMES})s?\b){ASSIGNED}"),
+    ("assigned", rf"(?<![\w.-])(?=[\w.-]*?(?i:{NAMES}))[\w.-]++{ASSIGNED}"),
     ("mixed", r"(?<![A-Za-z0-9+_-])((?=[A-Za-z0-9+_=-]{0,40}[0-9])(?=[A-Za-z0-9+_=-]{0,40}[A-Za-z])[A-Za-z0-9+_=-]{24,})"),
+    ("mixed", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z0-9+_=-]*/)(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,})"),
 ]
 COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
 #: One pass of a linear-time engine that picks the texts any pattern can match.
-HINT = rf"PRIVATE KEY-----|A[KS]IA[A-Z0-9]|gh[pousr]_|xox[abprs]-|[sr]k_(live|test)_|AIza|eyJ|(?i:{NAMES})s?[\"']?[ \t]*[:=]|[A-Za-z0-9+_=-]{{24}}"
+HINT = rf"PRIVATE KEY-----|A[KS]IA[A-Z0-9]|gh[pousr]_|xox[abprs]-|[sr]k_(live|test)_|AIza|eyJ|(?i:{NAMES})[^\s:=]*[ \t]*[:=]|[A-Za-z0-9+/_=-]{{24}}"
 
 GOOD_NAMES = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "auth", "credential", "aws", "bearer", "login")
 BAD_NAMES = ("example", "sample", "placeholder", "changeme", "dummy", "test", "commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "id", "version", "file", "http", "https", "www", "isbn", "order", "phone")
@@ -53,12 +57,12 @@ DICTIONARY = ("example", "sample", "password", "secret", "changeme", "change", "
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of candidates in order, none overlapping."""
+    """(kind, start, end) of candidates in order, none overlapping but mixed ones with slashes and their parts."""
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in COMPILED:
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if not any(a < y and x < b for x, y, _ in taken):
+            if not any(a < y and x < b and not (k == kind == "mixed") for x, y, k in taken):
                 taken.append((a, b, kind))
     return [(k, a, b) for a, b, k in sorted(taken)]
 

@@ -310,3 +310,16 @@ def test_secrets(spark, docs, odd, empty):
     assert secrets_scan.scan(empty).count() == 0
     findings = spark.createDataFrame(made[:400], "value string, before string, after string, label int")
     assert secrets_scan.scan(df, findings).where("is_secret").count() >= 3
+
+
+def test_secrets_of_longer_identifiers(spark):
+    lines = [
+        ("DB_PASSWORD=", "hunter2x!Q9"), ("SECRET_KEY = '", "dj4ng0k3y!z"), ("access_token: ", "8fk29fj2kd93"), ("auth_token=", "abc123def456"), ("aws_secret_access_key = ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYq2Zt8LmV3s"),
+        ("my.dbPassword-2: ", "hunter2x!Q9"), ("free ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYq2Zt8LmV3s"), ("bare token=", "8fk29fj2kd93"),
+    ]
+    rows = [(i, f"{before}{value}' end") for i, (before, value) in enumerate(lines)]
+    got = {(r["doc_id"], r["start"], r["secret_sha256"]) for r in secrets_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, len(b), hashlib.sha256(v.encode()).hexdigest()) for i, (b, v) in enumerate(lines)} <= got
+    part = "4f3c2b1a" * 5
+    assert {(a, b) for _, a, b in secrets_scan.find(f"see v1/{part}/send")} == {(4, 52), (7, 47)}  # the part of a path stays a candidate
+    assert secrets_scan.find("token" * 40_000 + "\n" + "=" * 200_000) == []

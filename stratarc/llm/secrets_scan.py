@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 AROUND = 48
 
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credentials?"
-ASSIGNED = r"[\"']?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"']?([^\s\"'<>]{4,200})"
+ASSIGNED = r"[\"']?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"']?([^\s\"'<>]{4,})"
 #: Kind and pattern, the value being group 1; earlier kinds win. Bare credential names come before identifiers that contain one.
 PATTERNS = [
     ("private_key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)"),
@@ -44,7 +44,7 @@ PATTERNS = [
     ("web_token", r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     ("assigned", rf"(?i:\b(?:{NAMES})s?\b){ASSIGNED}"),
     ("assigned", rf"(?<![\w.-])(?=[\w.-]*?(?i:{NAMES}))[\w.-]++{ASSIGNED}"),
-    ("mixed", r"(?<![A-Za-z0-9+_-])((?=[A-Za-z0-9+_=-]{0,40}[0-9])(?=[A-Za-z0-9+_=-]{0,40}[A-Za-z])[A-Za-z0-9+_=-]{24,})"),
+    ("mixed", r"(?<![A-Za-z0-9+_=-])((?=[A-Za-z0-9+_=-]*[0-9])(?=[A-Za-z0-9+_=-]*[A-Za-z])[A-Za-z0-9+_=-]{24,})"),
     ("mixed", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z0-9+_=-]*/)(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,})"),
 ]
 COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]

@@ -323,3 +323,12 @@ def test_secrets_of_longer_identifiers(spark):
     part = "4f3c2b1a" * 5
     assert {(a, b) for _, a, b in secrets_scan.find(f"see v1/{part}/send")} == {(4, 52), (7, 47)}  # the part of a path stays a candidate
     assert secrets_scan.find("token" * 40_000 + "\n" + "=" * 200_000) == []
+
+
+def test_long_secrets_are_whole(spark):
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789"), 450))
+    late = "k" * 50 + "0123456789"
+    rows = [(1, f"token={long} end", long), (2, f"my_secret: '{long}'", long), (3, f"see {late} end", late), (4, f"see {long} end", long)]
+    got = secrets_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["secret_sha256"]) for r in got) == [(d, t.index(v), len(v), hashlib.sha256(v.encode()).hexdigest()) for d, t, v in rows]

@@ -2,14 +2,15 @@
 
 The vocabulary used here drops white space and ends every token at a word's end, so the ids of a text are the ids
 of its words in a row. A batch's words are made distinct in Arrow, new ones are encoded by the library, and ids
-are put together with numpy. Words that are letters followed by ASCII punctuation are encoded as two pieces, since the
-vocabulary splits there too. A worker keeps what it has encoded, up to CACHE stems and marks, then starts anew.
+are put together with numpy. Words that are letters, before and after normalising, followed by ASCII punctuation are
+encoded as two pieces, since the vocabulary splits there too. A worker keeps what it has encoded, up to CACHE stems and marks, then starts anew.
 """
 
 from __future__ import annotations
 
 import os
 import string
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stays_letters(stem: str) -> bool:
+    """Whether the tokenizer's normaliser (NFC, lower case) leaves letters alone: U+0130 and composition exclusions become letter and mark."""
+    return stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha()
+
+
 class WordEncoder:
     """Ids by distinct word for a tokenizer whose ids do not depend on what stands beyond white space."""
 
@@ -61,7 +67,7 @@ class WordEncoder:
             if w not in known:
                 stem = w.rstrip(_PUNCTUATION)
                 tail = w[len(stem) :]
-                if not (tail and stem and (stem.isalpha() if stem.isascii() else stem.decode("utf-8", "replace").isalpha())):
+                if not (tail and stem and (stem.isalpha() if stem.isascii() else _stays_letters(stem.decode("utf-8", "replace")))):
                     stem, tail = w, b""
                 if stem not in known:
                     new[stem] = None

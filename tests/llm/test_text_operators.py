@@ -332,3 +332,18 @@ def test_long_secrets_are_whole(spark):
     rows = [(1, f"token={long} end", long), (2, f"my_secret: '{long}'", long), (3, f"see {late} end", late), (4, f"see {long} end", long)]
     got = secrets_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["start"], r["length"], r["secret_sha256"]) for r in got) == [(d, t.index(v), len(v), hashlib.sha256(v.encode()).hexdigest()) for d, t, v in rows]
+
+
+def test_words_whose_letters_change(spark, tokenizer):
+    import pyarrow as pa
+
+    from stratarc.llm.tokens import WordEncoder
+
+    letters = ["\u0130", "\u0958", "\u095f", "\u09dc", "\ufb1d", "\ufb4e", "\u00e9", "\u03a3", "\u00df", "\u01c5"]
+    words = ["İKİ,", "ESKİ.", "aİ!", "ve İ", *(f"{before}{c}{after}" for c in letters for before in ("", "ab") for after in ("", ",", "...", "d!"))]
+    ids, ends = WordEncoder(default_path()).of_texts(pa.array(words))
+    assert [p.tolist() for p in np.split(ids, ends[:-1])] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    path = scratch_path(spark, "test")
+    token_binary.write_ids(df, path)
+    assert {r["doc_id"]: r["ids"] for r in token_binary.read_ids(spark, path).collect()} == {i: [*tokenizer.encode(w, add_special_tokens=False).ids, 2] for i, w in enumerate(words)}

@@ -10,7 +10,7 @@ Fitting uses bounded samples, chosen by a hash of doc_id: at most FIT_ROWS label
 row and whole text. Rows are rejected when the combined score is below THRESHOLD, low enough to keep doubtful documents.
 
 Nulls: a null text counts as empty, null lang or source as a value of its own, null labels as unlabelled. Empty texts have all-zero text
-features and are scored like others. Rows that repeat a doc_id are each scored; several labels for a doc_id are averaged and count as 1
+features and are scored like others. Rows that repeat a doc_id are each scored, and one of them, by a hash of what it holds, is fitted; several labels for a doc_id are averaged and count as 1
 from 0.5 on. Without both classes among the labels everything gets score 1 and is accepted. An empty table gives an empty result. Columns other
 than those named are carried along only by ``keep_good``.
 """
@@ -186,10 +186,9 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bounded(df: DataFrame, most: int) -> DataFrame:
-    """At most about most rows, by a hash of doc_id: all of them where there are no more."""
+    """At most about most rows, one of each doc_id given, by a hash of doc_id: all of them where there are no more."""
     n = df.count()
-    part = df if n <= most else df.where(id_hash(F.col("doc_id")) % 1_000_003 < int(1_000_003 * most / n))
-    return part.limit(2 * most)
+    return df if n <= most else df.where(id_hash(F.col("doc_id")) % 1_000_003 < int(1_000_003 * most / n))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> CoTraining | None:
@@ -206,9 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
                 text, meta = _views(batch)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.astype("<f4").tobytes() for r in text], pa.binary()), pa.array([r.astype("<f4").tobytes() for r in meta], pa.binary())], names=["doc_id", "y", "text", "meta"])
 
-    # the sample is bounded by fit_rows and pool_rows, so it may be broadcast
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text", "lang", "source").mapInArrow(run, "doc_id long, y double, text binary, meta binary")
-    sample = rows.limit(4 * (fit_rows + pool_rows)).toPandas().sort_values("doc_id", kind="stable")
+    # the sample is bounded by fit_rows and pool_rows, so it may be broadcast; which of a doc_id's rows is taken depends on what they hold alone
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text", "lang", "source").alias("hash"), "text", "lang", "source").alias("row"))
+    one = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("row").alias("row")).select("doc_id", "y", "row.text", "row.lang", "row.source")
+    sample = one.mapInArrow(run, "doc_id long, y double, text binary, meta binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(sample):
         return None
     y = sample["y"].to_numpy()

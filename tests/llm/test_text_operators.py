@@ -347,3 +347,13 @@ def test_words_whose_letters_change(spark, tokenizer):
     path = scratch_path(spark, "test")
     token_binary.write_ids(df, path)
     assert {r["doc_id"]: r["ids"] for r in token_binary.read_ids(spark, path).collect()} == {i: [*tokenizer.encode(w, add_special_tokens=False).ids, 2] for i, w in enumerate(words)}
+
+
+def test_quality_fit_sees_each_document_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    hot = docs.join(labels, "doc_id", "left_semi").orderBy("doc_id").limit(1).crossJoin(spark.range(2000)).drop("id")
+    other = docs.limit(20).withColumn("text", F.concat("text", F.lit(" and more")))
+    weights = lambda df: quality.train(df, labels, fit_rows=100_000, pool_rows=50).combined.w
+    assert (weights(hot.unionByName(docs)) == weights(docs)).all()
+    assert (weights(docs.unionByName(other)) == weights(other.unionByName(docs).repartition(7))).all()

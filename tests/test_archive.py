@@ -119,3 +119,11 @@ def test_packing_is_that_of_one_scan(spark, n, size, segment):
     got = {r["chunk_id"]: r["block_id"] for r in bl.pack_blocks(df, size, segment).collect()}
     a, b = bl.greedy(lengths[:k], size), bl.greedy(lengths[k:], size)
     assert [got[i] for i in range(n)] == a + [x + a[-1] + 1 for x in b]
+
+
+def test_primed_archive(spark, tmp_path):
+    priming = b"".join(sorted(bytes(c) for c in contents(views.synthetic(spark)).values()))[:4096]
+    archive.create(views.synthetic(spark), str(tmp_path / "p"), archive.Options(**SMALL, dictionary=priming))
+    a = archive.Archive(spark, str(tmp_path / "p"), dictionary=priming)
+    assert not a.blocks.where("codec = 5").isEmpty() and a.verify().isEmpty()
+    assert contents(a.read(a.entries)) == contents(views.synthetic(spark))

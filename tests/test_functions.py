@@ -114,3 +114,18 @@ def test_an_insertion_moves_few_cuts():
 
 def test_greedy():
     assert greedy([5, 5, 5, 20, 1], 10) == [0, 0, 1, 2, 3]
+
+
+def test_priming_data_is_used():
+    rng = random.Random(4)
+    dictionary = bytes(rng.randrange(256) for _ in range(600))
+    data = dictionary[100:500]
+    for level, used in ((1, codecs.ZSTD_PRIMED), (7, codecs.ZSTD_PRIMED), (9, codecs.ZSTD_PRIMED), (10, codecs.CONTEXT_FAST), (11, codecs.CONTEXT)):
+        plan, zstd_level, _ = codecs.LEVELS[level]
+        codec, payload = codecs.compress(data, plan, zstd_level, dictionary)
+        assert codec == used and len(payload) < 200
+        assert codecs.decompress(codec, payload, len(data), dictionary) == data
+    for other in (None, b""):
+        assert codecs.compress(data, *codecs.LEVELS[7][:2], other) == (codecs.STORE, data)
+    big = dictionary * 2000
+    assert codecs.compress(big, *codecs.LEVELS[1][:2], dictionary)[0] == codecs.ZSTD

@@ -40,3 +40,9 @@ def test_nothing_outside_imports_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "stratarc.llm" not in p.read_text()
+
+
+def test_each_context_codec_is_run(spark, sf, con):
+    coded = catalog._context_coded(spark, sf).select("fast.codec", "full.codec").collect()
+    assert {tuple(r) for r in coded} == {(catalog.codecs.CONTEXT_FAST, catalog.codecs.CONTEXT)}
+    assert rows(catalog.context_roundtrip(spark, sf).toPandas()) == rows(con.execute(catalog.ORACLES["context_roundtrip"]).df())

@@ -45,7 +45,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The first stage is a trained model, which SQL can't express; tests/llm compares run() with a brute-force version.
+#: The first stage is a trained model, which SQL can't express; tests/llm compares run()'s rows with pieces that
+#: the tokenizers library makes of the mix's copies, and both dedup stages with brute force.
 ORACLE_SQL = None
 
 

@@ -80,3 +80,37 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in left.collect()} == want
     assert counts[0] <= docs.count() and counts[4] >= counts[3] > 0
     assert corpus_pipeline.run(spark, sf).count() == counts[4]
+
+
+def test_pipeline_rows(spark):
+    import zlib
+    from collections import Counter
+
+    import corpus_pipeline
+    from stratarc.llm import mixing, quality
+    from stratarc.llm.common import written
+    from stratarc.llm.tokens import default_path
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = left = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = set(map(tuple, docs.collect()))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        left = written(stage(spark, left, sf), "test-rows")
+        assert set(map(tuple, left.collect())) <= whole
+        if i == 0:
+            scored = quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in scored.where("accepted").collect())
+    copies = {r["doc_id"]: r["mx_copies"] for r in mixing.mix_sources(left).collect()}
+    tokenizer, want = Tokenizer.from_file(default_path()), Counter()
+    for r in left.collect():
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want[r["doc_id"], at // 2048, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += copies[r["doc_id"]]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +want
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048

@@ -9,11 +9,15 @@ similarity 0.85 misses all 121 tables with probability 6e-5.
    there, and only that one goes on to the key's shard, where the same is done across blocks. So a bucket of any size
    gives one candidate link per member and no task sees more than one row per block of a hot bucket.
 3. Each document's most frequent candidate is verified on the full sets; verified links form components.
-4. In buckets that still hold several components, shingles that no other document there has are counted. They bound every similarity
-   from above: sets that differ in their own shingles alone may already be too unlike. Each document is verified with the least
-   peculiar member of its buckets, which near copies of one text mostly link to, and components are formed anew.
-5. Then every pair of different components in a common bucket that this bound and the sketches allow is verified, without a cap, and
-   named in the first table that it shares. Pairs inside a component need no check: they can't change the result.
+4. Components that share a bucket form a cluster. Within it each set A becomes its difference S from the cluster's core C, the
+   shingles that most members have. As the difference of A and B is that of their S, they are alike enough exactly if
+   K(A) + K(B) <= 2 (100 + percent) |S(A) and S(B)|, where K = (100 + percent) |S| - (100 - percent) |A|. So whatever the sets:
+   a. every two members with K(A) + K(B) <= 0 are linked through the member of smallest K, with which each member is verified,
+      as it is with the member of smallest K that shares most of the difference;
+   b. any other two need so many differences in common that they share one of the rarest of each (a prefix filter), and differences that no
+      other member has count for none. Pairs of different components that pass are verified, without a cap.
+   Near copies of one text have few differences from the core, most of them their own, so few pairs are left, and no link between
+   members of a cluster is lost. Pairs inside a component need no check: they can't change the result.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles are five words; a text with fewer words is one shingle.
 Null and empty texts have no shingles and link with nothing. Null doc_ids are never linked (component null, kept). Rows that
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarc.llm.common import frugal, hash_words, mix64, split_words, written
@@ -35,9 +39,11 @@ from stratarc.llm.tokens import text_slices
 
 WORDS = 5
 ROWS = 3
-BLOCK = 6_144
-#: Rows up to which a set of ids is broadcast (8 bytes each); beyond it is shuffled.
-BROADCAST_ROWS = 1_000_000
+BLOCK = 2_048
+#: Keys that a shard holds in the mean.
+SHARD_KEYS = 1_000_000
+#: Rows up to which ids and set keys (some 60 bytes a row on the JVM), and numbers up to which cores, are broadcast; beyond it they are shuffled.
+BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,7 +205,7 @@ def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, shingles): the whole sets of the given representatives, from their texts."""
+    """(rep, n, diff): the whole sets of the given representatives, from their texts; diff is the set itself."""
     needed = written(reps.select("rep", "set_key").join(ids, "rep", "left_semi"), "minhash-needed")
     small = needed.count() <= BROADCAST_ROWS
     keys = needed.select(F.col("rep").alias("doc_id"))
@@ -209,136 +215,132 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set_key", "n", "diff"])
 
-    sets = some.mapInArrow(full, "rep long, set_key binary, shingles binary")
+    sets = some.mapInArrow(full, "rep long, set_key binary, n long, diff binary")
     # an id whose rows differ in text has several sets; the representative's is the one meant
-    return written(sets.join(F.broadcast(needed) if small else needed, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"), "minhash-sets")
+    return written(sets.join(F.broadcast(needed) if small else needed, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "n", "diff"), "minhash-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of representatives with 100 * |intersection| >= percent * |union| on full sets."""
-    sets = full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), reps)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) with 100 * |intersection| >= percent * |union|.
+
+    sets has each set's size and its difference from a core, which is the same for both sets of a pair, or empty:
+    what sets A and B don't share is what their differences don't share, so the sizes of intersection and union are exact.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            for x, y, n in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 # both are sorted: matches by binary search of the shorter in the longer
                 s, t = (s, t) if len(s) <= len(t) else (t, s)
                 at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(s) else 0
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                same = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(s) else 0
+                both = (n - (len(s) + len(t) - 2 * same)) // 2
+                keep.append(100 * both >= percent * (n - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    side = lambda end, diff, n: sets.select(F.col("rep").alias(end), F.col("diff").alias(diff), F.col("n").alias(n))
+    joined = pairs.select("a", "b").join(side("b", "y", "nb"), "b").join(side("a", "x", "na"), "a")
+    return joined.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(compare, "a long, b long")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, own): how many of a set's shingles no other of the sets has."""
+def _each_shingle(sets: DataFrame) -> DataFrame:
+    """(cluster, rep, shingle): a row for each member of diff."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                data = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+                data = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("diff")]
                 who = pa.array(np.repeat(np.arange(len(data)), [len(d) for d in data]))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(who), pa.array(np.concatenate(data))], names=["rep", "shingle"])
+                yield pa.RecordBatch.from_arrays([part.column("cluster").take(who), part.column("rep").take(who), pa.array(np.concatenate(data))], names=["cluster", "rep", "shingle"])
+
+    return sets.select("cluster", "rep", "diff").mapInArrow(each, "cluster long, rep long, shingle long")
+
+
+def _core_differences(sets: DataFrame) -> DataFrame:
+    """sets (cluster, rep, n, diff) with diff taken to the cluster's core: the shingles that more than half of its members have."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"))
+    counted = written(_each_shingle(sets).groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-holders")
+    core = counted.join(sizes, "cluster").where("2 * holders > members").groupBy("cluster").agg(F.sort_array(F.collect_list("shingle")).alias("core"))
+    core = written(core, "minhash-core")
+    small = (core.agg(F.sum(F.size("core"))).first()[0] or 0) <= BROADCAST_ROWS
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        for batch in batches:
+            out = []
+            for x, c in zip(batch.column("diff"), batch.column("core"), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                if c.is_valid:
+                    own = np.setxor1d(own, c.values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True)
+                out.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), batch.column("n"), pa.array(out, pa.binary())], names=["cluster", "rep", "n", "diff"])
 
-    rows = sets.mapInArrow(each, "rep long, shingle long")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    return written(once.groupBy("rep").agg(F.count("*").alias("own")), "minhash-own")
+    joined = sets.join(F.broadcast(core) if small else core, "cluster", "left")
+    return written(joined.select("cluster", "rep", "n", "diff", "core").mapInArrow(taken, "cluster long, rep long, n long, diff binary"), "minhash-differences")
 
 
-def _possible(percent: int) -> str:
-    """Whether sizes and own shingles of a and b leave room for the similarity.
+def cluster_links(sets: DataFrame, labels: DataFrame, cross: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, among which are enough to join all that any link inside a cluster joins.
 
-    The sets differ in at least their own shingles and the difference of the rest; with sizes adding up to s and a difference
-    of d the similarity is (s - d) / (s + d).
+    labels: (rep, component); cross: (ca, cb), components that share a bucket.
     """
-    return f"(oa + ob + abs((na - oa) - (nb - ob))) * {100 + percent} <= (na + nb) * {100 - percent}"
-
-
-class _Mixed:
-    """Buckets that hold several components, and what has to be known of their members."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, labels: DataFrame, cross: DataFrame, m: int, percent: int) -> None:
-        self.docs, self.reps, self.m, self.percent = docs, reps, m, percent
-        count = 2 * m * ROWS
-        touched = cross.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
-        members = written(labels.join(touched, "component", "left_semi").select("rep", "component"), "minhash-members")
-        own = _own_shingles(full_sets(docs, members.select("rep"), reps))
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            frugal()
-            for batch in batches:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, count)
-                who = pa.array(np.repeat(np.arange(batch.num_rows), m * m))
-                place = np.tile(np.arange(m * m, dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(table_keys(sig, m).view(np.int64).reshape(-1)), pa.array(place), batch.column("rep").take(who), batch.column("component").take(who)], names=["key", "place", "rep", "component"])
-
-        def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, 2, m, ROWS).astype(np.uint64)
-                h = mix64(sig[..., 0] + mix64(sig[..., 1] + mix64(sig[..., 2]))).view(np.int64)
-                lists = [pa.array(list(h[:, k]), pa.list_(pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["rep", "n_shingles", "ga", "gb"])
-
-        rows = reps.select("rep", "n_shingles", "sig").join(members, "rep")
-        keys = written(rows.select("rep", "component", "sig").mapInArrow(keyed, "key long, place int, rep long, component long"), "minhash-keys")
-        mixed = written(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
-        self.inside = written(keys.drop("component").join(mixed, "key", "left_semi"), "minhash-inside")
-        facts = rows.select("rep", "n_shingles", "sig").mapInArrow(grouped, "rep long, n_shingles long, ga array<long>, gb array<long>")
-        self.facts = written(facts.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "minhash-facts")
-        self.sig = rows.select("rep", "sig")
-
-    def _sides(self, labels: DataFrame, arrays: bool) -> DataFrame:
-        more = ["ga", "gb"] if arrays else []
-        known = self.facts.select("rep", "n_shingles", "own", *more).join(labels, "rep")
-        return self.inside.join(written(known, "minhash-known"), "rep")
-
-    def hub_pairs(self, labels: DataFrame) -> DataFrame:
-        """One pair per document at most: with the member that has the fewest own shingles in most of its mixed buckets."""
-        rows = written(self._sides(labels, False), "minhash-sides")
-        hubs = rows.groupBy("key").agg(F.min(F.struct("own", "rep", "component", "n_shingles")).alias("h"))
-        hubs = written(hubs.select("key", F.col("h.own").alias("ob"), F.col("h.rep").alias("b"), F.col("h.component").alias("cb"), F.col("h.n_shingles").alias("nb")), "minhash-hubs")
-        mine = rows.select("key", F.col("own").alias("oa"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        near = mine.join(hubs, "key").where(f"ca <> cb AND {_possible(self.percent)}")
-        counted = near.groupBy("a", "b").agg(F.count("*").alias("n"))
-        return written(counted.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "minhash-hub-pairs")
-
-    def every_pair(self, labels: DataFrame) -> DataFrame:
-        """Each pair of different components in a common bucket that may be similar, in the first table that it shares."""
-        rows = written(self._sides(labels, True), "minhash-sides")
-        # documents that are too unlike any other, by their own shingles, are in no pair
-        rows = rows.where(f"own * {100 + self.percent} <= (2 * n_shingles - own) * {100 - self.percent}")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rows = written(rows.join(mixed, "key", "left_semi"), "minhash-last")
-        x = rows.select("key", "place", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("own").alias("oa"), F.col("ga").alias("gax"), F.col("gb").alias("gbx"))
-        y = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("own").alias("ob"), F.col("ga").alias("gay"), F.col("gb").alias("gby"))
-        first = lambda g, h: F.array_position(F.zip_with(g, h, lambda p, q: p == q), True) - 1
-        here = (first("gax", "gay") * self.m + first("gbx", "gby")) == F.col("place")
-        pairs = x.join(y, "key").where(F.expr(f"ca < cb AND {_possible(self.percent)}") & here).select("a", "b")
-        return self._alike(written(pairs.distinct(), "minhash-pairs"))
-
-    def _alike(self, pairs: DataFrame) -> DataFrame:
-        """Without the pairs whose sketches agree too little, by 5.3 standard deviations."""
-        count, p = 2 * self.m * ROWS, self.percent / 100
-        least = max(0, int(count * p - 5.3 * (count * p * (1 - p)) ** 0.5))
-
-        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            frugal()
-            for batch in batches:
-                s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, count) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= least))
-
-        one, two = self.sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), self.sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    clusters = components(cross.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    members = written(labels.join(clusters, "component"), "minhash-members")
+    diffs = _core_differences(written(sets.join(members.select("rep", "cluster"), "rep"), "minhash-clustered"))
+    rows = written(_each_shingle(diffs), "minhash-each")
+    held = written(rows.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-shared")
+    rows = written(rows.join(held, ["cluster", "shingle"]), "minhash-rows")
+    shared = rows.groupBy("rep").agg(F.count("*").alias("shared"))
+    excess = F.octet_length("diff").cast("long") / 8 * (100 + percent) - F.col("n") * (100 - percent)
+    facts = diffs.select("cluster", "rep", excess.cast("long").alias("k")).join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    facts = written(facts.join(members.select("rep", "component"), "rep"), "minhash-facts")
+
+    links = None
+    unit = 2 * (100 + percent)
+    room = f"ka + kb <= {unit} * least(sa, sb)"
+    side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("k").alias(f"k{x}"), F.col("shared").alias(f"s{x}")]
+    least = F.min(F.struct("k", "rep", "component", "shared")).alias("h")
+    hub = [F.col("h.rep").alias("b"), F.col("h.component").alias("cb"), F.col("h.k").alias("kb"), F.col("h.shared").alias("sb")]
+
+    # a. with the member of smallest k of the cluster, and of all that share a difference
+    hubs = written(facts.groupBy("cluster").agg(least).select("cluster", *hub), "minhash-hubs")
+    pairs = facts.select("cluster", *side("a")).join(hubs, "cluster").where(f"ca <> cb AND {room}").select("a", "b")
+    known = written(rows.select("cluster", "shingle", "rep").join(facts.drop("cluster"), "rep"), "minhash-known")
+    local = written(known.groupBy("cluster", "shingle").agg(least).select("cluster", "shingle", *hub), "minhash-local-hubs")
+    near = known.select("cluster", "shingle", *side("a")).join(local, ["cluster", "shingle"]).where(f"ca <> cb AND {room}")
+    near = near.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    links = written(verified(written(pairs.union(near).distinct(), "minhash-hub-pairs"), diffs, percent), "minhash-hub-links")
+
+    # b. the components of now, then all other pairs by the prefix filter
+    now = facts.select("rep", "component")
+    ends = links.join(now.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(now.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+    merged = components(written(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "minhash-merged"))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    facts = written(facts.join(merged, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"), "minhash-facts")
+    # smallest k in any other component: of the component that has the smallest one, and of the rest
+    first = facts.groupBy("cluster").agg(F.min(F.struct("k", "component")).alias("h")).select("cluster", F.col("h.k").alias("k1"), F.col("h.component").alias("c1"))
+    first = written(first, "minhash-first")
+    second = facts.join(first, "cluster").where("component <> c1").groupBy("cluster").agg(F.min("k").alias("k2"))
+    lows = written(first.join(second, "cluster"), "minhash-lows")  # clusters of a single component are settled
+    other = F.when(F.col("component") == F.col("c1"), F.col("k2")).otherwise(F.col("k1"))
+    # at least one: whoever needs none in common with a member of another component is linked already
+    need = F.greatest(F.ceil((F.col("k") + other) / unit), F.lit(1))
+    open_ = facts.join(lows, "cluster").withColumn("keep", F.col("shared") - need + 1).where("keep > 0").select("rep", "component", "k", "shared", "keep")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    prefix = rows.join(written(open_, "minhash-open"), "rep").withColumn("rank", rank).where("rank <= keep").drop("rank", "keep", "holders")
+    prefix = written(prefix, "minhash-prefix")
+    mixed = prefix.groupBy("cluster", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster", "shingle")
+    last = written(prefix.join(mixed, ["cluster", "shingle"], "left_semi"), "minhash-last")
+    x, y = last.select("cluster", "shingle", *side("a")), last.select("cluster", "shingle", *side("b"))
+    pairs = written(x.join(y, ["cluster", "shingle"]).where(f"ca < cb AND {room}").select("a", "b").distinct(), "minhash-pairs")
+    return links.unionByName(verified(pairs, diffs, percent))
 
 
 def _labels(ends: DataFrame, links: DataFrame) -> DataFrame:
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
     m = m or (11 if percent >= 85 else 14)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = written(sketches(docs, m), "minhash-sketches")
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.count() * m * m // 4_000_000))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.count() * m * m // SHARD_KEYS))
     able = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(able.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "minhash-reps")
     copies = able.select("doc_id", "set_key").join(reps.select("rep", "set_key"), "set_key").where("doc_id <> rep")
@@ -360,17 +362,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
 
     stars = written(candidate_stars(reps, m, shards).groupBy("a", "b").agg(F.sum("n").alias("n")), "minhash-stars")
     best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "minhash-best")
-    links = written(verified(best, docs, reps, percent), "minhash-links")
-    ends = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    ends = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "minhash-ends")
+    sets = full_sets(docs, ends.select(F.col("node").alias("rep")), reps)
+    links = written(verified(best, sets, percent), "minhash-links")
     labels = _labels(ends, links)
     one = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
     two = labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
     cross = written(stars.join(one, "a").join(two, "b").where("ca <> cb").select("ca", "cb").distinct(), "minhash-cross")
     if not cross.isEmpty():
-        mixed = _Mixed(docs, reps, labels, cross, m, percent)
-        links = written(links.unionByName(verified(mixed.hub_pairs(labels), docs, reps, percent)), "minhash-links")
-        more = written(mixed.every_pair(_labels(ends, links)), "minhash-more")
-        links = links.unionByName(verified(more, docs, reps, percent))
+        links = links.unionByName(cluster_links(sets, labels, cross, percent))
     found = written(components(links.unionByName(copies)), "minhash-components")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     joined = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -14,15 +14,17 @@ SAMPLE = 65_536
 OWN_EXTENSION = "strat"
 
 # These lists decide results and have to be as they are.
-STORE_EXTENSIONS = """
-jpg jpeg png gif webp avif heic heif jxl mp4 m4v mov mkv webm avi mp3 m4a aac ogg oga opus flac zip gz tgz xz txz zst bz2 tbz2 lz4 7z
-rar br jar apk ipa aab docx xlsx pptx odt ods odp epub woff woff2 cab whl nupkg crx xpi lzma zipx
-""".split()
-TEXT_EXTENSIONS = """
-txt md markdown rst c h cc cpp hpp cxx rs go py pyi js mjs cjs ts tsx jsx json html htm css scss less xml csv tsv log sql java kt swift
-rb php sh bash zsh yml yaml toml ini cfg conf svg tex vue svelte lua pl pm r m mm cs fs dart scala ex exs erl hs ml clj el vim gradle
-properties lock srt vtt po pot
-""".split()
+STORE_EXTENSIONS = (
+    "jpg", "jpeg", "png", "gif", "webp", "avif", "heic", "heif", "jxl", "mp4", "m4v", "mov", "mkv", "webm", "avi", "mp3", "m4a", "aac", "ogg", "oga",
+    "opus", "flac", "zip", "gz", "tgz", "xz", "txz", "zst", "bz2", "tbz2", "lz4", "7z", "rar", "br", "jar", "apk", "ipa", "aab", "docx", "xlsx",
+    "pptx", "odt", "ods", "odp", "epub", "woff", "woff2", "cab", "whl", "nupkg", "crx", "xpi", "lzma", "zipx",
+)
+TEXT_EXTENSIONS = (
+    "txt", "md", "markdown", "rst", "c", "h", "cc", "cpp", "hpp", "cxx", "rs", "go", "py", "pyi", "js", "mjs", "cjs", "ts", "tsx", "jsx", "json",
+    "html", "htm", "css", "scss", "less", "xml", "csv", "tsv", "log", "sql", "java", "kt", "swift", "rb", "php", "sh", "bash", "zsh", "yml", "yaml",
+    "toml", "ini", "cfg", "conf", "svg", "tex", "vue", "svelte", "lua", "pl", "pm", "r", "m", "mm", "cs", "fs", "dart", "scala", "ex", "exs", "erl",
+    "hs", "ml", "clj", "el", "vim", "gradle", "properties", "lock", "srt", "vtt", "po", "pot",
+)
 COMPRESSED_MAGIC = ("1F8B", "28B52FFD", "FD377A585A00", "377ABCAF271C", "52617221", "504B0304", "89504E47", "FFD8FF", "47494638", "4F676753", "664C6143")
 
 

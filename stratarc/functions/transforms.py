@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Opcodes whose operand can be relative to the instruction pointer.
-OPCODES_1 = "01 03 09 0B 21 23 29 2B 31 33 38 39 3A 3B 63 80 81 83 84 85 88 89 8A 8B 8D C6 C7 F7 FF"
-OPCODES_2 = "10 11 12 13 16 17 28 29 2A 2E 2F 51 54 57 58 59 5A 5C 5E 6F 74 76 7F B6 B7 BE BF D6 DB EB EF"
+# Opcodes of one byte, and second bytes of those of two, whose operand can be relative to the instruction pointer.
+OPCODES_1 = (
+    0x01, 0x03, 0x09, 0x0B, 0x21, 0x23, 0x29, 0x2B, 0x31, 0x33, 0x38, 0x39, 0x3A, 0x3B, 0x63, 0x80, 0x81, 0x83, 0x84, 0x85, 0x88, 0x89, 0x8A, 0x8B, 0x8D, 0xC6, 0xC7, 0xF7, 0xFF,
+)
+OPCODES_2 = (
+    0x10, 0x11, 0x12, 0x13, 0x16, 0x17, 0x28, 0x29, 0x2A, 0x2E, 0x2F, 0x51, 0x54, 0x57, 0x58, 0x59, 0x5A, 0x5C, 0x5E, 0x6F, 0x74, 0x76, 0x7F, 0xB6, 0xB7, 0xBE, 0xBF, 0xD6, 0xDB, 0xEB, 0xEF,
+)
 
 
-def _set(codes: str) -> bytes:
-    return b"[" + b"".join(b"\\x" + c.encode() for c in codes.split()) + b"]"
+def _set(codes: tuple[int, ...]) -> bytes:
+    return b"[" + re.escape(bytes(codes)) + b"]"
 
 
 #: ModRM bytes with mod 00 and r/m 101.

@@ -8,7 +8,7 @@ from stratarc.functions import codecs, context_codec, transforms
 from stratarc.operators.blocks import greedy
 from stratarc.operators.chunking import cuts
 
-SETS = [{int(x, 16) for x in codes.split()} for codes in (transforms.OPCODES_1, transforms.OPCODES_2)]
+SETS = [set(transforms.OPCODES_1), set(transforms.OPCODES_2)]
 ODD = [0xE8, 0xE9, 0x48, 0x8B, 5, 0x0F, 0x66, 0x10, 0x0D, 0x94, 0x40, 0x25, 1, 0xFF, 0]
 
 
@@ -59,10 +59,16 @@ def test_range_bits(n, bits):
     assert transforms.range_bits(n) == bits
 
 
+def prose(seed: int, words: int) -> bytes:
+    r = random.Random(seed)
+    known = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(120)]
+    return " ".join(known[min(int(r.expovariate(0.05)), 119)] for _ in range(words)).encode()
+
+
 @pytest.mark.parametrize("plan", [(1,), (1, 2), (2,), (5, 1), (3,), (4,), ()])
 def test_codecs_come_back(plan):
-    data = b"".join(b"line %d says hello world %d\n" % (i % 97, i * 7) for i in range(60))
-    for d in (data, b"x", bytes(range(256))):
+    data = prose(1, 400)
+    for d in (data, b"\0", random.Random(2).randbytes(700)):
         codec, payload = codecs.compress(d, plan, 19, data[:500])
         assert len(payload) <= len(d)
         assert codecs.decompress(codec, payload, len(d), data[:500]) == d
@@ -82,11 +88,21 @@ def test_damage_is_refused():
 
 @pytest.mark.parametrize("fast", [False, True])
 def test_context_codec(fast):
-    data = b"".join(b"line %d says hello world %d\n" % (i % 97, i * 7) for i in range(25))
-    for n in (0, 1, 2, 7, 100, len(data)):
-        assert context_codec.decompress(context_codec.compress(data[:n], fast), n, fast) == data[:n]
+    data = prose(3, 900)
+    for n in (0, 1, 3, 511, 513, 1025, 2600, len(data)):
+        payload = context_codec.compress(data[:n], fast)
+        assert context_codec.decompress(payload, n, fast) == data[:n]
+    import zstandard
+
+    assert len(payload) < len(zstandard.ZstdCompressor(level=19).compress(data))
+    for bad in (payload[:-2], payload + b"ab", b"\2" + payload[1:], payload[:9]):
+        with pytest.raises(ValueError):
+            context_codec.decompress(bad, len(data), fast)
+    noise = random.Random(5).randbytes(3000)
+    assert context_codec.decompress(context_codec.compress(noise, fast), 3000, fast) == noise
+    assert context_codec.decompress(context_codec.compress(bytes(5000), fast), 5000, fast) == bytes(5000)
     primed = context_codec.compress(data[:120], fast, data[:400])
-    assert primed[0] >> 7 and context_codec.decompress(primed, 120, fast, data[:400]) == data[:120]
+    assert primed[0] == 1 and context_codec.decompress(primed, 120, fast, data[:400]) == data[:120]
     with pytest.raises(ValueError):
         context_codec.decompress(primed, 120, fast)
 

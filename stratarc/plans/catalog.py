@@ -124,10 +124,10 @@ def entries_json(spark, sf_dir):
 _BAD = "regexp_matches(p, '(^|/)(\\.|\\.\\.)?(/|$)')"
 
 
-@query(f"""WITH c AS (SELECT doc_id, substr(replace(replace(coalesce(text, ''), ' ', '/'), 'e', '.'), 1, 40) AS p FROM documents)
+@query(f"""WITH c AS (SELECT doc_id, replace(replace(coalesce(text, ''), ' ', '/'), 'e', '.') AS p FROM documents)
 SELECT doc_id, octet_length(encode(p)) BETWEEN 1 AND 4096 AND NOT contains(p, chr(92)) AND NOT {_BAD} AND NOT contains(split_part(p, '/', 1), ':') AS ok FROM c""")
 def path_validity(spark, sf_dir):
-    p = F.substring(F.translate(F.coalesce("text", F.lit("")), " e", "/."), 1, 40)
+    p = F.translate(F.coalesce("text", F.lit("")), " e", "/.")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", paths.is_valid(p).alias("ok"))
 
 

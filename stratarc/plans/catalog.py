@@ -146,12 +146,12 @@ def classify_files(spark, sf_dir):
     return files.groupBy(paths.extension(F.col("path")).alias("ext"), F.col("class").cast("int").alias("class")).agg(F.count("*").alias("files"))
 
 
-_SYNTHETIC = [("src/arm", 1, 2), ("src/data.bin", 2, 0), ("src/deep/er/copy.txt", 0, 0), ("src/empty", 0, 0), ("src/pack", 2, 0), ("src/photo.jpg", 2, 0), ("src/prog32", 1, 1), ("src/prog64", 1, 4), ("src/text.txt", 0, 0), ("src/한글/파일.txt", 0, 0)]
+_SYNTHETIC = [("src/arm", 1, 2), ("src/data.bin", 2, 0), ("src/deep/er/copy.txt", 0, 0), ("src/empty", 0, 0), ("src/pack", 2, 0), ("src/photo.jpg", 2, 0), ("src/prog32", 1, 1), ("src/prog64", 1, 4), ("src/short.bin", 0, 0), ("src/table.bin", 0, 0), ("src/text.txt", 0, 0), ("src/한글/파일.txt", 0, 0)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {c}, {t})" for p, c, t in _SYNTHETIC if p != "src/data.bin") + ") v(path, class, transform)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {c}, {t})" for p, c, t in _SYNTHETIC) + ") v(path, class, transform)")
 def classify_programs(spark, sf_dir):
-    files = classified(views.synthetic(spark).where("type = 0 AND path <> 'src/data.bin'"))
+    files = classified(views.synthetic(spark).where("type = 0"))
     return files.select("path", F.col("class").cast("int").alias("class"), F.col("transform").cast("int").alias("transform"))
 
 

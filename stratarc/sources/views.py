@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +64,15 @@ def synthetic(spark: SparkSession) -> DataFrame:
     elf = lambda machine, body: b"\x7fELF\x02\x01\x01" + bytes(11) + machine.to_bytes(2, "little") + bytes(44) + body
     code = b"".join(b"\xe8" + (0x1000 - 12 * i).to_bytes(4, "little", signed=True) + b"\x48\x8b\x05" + (0x2000 - 12 * i).to_bytes(4, "little", signed=True) for i in range(300))
     text = "".join(f"line {i}\n" for i in range(1, 301)).encode()
-    noise = bytes((i * i * 31 + i * 7 + (i >> 3) * 13) % 251 for i in range(5000))
+    noise = b"".join(hashlib.sha256(i.to_bytes(4, "little")).digest() for i in range(157))[:5000]
+    pattern = bytes((i * i * 31 + i * 7 + (i >> 3) * 13) % 251 for i in range(5000))
     rows = [
         ("src", 1, 0o755, 5, 1, None, None), ("src/text.txt", 0, 0o644, -3, 999_999_999, text, None), ("src/deep", 1, 0o755, 9, 0, None, None), ("src/deep/er", 1, 0o755, 9, 0, None, None),
         ("src/deep/er/copy.txt", 0, 0o644, 10, 5, text, None), ("src/prog64", 0, 0o755, 11, 0, elf(0x3E, code), None), ("src/prog32", 0, 0o755, 12, 0, elf(0x03, code), None),
         ("src/arm", 0, 0o755, 13, 0, elf(0xB7, b"".join((0x94000000 | (9000 - i)).to_bytes(4, "little") for i in range(400))), None), ("src/empty", 0, 0o600, 0, 0, b"", None), ("src/emptydir", 1, 0o700, 14, 0, None, None),
         ("src/한글/파일.txt", 0, 0o644, 15, 0, "안녕하세요\n".encode(), None), ("src/한글", 1, 0o755, 15, 0, None, None), ("src/deep/link", 2, 0o777, 16, 0, None, "../text.txt"), ("src/deep/escape", 2, 0o777, 17, 0, None, "/etc/passwd"),
         ("src/photo.jpg", 0, 0o644, 18, 0, b"\xff\xd8\xff\xe0" + noise, None), ("src/data.bin", 0, 0o644, 19, 0, noise, None), ("src/pack", 0, 0o644, 20, 0, b"\x1f\x8b\x08" + noise[:700], None),
+        ("src/table.bin", 0, 0o644, 21, 0, pattern, None), ("src/short.bin", 0, 0o644, 22, 0, noise[:511], None),
     ]
     made = [(i, p, t, m, s, n, len(c or b""), c, link) for i, (p, t, m, s, n, c, link) in enumerate(rows)]
     return spark.createDataFrame(made, "file_id long, path string, type short, mode int, mtime_s long, mtime_ns int, size long, content binary, link_target string")

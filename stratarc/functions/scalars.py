@@ -26,10 +26,20 @@ def type_name(kind: Column) -> Column:
 
 
 def human(n: Column) -> Column:
-    """Bytes with binary units: whole bytes below 1024, else two decimals."""
-    out = F.format_string("%d B", n.cast("long"))
+    """Bytes with binary units: whole bytes below 1024, else two decimals, halves to the even one."""
+    n = n.cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / float(1024**power))).otherwise(out)
+        # whole hundredths in integers: n = whole * size + rest, so nothing overflows
+        size = F.lit(1024**power).cast("long")
+        rest = (n % size) * 100
+        down, over = F.floor(rest / size), (rest % size) * 2
+        # floor() of a quotient of doubles is exact here: rest is below 100 * 2**40 and size a power of two
+        hundredths = F.floor(n / size) * 100 + down
+        hundredths = hundredths + F.when((over > size) | ((over == size) & (hundredths % 2 == 1)), 1).otherwise(0)
+        whole = F.floor(hundredths / 100).cast("long")
+        text = F.concat(whole.cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        out = F.when(n >= size, text).otherwise(out)
     return out
 
 

@@ -19,7 +19,7 @@ def rows(df):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW - {"cdc_chunks"} and n != "context_roundtrip"])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW - {"cdc_chunks"}])
 def test_same_as_sql(spark, sf, con, name):
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), con.execute(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -42,7 +42,22 @@ def test_nothing_outside_imports_llm():
             assert "stratarc.llm" not in p.read_text()
 
 
-def test_each_context_codec_is_run(spark, sf, con):
+def test_each_context_codec_is_run(spark, sf):
     coded = catalog._context_coded(spark, sf).select("fast.codec", "full.codec").collect()
     assert {tuple(r) for r in coded} == {(catalog.codecs.CONTEXT_FAST, catalog.codecs.CONTEXT)}
-    assert rows(catalog.context_roundtrip(spark, sf).toPandas()) == rows(con.execute(catalog.ORACLES["context_roundtrip"]).df())
+
+
+def test_human_sizes_round_halves_to_even(spark):
+    sizes = [0, 1023, 1024, 1028, 1029, 1152, 1408, 1664, 1920, (1 << 20) - 1, 1 << 20, (1 << 20) + (1 << 17), 5 * (1 << 30) + (3 << 27), 1 << 40, (1 << 62) + 1]
+    units = [(1 << 40, "TiB"), (1 << 30, "GiB"), (1 << 20, "MiB"), (1 << 10, "KiB")]
+
+    def plain(n):
+        from decimal import ROUND_HALF_EVEN, Decimal
+
+        for u, name in units:
+            if n >= u:
+                return f"{(Decimal(n) / u).quantize(Decimal('0.01'), ROUND_HALF_EVEN)} {name}"
+        return f"{n} B"
+
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", catalog.scalars.human(catalog.F.col("n")).alias("h")).collect()
+    assert {r["n"]: r["h"] for r in got} == {n: plain(n) for n in sizes}

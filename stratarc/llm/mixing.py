@@ -13,8 +13,9 @@ those, then running sums within a bucket; buckets grow with the root of the rows
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; null doc_ids hash as empty
 text. Repeated rows are separate documents. Documents of size 0 ride along with the passes at their place and take
-0 words. An empty table gives an empty result. Other columns are carried along untouched unless their names begin
-with ``mx_``, which this operator keeps for itself.
+0 words; a source without any word has target 0, takes part in no resharing and gives none. An empty table gives an empty result. Other columns are carried along
+untouched; where a name is one that this operator adds, the column of the input gets underscores behind its name in mix_sources(), and the added
+one in training_order().
 """
 
 from __future__ import annotations
@@ -80,21 +81,40 @@ def mix_sources(docs: DataFrame, size: Column | None = None, curriculum: Sequenc
     docs is read twice (sizes by bucket, then the rows themselves), so pass a table, not a long plan. size: an
     expression for a document's size, the words of docs.text unless given.
     """
+    mixed = _mixed(docs, size, curriculum, most, id_col, source_col)
+    names = {c: _free(c, [*ADDED, *(d for d in docs.columns if d != c)]) for c in docs.columns}
+    return mixed.select(*[F.col("mx_row")[c].alias(n) for c, n in names.items()], *ADDED)
+
+
+#: Columns that mix_sources() adds.
+ADDED = ("mx_size", "mx_source_size", "mx_target", "mx_rank", "mx_start", "mx_hash", "mx_copies", "mx_taken")
+
+
+def _free(name: str, others: Sequence[str]) -> str:
+    """name with as many underscores behind it as make it differ from the others, whatever their case."""
+    while name.lower() in {o.lower() for o in others}:
+        name += "_"
+    return name
+
+
+def _mixed(docs: DataFrame, size: Column | None = None, curriculum: Sequence[Knots] = CURRICULUM, most: float = 3.0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """ADDED, and mx_row, which holds the row of docs, so that none of its names can clash."""
     bits = bucket_bits(docs.count())
     size = words_count(F.col("text")) if size is None else size
-    based = docs.withColumns({
-        "mx_size": size,
-        "mx_src": F.when(F.col(source_col).isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
-        "mx_hash": id_hash(F.col(id_col)),
-    }).withColumn("mx_bucket", F.shiftright("mx_hash", 60 - bits))
+    based = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("mx_row"),
+        size.alias("mx_size"),
+        F.when(F.col(source_col).isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("mx_src"),
+        id_hash(F.col(id_col)).alias("mx_hash"), F.col(id_col).alias("mx_id"),
+    ).withColumn("mx_bucket", F.shiftright("mx_hash", 60 - bits))
     sums = written(based.groupBy("mx_src", "mx_bucket").agg(F.sum("mx_size").alias("mx_sum")), "mix-sums")
     targets = source_targets(sums.groupBy("mx_src").agg(F.sum("mx_sum").alias("mx_source_size")), [mean_weight(k) for k in curriculum], most)
     before = Window.partitionBy("mx_src").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("mx_src", "mx_bucket", F.coalesce(F.sum("mx_sum").over(before), F.lit(0)).alias("mx_base")).join(targets, "mx_src")
     starts = written(starts, "mix-starts")
-    inside = Window.partitionBy("mx_src", "mx_bucket").orderBy("mx_hash", id_col, "mx_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("mx_src", "mx_bucket").orderBy("mx_hash", "mx_id", "mx_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = based.join(starts, ["mx_src", "mx_bucket"]).withColumn("mx_start", F.col("mx_base") + F.coalesce(F.sum("mx_size").over(inside), F.lit(0)))
-    passes = F.coalesce(F.floor(F.col("mx_target") / F.col("mx_source_size")), F.lit(0))
+    passes = F.coalesce(F.floor(F.try_divide("mx_target", "mx_source_size")), F.lit(0))
     rest = F.col("mx_target") - passes * F.col("mx_source_size")
     more = (F.col("mx_start") + F.col("mx_size") / 2 < rest).cast("long")
     placed = placed.withColumn("mx_copies", (passes + more).cast("long"))
@@ -104,7 +124,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, curriculum: Sequenc
 def position(copy: Column, curriculum: Sequence[Knots] = CURRICULUM) -> Column:
     """Training position in [0, 1] of the given copy (from 0) of a row of mix_sources()."""
     demand = copy * F.col("mx_source_size") + F.col("mx_start") + F.col("mx_size") / 2
-    share = F.coalesce(F.least(demand / F.col("mx_target"), F.lit(1.0)), F.lit(0.0))
+    share = F.coalesce(F.least(F.try_divide(demand, F.col("mx_target")), F.lit(1.0)), F.lit(0.0))
     kinds = [_invert(share, k) for k in curriculum]
     out = kinds[-1]
     for i in reversed(range(len(kinds) - 1)):
@@ -115,19 +135,19 @@ def position(copy: Column, curriculum: Sequence[Knots] = CURRICULUM) -> Column:
 def training_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """Every copy that the mix takes, range-sorted by training position, with docs' columns and ``position``."""
     curriculum = options.get("curriculum", CURRICULUM)
-    mixed = mix_sources(docs, **options)
-    copies = mixed.where("mx_copies > 0").withColumn("mx_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mx_copies") - 1)))
-    placed = copies.select(*docs.columns, position(F.col("mx_copy"), curriculum).alias("position"), "mx_hash", "mx_copy")
+    copies = _mixed(docs, **options).where("mx_copies > 0").withColumn("mx_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mx_copies") - 1)))
+    placed = copies.select("mx_row", position(F.col("mx_copy"), curriculum).alias("mx_position"), "mx_hash", "mx_copy")
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ("position", "mx_hash", "mx_copy")
-    return placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*docs.columns, "position")
+    keys = ("mx_position", "mx_hash", "mx_copy")
+    ordered = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return ordered.select(*[F.col("mx_row")[c].alias(c) for c in docs.columns], F.col("mx_position").alias(_free("position", docs.columns)))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract columns for all documents, with the training position of the first copy (null: not taken)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     slim = written(docs.select("doc_id", "source", words_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix_sources(slim, size=F.col("size"))
+    mixed = _mixed(slim, size=F.col("size")).withColumn("doc_id", F.col("mx_row.doc_id"))
     first = F.when(F.col("mx_copies") > 0, position(F.lit(0)))
     out = mixed.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), F.col("mx_taken").alias("taken"), first.alias("position"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

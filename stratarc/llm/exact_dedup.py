@@ -64,22 +64,24 @@ def _key(column) -> list:
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() drops, with docs' own columns.
+    """docs without the rows that exact_groups() drops, with docs' own columns, whatever their names and types.
 
-    Rows that share the kept doc_id and its normalised text are reduced to one, the smallest by its columns (so map
-    columns are not supported). An id whose rows differ in text keeps each text that it is the keeper of.
+    Rows that share the kept doc_id and its normalised text are reduced to one, the smallest by its JSON. An id whose rows differ in text
+    keeps each text that it is the keeper of.
     """
     id_ = ["xd_id", "xd_null"]
     groups = exact_groups(docs, id_col, text_col)
     gone = groups.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count("*").alias("times")).where("times > stay")
     gone = written(gone.select(*_key(F.col("doc_id")), "stay"), "dedup-gone")
-    named = docs.select(*docs.columns, *_key(F.col(id_col)))
-    clear = named.join(gone, id_, "left_anti").select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    named = docs.select(row, *_key(F.col(id_col)), F.col(text_col).alias("text"))
+    clear = named.join(gone, id_, "left_anti").select("row")
     # ids that keep something and drop something repeat: decide by id and text
-    several = named.join(gone.where("stay > 0").drop("stay"), id_).withColumn("xd_sha", F.sha2(squeezed(F.col(text_col)), 256))
-    first = several.groupBy(*id_, "xd_sha").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    several = named.join(gone.where("stay > 0").drop("stay"), id_).withColumn("xd_sha", F.sha2(squeezed(F.col("text")), 256))
+    first = several.groupBy(*id_, "xd_sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
     dropped = groups.groupBy(*_key(F.col("doc_id")), F.col("text_sha256").alias("xd_sha")).agg(F.max("kept").alias("kept")).where(~F.col("kept")).drop("kept")
-    return clear.unionByName(first.join(dropped, [*id_, "xd_sha"], "left_anti").select("row.*"))
+    both = clear.unionByName(first.join(dropped, [*id_, "xd_sha"], "left_anti").select("row"))
+    return both.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

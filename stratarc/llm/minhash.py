@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
 def drop_near(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each component the rows of the smallest doc_id stay; docs' own columns."""
     gone = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias("nd_id")).distinct(), "minhash-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["nd_id"], "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["nd_id"], "left_anti").select(*docs.columns)
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

@@ -26,12 +26,16 @@ LIVE = r"(?<!\\)</turn>\n"
 END = "\n</turn>\n"
 
 
+#: Only from the head of a run of backslashes, and never giving any back: linear in runs of any length.
+CONTROL = r"(\\*+)(</turn>|###)"
+
+
 def escape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\\*)(</turn>|###)", r"\\$1$2")
+    return F.regexp_replace(text, r"(?<!\\)" + CONTROL, r"\\$1$2")
 
 
 def unescape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\*)(</turn>|###)", "$1$2")
+    return F.regexp_replace(text, r"(?<!\\)\\" + CONTROL, "$1$2")
 
 
 def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:

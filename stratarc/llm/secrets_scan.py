@@ -14,6 +14,7 @@ findings. An empty table gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -58,13 +59,20 @@ DICTIONARY = ("example", "sample", "password", "secret", "changeme", "change", "
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of candidates in order, none overlapping but mixed ones with slashes and their parts."""
-    taken: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int]] = []  # of earlier kinds: in order and apart
     for kind, pattern in COMPILED:
+        ends = [y for _, y in taken]
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if not any(a < y and x < b and not (k == kind == "mixed") for x, y, k in taken):
-                taken.append((a, b, kind))
-    return [(k, a, b) for a, b, k in sorted(taken)]
+            i = bisect.bisect_right(ends, a)  # the first that ends behind a
+            if i == len(taken) or taken[i][0] >= b:
+                new.append((a, b))
+        found += [(a, b, kind) for a, b in new]
+        if kind != "mixed":
+            taken = sorted(taken + new)
+    return [(k, a, b) for a, b, k in sorted(found)]
 
 
 def _pair_model() -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -72,6 +73,10 @@ def test_drop_exact_leaves_one_of_each(odd, empty):
     normal = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in left.collect()]
     assert len(normal) == len(set(normal)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in odd.collect()})
     assert exact_dedup.drop_exact(empty).count() == 0
+    clash = odd.withColumns({"xd_id": F.lit(1), "xd_null": F.lit("n"), "xd_sha": F.lit(None).cast("string"), "row": F.lit(2.5), "nd_id": F.lit(3), "kept": F.lit(False), "m": F.create_map(F.lit("k"), "lang")})
+    there = exact_dedup.drop_exact(clash)
+    assert there.columns == clash.columns and Counter(r["doc_id"] for r in there.collect()) == Counter(r["doc_id"] for r in left.collect())
+    assert exact_dedup.drop_exact(clash.where("false")).count() == 0
 
 
 def test_mixing(odd, docs, empty):
@@ -105,6 +110,20 @@ def test_mixing(odd, docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_sources_without_words(spark):
+    some = [(1, "a b c d", "x", 1.5), (2, "", "y", 2.5), (3, None, "y", None), (4, "e f", None, 0.0)]
+    for rows in (some, [(i, None, "y", None) for i in range(3)], [(9, " \n", None, 1.0)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, position double").withColumn("mx_size", F.lit("own")).withColumn("m", F.create_map(F.lit("a"), "doc_id"))
+        mixed = mixing.mix_sources(df)
+        assert mixed.columns[:6] == ["doc_id", "text", "source", "position", "mx_size_", "m"]
+        got = {r["doc_id"]: r for r in mixed.collect()}
+        assert len(got) == len(rows) and all(r["mx_size_"] == "own" for r in got.values())
+        assert all(got[d]["mx_target"] == got[d]["mx_taken"] == 0 for d, _, s, _ in rows if s == "y")
+        order = mixing.training_order(df)
+        assert order.columns == [*df.columns, "position_"]
+        assert {r["doc_id"] for r in order.collect()} == ({1} if rows is some else set())
+
+
 def test_training_order_follows_the_schedules(spark):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit("a b c d").alias("text"))
     rows = mixing.training_order(df).collect()
@@ -139,6 +158,15 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_long_runs_of_escapes(spark):
+    text = "\\" * 300_000 + "x" + "\\" * 200_000 + "</turn>\n" + "#" * 100_001
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    row = chat.read_back(chat.format_conversations(df)).first()
+    assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["n_turns"] == 1
+    assert time.time() - began < 60
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -334,6 +362,21 @@ def test_long_secrets_are_whole(spark):
     assert sorted((r["doc_id"], r["start"], r["length"], r["secret_sha256"]) for r in got) == [(d, t.index(v), len(v), hashlib.sha256(v.encode()).hexdigest()) for d, t, v in rows]
 
 
+def test_overlaps_are_found_by_order():
+    text = " ".join(f"token_{i}=ab{i}cd{'/' * (i % 3)}{'e7' * (i % 17)}" for i in range(20_000))
+    began = time.time()
+    found = secrets_scan.find(text)
+    assert time.time() - began < 20 and sum(k == "assigned" for k, _, _ in found) == 20_000
+    small = text[:4000]
+    taken = []
+    for kind, pattern in secrets_scan.COMPILED:
+        for m in pattern.finditer(small):
+            a, b = m.span(1)
+            if not any(a < y and x < b and not (k == kind == "mixed") for x, y, k in taken):
+                taken.append((a, b, kind))
+    assert secrets_scan.find(small) == [(k, a, b) for a, b, k in sorted(taken)]
+
+
 def test_words_whose_letters_change(spark, tokenizer):
     import pyarrow as pa
 

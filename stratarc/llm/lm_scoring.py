@@ -5,12 +5,12 @@
 2. Words: each block's training counts go to shards by hash range, which merge them into sorted arrays of hashes and counts,
    written as files. A word's number is its place in them. Workers memory-map these files; nothing of the vocabulary goes
    through the driver.
-3. Bigrams: a block sends every distinct pair (as two word numbers in 64 bits) with its training count, 0 where only held-out texts
-   have it, to the shard that the pair's hash names. The shard merges, writes its sorted arrays, memory-maps them, answers each
-   block from them, and adds up what its pairs say of contexts and continuations. A frequent word or pair
-   arrives once per block, so no shard is hot.
+3. Bigrams: a task merges the distinct pairs of its blocks (two word numbers in 64 bits, with their training count) and sends them to the
+   shards that the pairs' hashes name. A shard merges them, writes its sorted arrays of pairs and counts, and adds up what its
+   pairs say of contexts and continuations. A frequent word or pair arrives once per task, so no shard is hot.
 4. Context and continuation sums per word become memory-mapped arrays by ranges of word numbers; count-of-counts give the discounts.
-5. A block puts its answers and the mapped arrays together into log probabilities and sums them per text.
+5. Scoring reads the blocks once more, without a shuffle: workers map the arrays, look up a block's distinct words, pairs and contexts by
+   binary search, and sum log probabilities per text.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end token. A text's first token has a start context.
 Training texts are those whose crc32 of doc_id as text is not 0 modulo ``folds``. An unknown word gets the share of one
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,8 @@ from stratarc.llm.tokens import text_slices
 
 END = np.uint64(0x656E646F66746578)
 RANGE = 1 << 18
+#: Pairs that a task merges before it sends them on, and training tokens per shard of pairs.
+MERGED, SHARD_TOKENS = 3_000_000, 2_000_000
 BLOCK_SQL = "block long, docs long, doc_ids binary, no_id binary, held binary, ends binary, words binary, codes binary"
 STAT = np.dtype([("total", "<i8"), ("n1", "<i8"), ("n2", "<i8"), ("n3", "<i8"), ("cont", "<i8")])
 
@@ -73,7 +74,7 @@ class _Block:
         self.block, self.ends = row["block"], read("ends", "<i8")
         self.ids = [None if z else int(d) for d, z in zip(read("doc_ids", "<i8"), read("no_id", np.uint8), strict=True)]
         self.held, self.codes = read("held", np.uint8), unsqueeze(row["codes"], "<u4")
-        self.words = unsqueeze(row["words"], "<u8", True) if "words" in row else None
+        self.words = unsqueeze(row["words"], "<u8", True)
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.train = np.repeat(self.held == 0, self.ends - self.begins)
 
@@ -170,75 +171,95 @@ def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def _put_counts(uri: str, n: np.ndarray) -> None:
+    """Counts in a byte each; those of 255 or more are listed beside, by place."""
+    many = np.flatnonzero(n >= 255)
+    put(uri, np.minimum(n, 255).astype(np.uint8).tobytes())
+    put(f"{uri}-more", np.stack([many, n[many]], 1).astype("<i8").tobytes())
+
+
+def _get_counts(uri: str, at: np.ndarray) -> np.ndarray:
+    n = mapped(uri, np.uint8)[at].astype(np.int64)
+    if (high := np.flatnonzero(n == 255)).size:
+        more = mapped(f"{uri}-more", "<i8").reshape(-1, 2)
+        n[high] = more[np.searchsorted(more[:, 0], at[high]), 1]
+    return n
+
+
 def count_pairs(blocks: DataFrame, root: str, words: _Words, shards: int) -> DataFrame:
-    """kind 'answer' rows for (block, shard), 'stat' rows by range of word numbers, and one 'coc' row per shard."""
+    """Write the pair files; rows of sums by range of word numbers, and one of count-of-counts (at -1) per shard."""
     vocabulary = int(words.base[-1])
     ranges = (vocabulary + 2) // RANGE + 1
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            rows = [(s, (squeeze(k, True), squeeze(v))) for s, (k, v) in _pack(_pair_shard(held[0], shards), shards, held[0], held[1].astype("<u4"))]
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x[0] for _, x in rows], pa.binary()), pa.array([x[1] for _, x in rows], pa.binary())], names=["shard", "keys", "n"])
+
         for row in _rows(batches):
             b = _Block(row)
-            number, known = words.look(b.words)
-            keys, n = _summed(b.pairs(number, vocabulary + 1), b.train.astype("<i8"))
-            rows = [(s, (squeeze(k, True), squeeze(v))) for s, (k, v) in _pack(_pair_shard(keys, shards), shards, keys, n.astype("<u4"))]
-            # a block's own numbers and counts go along to where it is scored; any shard will do
-            rows.append((-1 - b.block % shards, (squeeze(number), squeeze(known))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b.block] * len(rows), pa.int64()), pa.array([x[0] for _, x in rows], pa.binary()), pa.array([x[1] for _, x in rows], pa.binary())], names=["shard", "block", "keys", "n"])
+            number, _ = words.look(b.words)
+            keys = b.pairs(number, vocabulary + 1)[b.train]
+            keys, n = np.unique(keys, return_counts=True)
+            held = _summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n]))
+            if len(held[0]) >= MERGED:
+                yield out()
+                held = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if len(held[0]):
+            yield out()
 
     def merge(table: pa.Table) -> pa.Table:
         frugal()
         shard = table.column("shard")[0].as_py()
-        if shard < 0:
-            size = table.num_rows
-            return pa.table({"kind": pa.array(["words"] * size), "at": table.column("block"), "shard": table.column("shard"), "data": table.column("keys"), "more": table.column("n")})
-        coded = table.column("keys").to_pylist()
-        keys, n = np.concatenate([unsqueeze(x, "<u8", True) for x in coded]), np.concatenate([unsqueeze(x, "<u4") for x in table.column("n").to_pylist()])
-        keys, n = keys[n > 0], n[n > 0]  # what only held-out texts have is no part of the model
+        keys, n = np.concatenate([unsqueeze(x.as_py(), "<u8", True) for x in table.column("keys")]), np.concatenate([unsqueeze(x.as_py(), "<u4") for x in table.column("n")])
         keys, n = _summed(keys, n.astype(np.int64))
         put(f"{root}/pairs-{shard}", keys.astype("<u8").tobytes())
-        put(f"{root}/pair-counts-{shard}", n.astype("<u4").tobytes())
-        model, counts = mapped(f"{root}/pairs-{shard}", "<u8"), mapped(f"{root}/pair-counts-{shard}", "<u4")
-        out = []
-        for block, packed in zip(table.column("block").to_pylist(), coded, strict=True):
-            asked = unsqueeze(packed, "<u8", True)
-            got = np.zeros(len(asked), "<u4")
-            if len(model):
-                at = np.minimum(np.searchsorted(model, asked), len(model) - 1)
-                hit = model[at] == asked
-                got[hit] = counts[at[hit]]
-            out.append(("answer", block, shard, squeeze(got)))
+        _put_counts(f"{root}/pair-counts-{shard}", n)
+        out = [(-1, squeeze(np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], "<i8")))]
         left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ids = np.concatenate([left, right])
-        zero = np.zeros(len(left), np.int64)
-        stat = _summed(ids, *(np.concatenate([v.astype(np.int64), zero]) for v in (n, n == 1, n == 2, n >= 3)), np.concatenate([zero, zero + 1]))
-        rows = np.stack(stat, 1).astype("<i8")
-        part = stat[0] // RANGE
-        for r in range(ranges):
-            if len(mine := rows[part == r]):
-                out.append(("stat", r, shard, mine.tobytes()))
-        out.append(("coc", 0, shard, np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], "<i8").tobytes()))
-        kind, at, by, data = zip(*out, strict=True)
-        return pa.table({"kind": pa.array(kind, pa.string()), "at": pa.array(at, pa.int64()), "shard": pa.array(by, pa.int32()), "data": pa.array(data, pa.binary()), "more": pa.nulls(len(data), pa.binary())})
-
-    pairs = blocks.mapInArrow(local, "shard int, block long, keys binary, n binary")
-    return pairs.groupBy("shard").applyInArrow(merge, "kind string, at long, shard int, data binary, more binary")
-
-
-def word_stats(counted: DataFrame, root: str) -> np.ndarray:
-    """Write per-word sums of contexts and continuations; the sum of count-of-counts of continuations 1 to 4."""
+        del keys
+        # contexts come in order; continuations are counted by word
+        first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+        right, cont = np.unique(right, return_counts=True)
+        ids = np.union1d(left[first], right)
+        stat = np.zeros((6, len(ids)), "<i8")
+        stat[0] = ids
+        for k, v in enumerate((n, n == 1, n == 2, n >= 3), 1):
+            stat[k, np.searchsorted(ids, left[first])] = np.add.reduceat(v.astype(np.int64), first)
+        stat[5, np.searchsorted(ids, right)] = cont
+        cuts = np.searchsorted(ids, np.arange(ranges + 1) * RANGE)
+        out += [(r, squeeze(stat[:, cuts[r] : cuts[r + 1]].reshape(-1), True)) for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        return pa.table({"at": pa.array([a for a, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
+
+    pairs = blocks.mapInArrow(local, "shard int, keys binary, n binary")
+    return pairs.groupBy("shard").applyInArrow(merge, "at long, data binary")
+
+
+def word_stats(counted: DataFrame, root: str) -> tuple[np.ndarray, np.ndarray]:
+    """Write per-word sums of contexts and continuations; count-of-counts of pairs (and how many there are) and of continuations."""
 
     def merge(table: pa.Table) -> pa.Table:
         frugal()
         at = table.column("at")[0].as_py()
-        rows = np.frombuffer(b"".join(table.column("data").to_pylist()), "<i8").reshape(-1, 6)
-        out = np.zeros(RANGE, STAT)
-        for k, name in enumerate(STAT.names):
-            np.add.at(out[name], rows[:, 0] - at * RANGE, rows[:, k + 1])
-        put(f"{root}/stats-{at}", out.tobytes())
-        return pa.table({f"c{k}": pa.array([int((out["cont"] == k).sum())]) for k in (1, 2, 3, 4)})
-
-    done = counted.where("kind = 'stat'").groupBy("at").applyInArrow(merge, "c1 long, c2 long, c3 long, c4 long")
-    return np.array([[r[f"c{k}"] for k in (1, 2, 3, 4)] for r in done.collect()], np.int64).reshape(-1, 4).sum(0)  # one row per range
+        found = np.zeros(9, np.int64)
+        if at < 0:
+            for x in table.column("data"):
+                found[:5] += unsqueeze(x.as_py(), "<i8")
+        else:
+            out = np.zeros(RANGE, STAT)
+            for x in table.column("data"):
+                rows = unsqueeze(x.as_py(), "<i8", True).reshape(6, -1)
+                for k, name in enumerate(STAT.names):
+                    out[name][rows[0] - at * RANGE] += rows[k + 1]  # a shard lists a word once
+            put(f"{root}/stats-{at}", out.tobytes())
+            found[5:] = [(out["cont"] == k).sum() for k in (1, 2, 3, 4)]
+        return pa.table({"found": pa.array([found.tolist()], pa.list_(pa.int64()))})
+
+    done = written(counted.groupBy("at").applyInArrow(merge, "found array<long>"), "lm-sums").collect()  # one row per range
+    found = np.array([r["found"] for r in done], np.int64).reshape(-1, 9).sum(0)
+    return found[:5], found[5:]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -259,13 +280,11 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
     word_shards = 1 << max(0, (shards - 1).bit_length())
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(token_blocks(slim, folds), "lm-blocks")
-    shards = max(shards, blocks.count() // 3)
     sizes = count_words(blocks, root, word_shards)
     words = _Words(root, sizes)
     vocabulary, tokens = int(words.base[-1]), sum(t for _, t in sizes)
-    counted = written(count_pairs(blocks, root, words, shards), "lm-pairs")
-    continued = word_stats(counted, root)
-    totals = np.sum([np.frombuffer(r["data"], "<i8") for r in counted.where("kind = 'coc'").select("data").collect()] + [np.zeros(5, np.int64)], 0)  # one row per shard
+    shards = max(shards, tokens // SHARD_TOKENS)
+    totals, continued = word_stats(count_pairs(blocks, root, words, shards), root)
     high, low, types = discounts(totals[:4]), discounts(continued), int(totals[4])
 
     def stats(numbers: np.ndarray) -> np.ndarray:
@@ -280,25 +299,28 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
                 continue
         return out
 
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        frugal()
-        b = _Block({n: left.column(n)[0].as_py() for n in left.column_names})
-        own = right.filter(pc.equal(right.column("kind"), "words"))
-        right = right.filter(pc.equal(right.column("kind"), "answer"))
-        number, count = (unsqueeze(own.column(c)[0].as_py(), "<i8") for c in ("data", "more"))
+    def counts_of(keys: np.ndarray) -> np.ndarray:
+        """Training counts of sorted pairs, from the mapped arrays."""
+        out = np.zeros(len(keys), np.int64)
+        for s, (mine, place) in _pack(_pair_shard(keys, shards), shards, keys, np.arange(len(keys))):
+            try:
+                model = mapped(f"{root}/pairs-{s}", "<u8")
+            except FileNotFoundError:  # no pair has a hash of this shard
+                continue
+            at = np.minimum(np.searchsorted(model, mine), len(model) - 1)
+            hit = model[at] == mine
+            out[place[hit]] = _get_counts(f"{root}/pair-counts-{s}", at[hit])
+        return out
+
+    def scored(b: _Block) -> pa.RecordBatch:
+        number, count = words.look(b.words)
         pair = b.pairs(number, vocabulary + 1)
         order = np.argsort(pair, kind="stable")
-        first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(pair) else np.empty(0, bool)
-        keys = pair[order][first]
-        inverse = np.empty(len(pair), np.int64)
+        first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
+        seen = counts_of(pair[order][first])
+        inverse = np.empty(len(pair), np.uint32)
         inverse[order] = np.cumsum(first) - 1
-        answers = {s.as_py(): d.as_py() for s, d in zip(right.column("shard"), right.column("data"), strict=True)}
-        shard = _pair_shard(keys, shards)
-        by = np.argsort(shard, kind="stable")
-        seen = np.zeros(len(keys), np.int64)
-        seen[by] = np.concatenate([unsqueeze(answers[s], "<u4") for s in sorted(answers)])
-        del pair, order, first, keys, shard, by, answers, right
-        # probabilities of distinct pairs
+        del pair, order, first
         known = stats(np.append(number, vocabulary + 1))
         cont = known["cont"][:-1].astype(float)
         spare = low[1] * continued[0] + low[2] * continued[1] + low[3] * max(0, vocabulary - continued[0] - continued[1])
@@ -315,14 +337,17 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
             c, low_p, t = seen[inverse[at]], lower[code[at]], total[context[at]]
             top = np.maximum(c - high[np.minimum(c, 3)], 0)
             logs[at] = np.log10(np.where(t > 0, (top + gamma[context[at]] * low_p) / np.maximum(t, 1), low_p))
-        add = lambda x: np.add.reduceat(x, b.begins) if len(x) else x
-        return pa.table({
+        add = lambda x: np.add.reduceat(x, b.begins)
+        return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held == 1), "n_tokens": pa.array(b.ends - b.begins), "n_known": pa.array(add((count[code] > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(len(b.ids), tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(logs), pa.float64()),
         })
 
-    answers = counted.where("kind IN ('answer', 'words')").select(F.col("at").alias("block"), "kind", "shard", "data", "more")
-    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield scored(_Block(row))
+
+    return written(blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 
-_local: dict[str, str] = {}
-
 
 def _path(uri: str) -> str | None:
     """The path of a file: address, which every machine sees in the shared folder; None for other stores."""
@@ -38,18 +33,11 @@ def put(uri: str, data: bytes) -> None:
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
-    """The file as a memory-mapped array: in place where the folder is mounted, else from a copy this worker drops at its end."""
-    path = _path(uri) or _local.get(uri)
-    if path is None:
-        from pyarrow import fs
-
-        if not _local:
-            _local[""] = tempfile.mkdtemp(prefix="stratarc-")
-            atexit.register(shutil.rmtree, _local[""], ignore_errors=True)
-        store, far = fs.FileSystem.from_uri(uri)
-        path = _local[uri] = os.path.join(_local[""], uuid.uuid4().hex)
-        with store.open_input_stream(far) as f, open(path, "wb") as g:
-            shutil.copyfileobj(f, g, 1 << 22)
-    if os.path.getsize(path) == 0:
-        return np.empty(0, dtype)
-    return np.memmap(path, dtype, "r")
+    """The file as a memory-mapped array; where the folder isn't mounted, read whole, a shard at a time."""
+    if path := _path(uri):
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+    from pyarrow import fs
+
+    store, far = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(far) as f:
+        return np.frombuffer(f.read(), dtype)

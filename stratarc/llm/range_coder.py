@@ -1,14 +1,15 @@
 """Adaptive context-mixing range coder for token ids, run in lock step over many independent blocks.
 
-A frame holds many blocks of up to BLOCK ids. Its header has the frame's id frequencies (the order-0 prediction);
-every block starts from the same empty state, ends in its own flush, and carries the CRC-32 of its ids, so a block is
-decoded from the header and its own bytes alone. Within a block, order-1 and order-2 contexts each predict one id with a
-confidence of 0 to 3. Two adaptive count tables, selected by the pair of confidences and by which predictions came
-true lately, are mixed by adding their counts, which weigh by evidence; they say how likely the order-2 prediction, the
-order-1 prediction, or neither is right. In the last case the order-0 frequencies say which id. Both choices are one
-interval of a carry-less 64-bit range coder that puts out 16-bit words.
-
-numpy does one position of all blocks at a time: the arithmetic is that of a scalar coder per block.
+A frame holds many blocks of up to BLOCK ids. Its header lists how frequent its ids are, which sorts them into CLASSES bands of about equal weight, the
+frequent ids first. Every block starts from the same state, ends in its own flush, and carries the CRC-32 of its ids, so a block is decoded from the
+header and its own words alone. Within a block three orders predict the next id. Order 2 and order 1 each name the id that followed the last two ids, or
+the last one, with a confidence of 0 to 3. How likely each of them is right is learned twice, by the pair of confidences and by its own with which predictions
+came true lately, and both chances are mixed. Where neither is right, order 0 tells the id: an adaptive distribution over the bands, then the place in the band by
+the frame's frequencies.
+
+Choices are intervals of a range coder with a window of 62 bits that puts out words of 32. Totals are powers of two, so encoding needs no division. A carry
+is left in the word it belongs to, and all carries are passed on at the end. numpy does one position of all blocks at a time: the arithmetic is
+that of a scalar coder per block.
 """
 
 from __future__ import annotations
@@ -19,199 +20,244 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-SLOTS = 4096
-BITS = 16
-MAGIC = b"TIB1"
-_BOT = np.uint64(1 << 32)
+#: Places of a block for contexts of order 2 and of order 1.
+SLOTS = (2048, 512)
+CLASSES = 16
+MAGIC = b"TIB2"
+#: Bits of the chances of flags and of the bands' distribution, which make up one interval, and of places in a band.
+BITS, PLACE = 12, 16
 _U = np.uint64
+_LEAST, _MASK30, _MASK32 = _U(1 << 30), _U((1 << 30) - 1), _U((1 << 32) - 1)
+#: No id: what a context without history predicts.
+_NONE = 0xFFFF
+#: Chances of 2**16 move towards these, so that none gets near 0 or 1.
+_LOW, _HIGH = 40, 65_500
+#: Where the bounds of bands move after a band was seen; every band keeps a width of 1 at least.
+_GOAL = np.array([[j + ((1 << BITS) - CLASSES) * (j > c) for j in range(CLASSES + 1)] for c in range(CLASSES)], np.int16)
+#: Chances that a prediction of confidence 0 to 3 is right, before anything is learned.
+_PRIOR = np.array([60, 15_000, 35_000, 55_000], np.int32)
+_START = np.array([j * (1 << BITS) // CLASSES for j in range(CLASSES + 1)], np.int16)
 
 
-def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of 2**BITS, at least 1 where an id occurs."""
-    out = np.zeros(len(counts), np.int64)
-    there = np.flatnonzero(counts)
-    if len(there):
-        room = (1 << BITS) - len(there)
-        share = counts[there].astype(np.float64) * room / counts.sum()
-        out[there] = 1 + share.astype(np.int64)
-        rest = (1 << BITS) - int(out.sum())
-        top = there[np.argsort(-(share - share.astype(np.int64)), kind="stable")]
-        out[top[:rest]] += 1
-        out[top[0]] += (1 << BITS) - int(out.sum())
+def frequencies(counts: np.ndarray, total: int) -> np.ndarray:
+    """Positive counts scaled to a sum of total, at least 1 each."""
+    share = counts.astype(np.float64) * (total - len(counts)) / counts.sum()
+    out = 1 + share.astype(np.int64)
+    out[np.argsort(-(share - share.astype(np.int64)), kind="stable")[: total - int(out.sum())]] += 1
+    out[int(out.argmax())] += total - int(out.sum())
     return out
 
 
+class _Bands:
+    """Ids in order of their frequency, cut into bands, with frequencies of a sum of 2**PLACE in each."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(-counts, kind="stable")
+        ids, counts = ids[order].astype(np.int64), counts[order]
+        before = np.cumsum(counts) - counts
+        band = np.minimum(before * CLASSES // max(1, int(counts.sum())), CLASSES - 1)
+        self.band, self.low, self.width = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.band[ids] = band
+        self.by_place = np.zeros((CLASSES, 1 << PLACE), np.uint16)
+        for c in np.unique(band):
+            mine = band == c
+            width = frequencies(counts[mine], 1 << PLACE)
+            self.width[ids[mine]], self.low[ids[mine]] = width, np.cumsum(width) - width
+            self.by_place[c] = np.repeat(ids[mine], width)
+        self.low, self.width = self.low.astype(np.uint64), self.width.astype(np.uint64)
+
+
 class _State:
     def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.pred = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]
-        self.conf = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.by_conf = np.ones((lanes * 16, 3), np.int64)
-        self.by_past = np.ones((lanes * 9, 3), np.int64)
-        self.lane16, self.lane9 = np.arange(lanes) * 16, np.arange(lanes) * 9
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
-        self.past = np.full(lanes, 8, np.int64)
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def look(self, n: int) -> tuple:
-        s1 = self.base[:n] + ((self.p1[:n] * 40503 >> 4) & (SLOTS - 1))
-        s2 = self.base[:n] + ((self.p1[:n] * 40503 + self.p2[:n] * 60493 >> 3) & (SLOTS - 1))
-        c1, c2 = self.conf[0][s1], self.conf[1][s2]
-        a = self.lane16[:n] + ((c2 << 2) | c1)
-        b = self.lane9[:n] + self.past[:n]
-        f = self.by_conf[a] + self.by_past[b]
-        return s1, s2, self.pred[0][s1], self.pred[1][s2], c1, c2, a, b, f
-
-    def learn(self, n: int, seen: tuple, ids: np.ndarray, flag: np.ndarray) -> None:
-        s1, s2, q1, q2, c1, c2, a, b, f = seen
-        for k, (s, q, c) in enumerate(((s1, q1, c1), (s2, q2, c2))):
-            weak = c <= 1
-            hit = (q == ids) & (c > 0)
-            self.conf[k][s] = np.where(hit, np.minimum(c + 1, 3), np.where(weak, 1, c - 1))
-            self.pred[k][s] = np.where(weak, ids, q)
-        self.by_conf[a, flag] += 8
-        self.by_past[b, flag] += 8
-        if (full := f.sum(1) > 2000).any():
-            self.by_conf[a[full]] = (self.by_conf[a[full]] + 1) >> 1
-            self.by_past[b[full]] = (self.by_past[b[full]] + 1) >> 1
+        lane = np.arange(lanes)
+        self.bases, self.lane16, self.lane36 = [lane * k for k in SLOTS], lane * 16, lane * 36
+        # predicted id and, above it, confidence
+        self.table = [np.full(lanes * k, _NONE, np.int32) for k in SLOTS]
+        # chances of 2**16 that order 2 is right, and that order 1 is if order 2 isn't
+        self.by_conf = [np.tile(np.repeat(_PRIOR, 4), lanes), np.tile(_PRIOR, 4 * lanes)]
+        self.by_past = [np.tile(_PRIOR, 9 * lanes) for _ in range(2)]
+        self.bounds = np.tile(_START, (lanes, 1))
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.past = np.full(lanes, 32)  # 4 times both last flags, in threes
+        self.range = np.full(lanes, (1 << 62) - 1, np.uint64)
+
+    def look(self, n: int) -> None:
+        """Predictions of the first n lanes, and the widths of both flags of 2**BITS."""
+        h = self.p1[:n] * 40503
+        s1 = (h >> 4 & (SLOTS[1] - 1)) + self.bases[1][:n]
+        s2 = (h + self.p2[:n] * 30011 >> 3 & (SLOTS[0] - 1)) + self.bases[0][:n]
+        self.slots = s2, s1
+        self.held = e2, e1 = self.table[0].take(s2), self.table[1].take(s1)
+        self.ids = e2 & 0xFFFF, e1 & 0xFFFF
+        c2, c1 = e2 >> 16, e1 >> 16
+        a = (c2 << 2) + c1 + self.lane16[:n]
+        b = self.lane36[:n] + self.past[:n]
+        self.at = (a, b + c2), (a, b + c1)
+        self.chances = [(x.take(i), y.take(j)) for x, y, (i, j) in zip(self.by_conf, self.by_past, self.at, strict=True)]
+        p, q = (x + y >> 17 - BITS for x, y in self.chances)
+        rest = (1 << BITS) - p
+        self.two, self.one = p, np.maximum(rest * q >> BITS, 1)
+        self.none = rest - self.one
+
+    def learn(self, n: int, ids: np.ndarray, flag: np.ndarray, right: tuple[np.ndarray, np.ndarray]) -> None:
+        """flag: 0 where order 2 was right, 1 where only order 1 was, else 2; right: which were."""
+        fresh = (ids | 0x10000).astype(np.int32)
+        for table, s, e, hit in zip(self.table, self.slots, self.held, right, strict=True):
+            new = np.where(e < 0x20000, fresh, e - 0x10000)
+            table[s] = np.where(hit, e + ((e < 0x30000) << 16), new)
+        (a, b), (_, d) = self.at
+        (xa, xb), (ya, yb) = self.chances
+        goal = right[0] * np.int32(_HIGH - _LOW) + np.int32(_LOW)
+        self.by_conf[0][a] = xa + (goal - xa >> 4)
+        self.by_past[0][b] = xb + (goal - xb >> 5)
+        goal = right[1] * np.int32(_HIGH - _LOW) + np.int32(_LOW)
+        open_ = flag > 0
+        self.by_conf[1][a] = ya + (goal - ya >> 4) * open_
+        self.by_past[1][d] = yb + (goal - yb >> 5) * open_
         self.p2[:n] = self.p1[:n]
         self.p1[:n] = ids
-        self.past[:n] = (self.past[:n] % 3) * 3 + flag
-
-    def shrink(self, n: int, lo: np.ndarray, width: np.ndarray, r: np.ndarray) -> None:
-        self.low[:n] += r * lo
-        self.range[:n] = r * width
-
-    def shifts(self, n: int):
-        """Lanes that put out or take in a word, again and again until every range is wide enough."""
-        low, rng = self.low[:n], self.range[:n]
-        lanes = None
-        while True:
-            x, y = (low, rng) if lanes is None else (low[lanes], rng[lanes])
-            same = ((x ^ (x + y)) >> _U(48)) == 0
-            small = y < _BOT
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            cut = small[go] & ~same[go]
-            lanes = go if lanes is None else lanes[go]
-            if cut.any():
-                c = lanes[cut]
-                rng[c] = (~low[c] + _U(1)) & (_BOT - _U(1))
-            yield lanes
-            low[lanes] <<= _U(16)
-            rng[lanes] <<= _U(16)
-
-
-def _cuts(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    one = f[:, 0]
-    two = one + f[:, 1]
-    return one, two, two + f[:, 2]
+        self.past[:n] = self.past[:n] % 12 * 3 + flag * 4
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A frame of the given ids (uint16)."""
+    """A frame of the given ids (uint16, below 65535)."""
     ids = np.ascontiguousarray(ids, dtype=np.uint16)
     counts = np.bincount(ids, minlength=1)
-    freq = frequencies(counts)
-    cum = np.cumsum(freq) - freq
+    listed = np.flatnonzero(counts)
+    bands = _Bands(listed, counts[listed])
     lanes = -(-len(ids) // BLOCK)
-    sizes = np.full(lanes, BLOCK)
-    if lanes:
-        sizes[-1] = len(ids) - BLOCK * (lanes - 1)
     padded = np.zeros(lanes * BLOCK, np.uint16)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)  # a step reads one row
     state = _State(lanes)
-    words = np.zeros((lanes, 2 * BLOCK + 16), np.uint16)
-    at = np.zeros(lanes, np.int64)
-    short = int(sizes[-1]) if lanes else 0
-    for t in range(BLOCK if lanes > 1 else short):
+    low, rng = np.zeros(lanes, np.uint64), state.range
+    words = np.zeros((lanes, BLOCK + 4), np.uint64)
+    flat = words.reshape(-1)
+    first = np.arange(lanes) * words.shape[1]
+    at = first.copy()
+    short = len(ids) - BLOCK * (lanes - 1)
+
+    def shift(lane: np.ndarray) -> None:
+        own, place = low[lane], at[lane]
+        flat[place] = own >> _U(30)
+        at[lane] = place + 1
+        low[lane] = (own & _MASK30) << _U(32)
+        rng[lane] <<= _U(32)
+
+    for t in range(min(BLOCK, len(ids))):
         n = lanes if t < short else lanes - 1
-        x = grid[t, :n]
-        seen = state.look(n)
-        _, _, q1, q2, c1, c2, _, _, f = seen
-        is2 = (x == q2) & (c2 > 0)
-        is1 = (x == q1) & (c1 > 0) & ~is2
-        flag = np.where(is2, 0, np.where(is1, 1, 2))
-        one, two, total = _cuts(f)
-        none = flag == 2
-        lo = np.where(is2, 0, np.where(is1, one, two)) << BITS
-        width = f[np.arange(n), flag]
-        x64 = x.astype(np.int64)
-        lo += np.where(none, width * cum[x64], 0)
-        width = width * np.where(none, freq[x64], 1 << BITS)
-        r = state.range[:n] // (total << BITS).view(np.uint64)
-        state.shrink(n, lo.view(np.uint64), width.view(np.uint64), r)
-        for go in state.shifts(n):
-            words[go, at[go]] = state.low[go] >> _U(48)
-            at[go] += 1
-        state.learn(n, seen, x, flag)
-    for k in range(4):
-        words[np.arange(lanes), at] = (state.low >> _U(48 - 16 * k)) & _U(0xFFFF)
-        at += 1
+        x = grid[t, :n].astype(np.int64)
+        state.look(n)
+        is2, is1 = x == state.ids[0], x == state.ids[1]
+        flag = np.where(is2, 0, 2 - is1)
+        lo = np.where(is2, 0, state.two) << BITS
+        width = np.where(is2, state.two, state.one) << BITS
+        neither = np.flatnonzero(flag == 2)
+        own = x[neither]
+        c = bands.band[own]
+        bounds = state.bounds.take(neither, 0)
+        left, right = (bounds.reshape(-1).take(np.arange(k, bounds.size, CLASSES + 1)[: len(c)] + c).astype(np.int32) for k in (0, 1))
+        none = state.none[neither]
+        lo[neither] += (state.one[neither] << BITS) + none * left
+        width[neither] = none * (right - left)
+        bounds += _GOAL.take(c, 0) - bounds >> 5
+        state.bounds[neither] = bounds
+        r = rng[:n] >> _U(2 * BITS)
+        low[:n] += r * lo.astype(np.uint64)
+        rng[:n] = r * width.astype(np.uint64)
+        shift(np.flatnonzero(rng[:n] < _LEAST))
+        r = rng[neither] >> _U(PLACE)
+        low[neither] += r * bands.low[own]
+        r *= bands.width[own]
+        rng[neither] = r
+        shift(neither[r < _LEAST])
+        state.learn(n, x, flag, (is2, is1))
+    for _ in range(2):
+        shift(np.arange(lanes))
+    sizes = at - first
+    for k in range(int(sizes.max(initial=0)) - 1, 0, -1):  # words behind a block's end are 0
+        words[:, k - 1] += words[:, k] >> _U(32)
+    body = (words & _MASK32).astype("<u4")[np.arange(words.shape[1]) < sizes[:, None]] if lanes else np.empty(0, "<u4")
     wide = ids.astype("<u4")
-    table = np.flatnonzero(freq)
-    head = zlib.compress(np.diff(table, prepend=0).astype("<u2").tobytes() + freq[table].astype("<u4").tobytes(), 6)
     crc = np.array([zlib.crc32(wide[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(lanes)], "<u4")
-    body = b"".join(words[i, : at[i]].astype("<u2").tobytes() for i in range(lanes))
-    return b"".join((MAGIC, struct.pack("<QII", len(ids), len(table), len(head)), head, at.astype("<u4").tobytes(), crc.tobytes(), body))
+    head = zlib.compress(np.diff(listed, prepend=0).astype("<u2").tobytes() + counts[listed].astype("<u4").tobytes(), 6)
+    return b"".join((MAGIC, struct.pack("<QII", len(ids), len(listed), len(head)), head, sizes.astype("<u4").tobytes(), crc.tobytes(), body.tobytes()))
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; raises ValueError if anything in it does not match."""
     if frame[:4] != MAGIC:
         raise ValueError("not a frame")
-    total_ids, n_table, n_head = struct.unpack_from("<QII", frame, 4)
+    count, n_listed, n_head = struct.unpack_from("<QII", frame, 4)
     head = zlib.decompress(frame[20 : 20 + n_head])
-    table = np.cumsum(np.frombuffer(head, "<u2", n_table).astype(np.int64))
-    freq = np.zeros(int(table[-1]) + 1 if n_table else 1, np.int64)
-    freq[table] = np.frombuffer(head, "<u4", n_table, 2 * n_table)
-    cum = np.cumsum(freq) - freq
-    by_slot = np.repeat(np.arange(len(freq)), freq).astype(np.uint16)
-    lanes = -(-total_ids // BLOCK)
-    at = 20 + n_head
-    lengths = np.frombuffer(frame, "<u4", lanes, at).astype(np.int64)
-    crc = np.frombuffer(frame, "<u4", lanes, at + 4 * lanes)
-    flat = np.frombuffer(frame, "<u2", -1, at + 8 * lanes)
-    if len(flat) != lengths.sum():
+    if len(head) != 6 * n_listed:
+        raise ValueError("damaged list of ids")
+    listed = np.cumsum(np.frombuffer(head, "<u2", n_listed).astype(np.int64))
+    bands = _Bands(listed, np.frombuffer(head, "<u4", n_listed, 2 * n_listed).astype(np.int64))
+    places = bands.by_place.reshape(-1)
+    lanes, start = -(-count // BLOCK), 20 + n_head
+    if len(frame) < start + 8 * lanes or (len(frame) - start) % 4:
+        raise ValueError("frame is cut short")
+    sizes = np.frombuffer(frame, "<u4", lanes, start).astype(np.int64)
+    crc = np.frombuffer(frame, "<u4", lanes, start + 4 * lanes)
+    body = np.frombuffer(frame, "<u4", -1, start + 8 * lanes)
+    if len(body) != sizes.sum() or (sizes < 2).any():
         raise ValueError("frame is cut short")
-    flat = np.concatenate([flat, np.zeros(8, np.uint16)])
-    pos = np.cumsum(lengths) - lengths
+    body = np.concatenate([body, np.zeros(2, np.uint32)]).astype(np.uint64)
+    at = np.cumsum(sizes) - sizes
+    # the window is two bits short of two words, so what comes in is a word that begins there
+    code = body[at] << _U(30) | body[at + 1] >> _U(2)
+    coming = (body[:-1] & _U(3)) << _U(30) | body[1:] >> _U(2)
+    at += 1
+    last = len(coming) - 1
     state = _State(lanes)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _U(16)) | flat[pos].astype(np.uint64)
-        pos += 1
+    rng = state.range
     grid = np.zeros((BLOCK, lanes), np.uint16)
-    short = total_ids - BLOCK * (lanes - 1) if lanes else 0
-    last = len(flat) - 1
-    for t in range(BLOCK if lanes > 1 else short):
+    short = count - BLOCK * (lanes - 1)
+
+    def shift(lane: np.ndarray) -> None:
+        place = at[lane]
+        code[lane] = code[lane] << _U(32) | coming[np.minimum(place, last)]
+        at[lane] = place + 1
+        rng[lane] <<= _U(32)
+
+    for t in range(min(BLOCK, count)):
         n = lanes if t < short else lanes - 1
-        seen = state.look(n)
-        _, _, q1, q2, _, _, _, _, f = seen
-        one, two, total = _cuts(f)
-        r = state.range[:n] // (total << BITS).view(np.uint64)
-        v = np.minimum(((code[:n] - state.low[:n]) // r).view(np.int64), (total << BITS) - 1)
-        top = v >> BITS
-        flag = (top >= one).astype(np.int64) + (top >= two)
-        none = flag == 2
-        width = f[np.arange(n), flag]
-        lo = np.where(flag == 0, 0, np.where(none, two, one)) << BITS
-        inner = by_slot[np.where(none, np.minimum((v - lo) // width, (1 << BITS) - 1), 0)]
-        x = np.where(none, inner, np.where(flag == 0, q2, q1))
-        x64 = x.astype(np.int64)
-        lo += np.where(none, width * cum[np.where(none, x64, 0)], 0)
-        width = width * np.where(none, freq[np.where(none, x64, 0)], 1 << BITS)
-        state.shrink(n, lo.view(np.uint64), width.view(np.uint64), r)
-        for go in state.shifts(n):
-            code[go] = (code[go] << _U(16)) | flat[np.minimum(pos[go], last)]
-            pos[go] += 1
+        state.look(n)
+        r = rng[:n] >> _U(2 * BITS)
+        v = np.minimum(code[:n] // r, _U((1 << 2 * BITS) - 1)).astype(np.int32)
+        two = state.two << BITS
+        split = two + (state.one << BITS)
+        is2, none_right = v < two, v >= split
+        flag = np.where(is2, 0, 1 + none_right)
+        lo = np.where(is2, 0, two)
+        width = np.where(is2, two, split - two)
+        x = np.where(is2, state.ids[0], state.ids[1]).astype(np.int64)
+        neither = np.flatnonzero(none_right)
+        bounds = state.bounds.take(neither, 0)
+        none, base = state.none[neither], split[neither]
+        u = np.minimum((v[neither] - base) // none, (1 << BITS) - 1).astype(np.int16)
+        c = np.add.reduce(bounds[:, 1:] <= u[:, None], 1, dtype=np.int8).astype(np.int64)
+        left, right = (bounds.reshape(-1).take(np.arange(k, bounds.size, CLASSES + 1)[: len(c)] + c).astype(np.int32) for k in (0, 1))
+        lo[neither] = base + none * left
+        width[neither] = none * (right - left)
+        bounds += _GOAL.take(c, 0) - bounds >> 5
+        state.bounds[neither] = bounds
+        code[:n] -= r * lo.astype(np.uint64)
+        rng[:n] = r * width.astype(np.uint64)
+        shift(np.flatnonzero(rng[:n] < _LEAST))
+        r = rng[neither] >> _U(PLACE)
+        own = code[neither]
+        place = np.minimum(own // r, _U((1 << PLACE) - 1)).astype(np.int64)
+        found = places.take((c << PLACE) + place).astype(np.int64)
+        code[neither] = own - r * bands.low[found]
+        r *= np.maximum(bands.width[found], _U(1))
+        rng[neither] = r
+        shift(neither[r < _LEAST])
+        x[neither] = found
         grid[t, :n] = x
-        state.learn(n, seen, x, flag)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:total_ids]
+        state.learn(n, x, flag, (x == state.ids[0], x == state.ids[1]))
+    ids = np.ascontiguousarray(grid.T).reshape(-1)[:count]
     wide = ids.astype("<u4")
     for i in range(lanes):
         if zlib.crc32(wide[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crc[i]:

@@ -26,8 +26,10 @@ from stratarc.llm import range_coder
 from stratarc.llm.common import scratch_path, small_batches
 from stratarc.llm.tokens import WordEncoder, default_path, text_slices
 
-#: Ids after which a frame ends with the document in hand.
-FRAME = 4_000_000
+#: Ids after which a frame ends with the document in hand: many blocks share what numpy's calls cost.
+FRAME = 8_000_000
+#: Text bytes of a partition, about as many as make a frame; smaller ones keep the cores busy.
+PARTITION, SMALLEST = 44_000_000, 4_000_000
 #: Frames up to which their starts are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SCHEMA = "shard int, frame int, n_ids long, payload binary"
@@ -88,9 +90,11 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
         if names:
             yield out()
 
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        partitions = max(1, size // PARTITION, min(spark.sparkContext.defaultParallelism, size // SMALLEST))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
-    ranged = source.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ranged = source.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     with small_batches(spark):
         ranged.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 

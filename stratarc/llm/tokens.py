@@ -1,14 +1,19 @@
 """Token ids of whole texts with the tokenizers library, at the price of encoding each distinct word once.
 
 The vocabulary used here drops white space and ends every token at a word's end, so the ids of a text are the ids
-of its words in a row. A batch's words are made distinct in Arrow, new ones are encoded by the library, and ids
-are put together with numpy. Words that are letters, before and after normalising, followed by ASCII punctuation are
-encoded as two pieces, since the vocabulary splits there too. A worker keeps what it has encoded, up to CACHE stems and marks, then starts anew.
+of its words in a row. A batch's words are made distinct in Arrow, looked up there among the words that the worker has seen, and only new
+ones come to Python. New words of letters, before and after normalising, are encoded many at a time as one text and cut behind the tokens that end a word;
+those of ASCII letters, put in lower case, by the same model without the normalising and splitting that change nothing about them. Words
+with ASCII punctuation behind the letters are encoded as two pieces, since the vocabulary splits there too; all others one by one. A worker keeps what
+it has encoded, as arrays, up to CACHE words; then those go that were not met again since.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import string
 import unicodedata
 
@@ -19,7 +24,10 @@ import pyarrow.compute as pc
 from stratarc.llm.common import frugal, split_words
 
 CACHE = 400_000
+#: Words that are encoded as one text.
+JOINED = 200
 _PUNCTUATION = string.punctuation.encode()
+_STEM = rf"^(?P<stem>[A-Za-z]+)(?P<tail>[{re.escape(string.punctuation)}]*)$"
 
 
 def default_path() -> str:
@@ -33,6 +41,18 @@ def _stays_letters(stem: str) -> bool:
     return stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha()
 
 
+def _for_plain_letters(tokenizer):
+    """A tokenizer of the same model for ASCII letters in lower case and spaces; the tokenizer itself if its steps aren't known to leave them alone."""
+    from tokenizers import Tokenizer
+
+    steps = json.loads(tokenizer.to_str())
+    normalizers = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+    splitters = [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if normalizers != ["NFC", "Replace", "Lowercase"] or splitters != [("Split", None, None), ("ByteLevel", False, False)] or steps["model"].get("end_of_word_suffix") != "</w>":
+        return tokenizer
+    return Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+
+
 class WordEncoder:
     """Ids by distinct word for a tokenizer whose ids do not depend on what stands beyond white space."""
 
@@ -43,7 +63,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.plain = _for_plain_letters(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -51,46 +75,112 @@ class WordEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _encode(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(x.ids, "<u2").tobytes()) for w, x in zip(words, found, strict=True))
-
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 16-bit integers."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        parts: list[tuple[bytes, bytes]] = []
-        new: dict[bytes, None] = {}
-        for w in words:
-            stem, tail = w, b""
-            if w not in known:
-                stem = w.rstrip(_PUNCTUATION)
-                tail = w[len(stem) :]
-                if not (tail and stem and (stem.isalpha() if stem.isascii() else _stays_letters(stem.decode("utf-8", "replace")))):
-                    stem, tail = w, b""
-                if stem not in known:
-                    new[stem] = None
-                if tail and tail not in known:
-                    new[tail] = None
-            parts.append((stem, tail))
-        todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            self._encode(todo[i : i + 20_000])
-        return [known[stem] + known[tail] if tail else known[stem] for stem, tail in parts]
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.binary())
+        self.starts, self.sizes, self.pool = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint16)
+        self.again = np.empty(0, bool)
+
+    def _thin_out(self) -> None:
+        """Keep the words that were met again."""
+        stay = np.flatnonzero(self.again)
+        starts, sizes, pool = self.starts[stay], self.sizes[stay], self.pool
+        words = self.words.take(pa.array(stay))
+        self._forget()
+        self.words, self.sizes, self.again = words, sizes, np.zeros(len(stay), bool)
+        self.starts, self.pool = np.cumsum(sizes, dtype=np.int64) - sizes, pool[_spans(starts, sizes)]
+
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each word's number of ids."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(sizes.sum())), sizes
+
+    def _of_letters(self, stems: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters."""
+        parts = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
+        texts = [b" ".join(p).decode("utf-8", "replace") for p in parts]
+        out = [(np.empty(0, np.uint16), np.empty(0, np.int32))]
+        for part, found in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint16)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                out.append((ids, np.diff(ends, prepend=0).astype(np.int32)))
+            else:  # not one last token for each word: not what was expected of letters
+                out.append(self._one_by_one(part))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and each word's number of ids."""
+        cut = pc.extract_regex(words.cast(pa.string()), _STEM)
+        ascii_ = np.array(cut.is_valid())
+        cut = cut.drop_null()
+        stems, tails = pc.ascii_lower(pc.struct_field(cut, 0)).dictionary_encode(), pc.struct_field(cut, 1).dictionary_encode()
+        kinds = [(self._of_letters(stems.dictionary.cast(pa.binary()).to_pylist(), self.plain), stems.indices.to_numpy(), np.flatnonzero(ascii_))]
+        kinds.append((self._one_by_one(tails.dictionary.cast(pa.binary()).to_pylist()), tails.indices.to_numpy(), None))
+        rest = np.flatnonzero(~ascii_)
+        letters, other, ends = [], [], []
+        for i, w in zip(rest.tolist(), words.take(pa.array(rest)).to_pylist(), strict=True):
+            stem = w.rstrip(_PUNCTUATION)
+            if stem and not stem.isascii() and _stays_letters(stem.decode("utf-8", "replace")):
+                letters.append((i, stem))
+                ends.append(w[len(stem) :])
+            else:
+                other.append((i, w))
+        each = lambda pairs: (np.arange(len(pairs)), np.array([i for i, _ in pairs], np.int64))
+        kinds.append((self._of_letters([w for _, w in letters], self.tokenizer), *each(letters)))
+        marks = pa.array(ends, pa.binary()).dictionary_encode()
+        kinds.append((self._one_by_one(marks.dictionary.to_pylist()), marks.indices.to_numpy(), None))
+        kinds.append((self._one_by_one([w for _, w in other]), *each(other)))
+        # every word is a stem and, if it has one, the tail behind it: two spans of what was encoded
+        starts, sizes, base, at = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int32), 0, np.empty(0, np.int64)
+        for (ids, n), codes, where in kinds:
+            column = int(where is None)
+            at = at if where is None else where
+            starts[at, column] = base + (np.cumsum(n, dtype=np.int64) - n)[codes]
+            sizes[at, column] = n[codes]
+            base += len(ids)
+        pool = np.concatenate([ids for (ids, _), _, _ in kinds])
+        return pool[_spans(starts.reshape(-1), sizes.reshape(-1))], sizes.sum(1)
+
+    def _places(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each word's ids start, and how many they are."""
+        if len(self.words) > CACHE:
+            self._thin_out()
+        unique = unique.cast(pa.binary())
+        at = pc.index_in(unique, value_set=self.words)
+        if at.null_count:
+            new = unique.filter(at.is_null())
+            ids, sizes = self._encode(new)
+            starts = len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes
+            known = len(self.words)
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+            self.words = pa.concat_arrays([self.words, new])
+            self.starts, self.sizes, self.pool = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            where = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.again[where[where >= 0]] = True
+            where[where < 0] = np.arange(known, len(self.words))
+        else:
+            where = at.to_numpy(zero_copy_only=False)
+            self.again[where] = True
+        return self.starts[where], self.sizes[where]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row as uint16, and each text's end among them."""
         unique, codes, ends = split_words(texts)
-        ids = self.of_words(unique.cast(pa.binary()).to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        pool = np.frombuffer(b"".join(ids), "<u2")
-        starts = np.cumsum(sizes) - sizes
+        starts, sizes = self._places(unique)
+        # the batch's words next to each other first: what is read at random is then small
+        pool = self.pool[_spans(starts, sizes)]
         n = sizes[codes]
-        stops = np.cumsum(n)
-        places = np.arange(stops[-1] if len(stops) else 0, dtype=np.int64)
-        places += np.repeat(starts[codes] - (stops - n), n)
-        return pool[places], np.concatenate([[0], stops])[ends]
+        ids = pool[_spans((np.cumsum(sizes, dtype=np.int64) - sizes)[codes], n)]
+        return ids, np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[ends]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of sizes[i] each, one span after the other."""
+    stops = np.cumsum(sizes, dtype=np.int64)
+    places = np.arange(stops[-1] if len(stops) else 0, dtype=np.int64)
+    places += np.repeat(starts - (stops - sizes), sizes)
+    return places
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):

@@ -1,11 +1,12 @@
 """Exact top-k inner-product search by ball trees with branch and bound.
 
 Vectors are quantised to floor(scale * x) and scored by integer inner products, so results are exact. Each shard of
-rows is made into a ball tree (nodes: center, radius, range of rows), stored as one row. Queries, a stated share of all
-rows, are stored in blocks. A first pass sends every query down the most promising leaf of every shard; the k-th best score over all
-shards is a bound that all shards share. The second pass searches every shard: nodes are taken in the order of their upper bound q.c + |q| r,
-nodes whose bound lies under a query's present k-th score are cut for that query, and surviving leaves are scored by a matrix product.
-Equal bounds are kept, so ties go to the smaller vec_id exactly.
+rows is made into a ball tree (nodes: center, radius, range of rows), stored as one row. Trees stay where they are: queries, a stated share of all
+rows, come to them in chunks of at most CHUNK values (32 MB), so neither vectors nor trees are ever shuffled; for every chunk each tree is read twice. The first pass
+takes every query down the most promising leaf of every tree; the k-th best score over all trees is a bar that all shards share. The second pass searches:
+nodes are taken in the order of their upper bound q.c + |q| r, nodes whose bound lies under a query's present k-th score are cut for that query, and
+surviving leaves are scored by a matrix product. A task hands its present k-th scores on from tree to tree and returns at most k rows a query. Equal
+bounds are kept, so ties go to the smaller vec_id exactly.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part. A query's own id is no candidate, in
 whatever row. Rows that repeat an id and a vector are separate candidates and are asked once. Vectors are compared with those of their own
@@ -14,6 +15,7 @@ length. Fewer than k candidates give fewer rows; an empty table gives an empty r
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import written
+from stratarc.llm.common import frugal, written
 
 SHARD = 8192
 LEAF = 128
-QUERIES = 512
-_TREE_SQL = "shard string, dim int, n int, ids binary, vectors binary, lows binary, highs binary, centers binary, radii binary, left binary"
+#: Values of query vectors that go to the workers at once, and queries that a tree is searched for at once.
+CHUNK, QUERIES = 4_000_000, 1024
+_TREE_SQL = "dim int, n int, ids binary, kind string, vectors binary, lows binary, highs binary, centers binary, radii binary, left binary"
 
 
 def build_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, ...]:
@@ -68,19 +71,23 @@ def _vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, np.ndar
         yield dim, ids.take(pa.array(mine[fine])).to_numpy(zero_copy_only=False).astype(np.int64), np.floor(scale * flat[fine])
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    most = np.abs(values).max(initial=0)
+    return np.ascontiguousarray(values.astype("<i1" if most < 1 << 7 else "<i2" if most < 1 << 15 else "<f8"))
+
+
 def shards_of(rows: DataFrame, scale: float, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq, held = TaskContext.get().partitionId(), 0, {}
+        held: dict[int, list] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            nonlocal seq
             ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
             order, *tree = build_tree(vectors)
-            seq += 1
-            data = [ids[order], vectors[order], tree[0], tree[1], tree[2], tree[3], tree[4]]
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in data)], names=[f.split()[0] for f in _TREE_SQL.split(", ")])
+            small = _small(vectors[order])
+            data = [ids[order], small.dtype.str, small, *tree]
+            cells = [pa.array([x], pa.string()) if isinstance(x, str) else pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in data]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *cells], names=[f.split()[0] for f in _TREE_SQL.split(", ")])
 
         for batch in batches:
             for dim, ids, vectors in _vectors(batch, scale):
@@ -95,29 +102,10 @@ def shards_of(rows: DataFrame, scale: float, size: int) -> DataFrame:
     return rows.mapInArrow(run, _TREE_SQL)
 
 
-def query_blocks(rows: DataFrame, scale: float, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, ids, vectors in _vectors(batch, scale):
-                for i in range(0, len(ids), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[i : i + size].tobytes()], pa.binary()), pa.array([vectors[i : i + size].tobytes()], pa.binary())], names=["dim", "q_ids", "q_vectors"])
-
-    return rows.mapInArrow(run, "dim int, q_ids binary, q_vectors binary")
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, ties to the smaller id, in order."""
-    if len(scores) > 4 * k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= bar)
-        return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
 class Tree:
     def __init__(self, dim: int, row: dict) -> None:
         self.ids = np.frombuffer(row["ids"], "<i8")
-        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(self.ids), dim)
+        self.vectors = np.frombuffer(row["vectors"], row["kind"]).reshape(len(self.ids), dim).astype(np.float64)
         self.lows, self.highs, self.left = (np.frombuffer(row[n], "<i8") for n in ("lows", "highs", "left"))
         self.radii = np.frombuffer(row["radii"], "<f8")
         self.centers = np.frombuffer(row["centers"], "<f8").reshape(len(self.radii), dim)
@@ -128,100 +116,110 @@ class Tree:
         dot = queries @ self.centers.T
         return dot + reach + 1e-9 * np.abs(dot) + 1e-6
 
-    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray, only_first: bool = False):
-        """(query position, ids, scores) of the best of this shard at or above least, by branch and bound."""
+    def search(self, best: Best, mine: slice, only_first: bool) -> None:
+        """Put this tree's best for some of the queries into best, by branch and bound."""
+        queries = best.queries[mine]
         upper = self.bounds(queries)
-        found = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        bar = least.astype(float).copy()
 
         def take(node: int, who: np.ndarray) -> None:
             lo, hi = int(self.lows[node]), int(self.highs[node])
-            scores = queries[who] @ self.vectors[lo:hi].T
-            ids = self.ids[lo:hi]
-            for j, q in enumerate(who.tolist()):
-                good = (scores[j] >= bar[q]) & (ids != q_ids[q])
-                if good.any():
-                    i, s = np.concatenate([found[q][0], ids[good]]), np.concatenate([found[q][1], scores[j][good]])
-                    top = _best(i, s, k)
-                    found[q] = (i[top], s[top])
-                    if len(top) == k:
-                        bar[q] = max(bar[q], s[top[-1]])
+            best.offer(who + mine.start, self.ids[lo:hi], queries[who] @ self.vectors[lo:hi].T)
 
+        bar = best.bar[mine]  # a view: it rises as leaves are taken
         leaves = np.flatnonzero(self.left == 0)
         first = leaves[upper[:, leaves].argmax(1)]
         for node in np.unique(first):
-            take(int(node), np.flatnonzero(first == node))
-        if not only_first:
-            # nodes by their best bound; children are reached only through nodes that some query can't cut
-            import heapq
-
-            heap = [(-float(upper[:, 0].max()), 0, np.arange(len(queries)))]
-            while heap:
-                _, node, who = heapq.heappop(heap)
-                who = who[upper[who, node] >= bar[who]]
-                if not len(who):
-                    continue
-                if child := int(self.left[node]):
-                    for c in (child, child + 1):
-                        heapq.heappush(heap, (-float(upper[who, c].max()), c, who))
-                elif len(who := who[first[who] != node]):
-                    take(node, who)
-        return found
-
+            who = np.flatnonzero(first == node)
+            if len(who := who[upper[who, node] >= bar[who]]):
+                take(int(node), who)
+        if only_first:
+            return
+        # nodes by their best bound; children are reached only through nodes that some query can't cut
+        heap = [(-float(upper[:, 0].max()), 0, np.arange(len(queries)))]
+        while heap:
+            _, node, who = heapq.heappop(heap)
+            who = who[upper[who, node] >= bar[who]]
+            if not len(who):
+                continue
+            if child := int(self.left[node]):
+                for c in (child, child + 1):
+                    heapq.heappush(heap, (-float(upper[who, c].max()), c, who))
+            elif len(who := who[first[who] != node]):
+                take(node, who)
+
+
+class Best:
+    """The k best candidates so far of every query, in order, and the scores that new ones have to reach."""
+
+    def __init__(self, q_ids: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray | None = None) -> None:
+        self.q_ids, self.queries, self.k = q_ids, queries, k
+        self.ids, self.scores = np.zeros((len(q_ids), k), np.int64), np.full((len(q_ids), k), -np.inf)
+        self.bar = np.full(len(q_ids), -np.inf) if bar is None else bar.copy()
+
+    def offer(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        good = (scores >= self.bar[who][:, None]) & (ids != self.q_ids[who][:, None])
+        rows = np.flatnonzero(good.any(1))
+        if not len(rows):
+            return
+        who, good = who[rows], good[rows]
+        s = np.concatenate([self.scores[who], np.where(good, scores[rows], -np.inf)], 1)
+        i = np.concatenate([self.ids[who], np.broadcast_to(ids, good.shape)], 1)
+        for by_id in (True, False):  # by id, then by score: ties stay in order of id
+            order = np.argsort(i if by_id else -s, 1, kind="stable")
+            s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        self.scores[who], self.ids[who] = s[:, : self.k], i[:, : self.k]
+        self.bar[who] = np.maximum(self.bar[who], self.scores[who, -1])
+
+    def rows(self, dim: int) -> pa.RecordBatch:
+        place, rank = np.nonzero(self.scores > -np.inf)
+        data = (np.full(len(place), dim, np.int32), place, self.q_ids[place], self.ids[place, rank], self.scores[place, rank].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in data], names=["dim", "place", "query_id", "vec_id", "score"])
+
+
+def _search(trees: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, bars: dict[int, np.ndarray] | None) -> DataFrame:
+    """The best of each task's trees for all queries of a chunk; without bars, of one leaf a tree."""
 
-def _search(pairs: DataFrame, k: int, only_first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        found: dict[int, Best] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                tree = Tree(row["dim"], row)
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                queries = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), row["dim"])
-                least = np.frombuffer(row["least"], "<f8") if row.get("least") else np.full(len(q_ids), -np.inf)
-                found = tree.search(q_ids, queries, k, least, only_first)
-                n = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(sum(n), row["block"]), pa.int64()), pa.array(np.repeat(np.arange(len(n)), n), pa.int32()), pa.array(np.repeat(q_ids, n), pa.int64()),
-                    pa.array(np.concatenate([x for x, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, s in found]).astype(np.int64), pa.int64()),
-                ], names=["block", "place", "query_id", "vec_id", "score"])
+                if (dim := row["dim"]) not in asked:
+                    continue
+                tree = Tree(dim, row)
+                best = found.setdefault(dim, Best(*asked[dim], k, bars and bars[dim]))
+                for q in range(0, len(best.q_ids), QUERIES):
+                    tree.search(best, slice(q, q + QUERIES), bars is None)
+        for dim, best in found.items():
+            yield best.rows(dim)
 
-    return pairs.mapInArrow(run, "block long, place int, query_id long, vec_id long, score long")
+    return trees.mapInArrow(run, "dim int, place long, query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query."""
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     trees = written(shards_of(pick(rows), scale, SHARD), "topk-trees")
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = pick(queries).where("vec_id IS NOT NULL AND embedding IS NOT NULL").distinct()
-    blocks = written(query_blocks(asked.coalesce(max(1, parts // 8)), scale, QUERIES), "topk-queries")
-    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    # every block meets every shard of its length: rows of this join are blocks times shards, not vectors
-    names = trees.select("shard", "dim")
-    wanted = blocks.select("block", "dim").join(names, "dim").repartition(parts, "block", "shard")
-    pairs = wanted.join(trees.drop("dim"), "shard").join(blocks.drop("dim"), "block")
-    first = written(_search(pairs, k, True), "topk-first")
-    nth = Window.partitionBy("block", "place").orderBy(F.desc("score"))
-    bars = first.withColumn("r", F.row_number().over(nth)).where(F.col("r") == k)
-    bars = bars.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("score").cast("double").alias("score")))).alias("bars"))
-    sizes = blocks.select("block", (F.octet_length("q_ids") / 8).cast("int").alias("n")).join(bars, "block", "left")
-    least = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.element_at("bars", i), F.lit(float("-inf"))))
-    least = written(sizes.select("block", least.alias("least")), "topk-bars")
-
-    found = written(_search(_with_bars(pairs, least), k, False), "topk-found")
-    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _with_bars(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [np.array(x.as_py(), "<f8").tobytes() for x in batch.column("least")]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(data, pa.binary())], names=["block", "least"])
-
-    return pairs.join(written(least.mapInArrow(pack, "block long, least binary"), "topk-least"), "block")
+    every = written(pick(queries).where("vec_id IS NOT NULL AND embedding IS NOT NULL").distinct(), "topk-queries")
+    chunks = max(1, -(-(every.agg(F.sum(F.size("embedding"))).first()[0] or 0) // CHUNK))
+    out = None
+    for c in range(chunks):
+        parts: dict[int, list] = {}
+        for batch in every.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow().to_batches():  # about CHUNK values
+            for dim, ids, vectors in _vectors(batch, scale):
+                parts.setdefault(dim, []).append((ids, vectors))
+        asked = {dim: tuple(np.concatenate(x) for x in zip(*p, strict=True)) for dim, p in parts.items()}
+        first = written(_search(trees, asked, k, None), "topk-first")
+        nth = F.row_number().over(Window.partitionBy("dim", "place").orderBy(F.desc("score")))
+        bars = {dim: np.full(len(ids), -np.inf) for dim, (ids, _) in asked.items()}
+        for r in first.select("dim", "place", "score", nth.alias("r")).where(F.col("r") == k).collect():  # one row a query of the chunk
+            bars[r["dim"]][r["place"]] = r["score"]
+        found = written(_search(trees, asked, k, bars), "topk-found")
+        rank = F.row_number().over(Window.partitionBy("dim", "place").orderBy(F.desc("score"), "vec_id")).cast("int")
+        ranked = found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

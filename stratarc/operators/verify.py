@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +67,35 @@ def bad_files(entries: DataFrame, hashes: DataFrame, hash_len: int = 32) -> Data
     return both.where(~F.col("want").eqNullSafe(F.col("got"))).select("path")
 
 
-def root_hash(meta_hex: str, blocks: DataFrame, entries: DataFrame) -> str:
-    """Hash over the header and the index: per-range digests, themselves hashed in order."""
-    index = blocks.select(F.lit("b").alias("t"), F.lpad(F.col("block_id").cast("string"), 20, "0").alias("k"), F.sha2(F.concat_ws("|", "raw_len", "stored_len", "hash"), 256).alias("h"))
-    index = index.unionByName(entries.select(F.lit("e").alias("t"), F.col("path").alias("k"), F.sha2(F.concat_ws("|", "path", "type", "mode", "mtime_s", "mtime_ns", "transform", F.coalesce("hash", F.lit("")), F.coalesce("link_target", F.lit("")), F.coalesce(F.array_join(F.col("chunks").cast("array<string>"), ","), F.lit(""))), 256).alias("h")))
-    # by leading digits of the key's hash: bounded groups, whatever the archive's size
-    groups = index.groupBy("t", F.substring(F.sha2("k", 256), 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.lit("="), "h"))), ";"), 256).alias("h"))
-    whole = groups.agg(F.sha2(F.concat(F.lit(meta_hex), F.array_join(F.array_sort(F.collect_list(F.concat("t", "g", F.lit("="), "h"))), ";")), 256).alias("root"))
-    return whole.first()["root"]
+def repeated_paths(entries: DataFrame) -> DataFrame:
+    """Paths that more than one entry has."""
+    return entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+
+
+def misplaced_blocks(blocks: DataFrame, placed: DataFrame) -> DataFrame:
+    """Blocks whose file_offset isn't where the blocks before end; placed: the same blocks with offsets worked out anew."""
+    both = blocks.select("block_id", "file_offset").join(placed.select("block_id", F.col("file_offset").alias("place")), "block_id")
+    return both.where(~F.col("file_offset").eqNullSafe(F.col("place"))).select("block_id")
+
+
+#: Rows that are hashed together at most, in the mean; the levels of the hash tree follow from the number of rows.
+TOGETHER = 4096
+
+
+def root_hash(meta: str, index: DataFrame) -> str:
+    """Hash over the header and the index (t, k, h): a tree over the leading digits of the keys' hashes.
+
+    The number of groups grows with the rows, so no group grows; every further level takes three digits off, which makes groups of 4096.
+    """
+    rows, digits = index.count(), 0
+    while rows > TOGETHER * 16**digits:
+        digits += 1
+    level = index.select(F.sha2(F.concat("t", F.lit("|"), "k"), 256).alias("g"), F.concat("t", F.lit("|"), "k", F.lit("="), "h").alias("row"))
+    while True:
+        level = level.groupBy(F.substring("g", 1, digits).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ";"), 256).alias("h"))
+        if not digits:
+            break
+        level = level.select("g", F.concat("g", F.lit("="), "h").alias("row"))
+        digits = max(0, digits - 3)
+    found = level.first()
+    return hashlib.sha256(f"{meta};{found['h'] if found else ''}".encode()).hexdigest()

@@ -82,11 +82,13 @@ def read_directory(spark: SparkSession, *roots: str, skip: tuple[str, ...] = (),
 
 
 def extract(entries: DataFrame, contents: DataFrame, target: str, force: bool = False, unsafe_links: bool = False) -> int:
-    """Write entries below target: directories first, files in tasks, links after them, directory times deepest first.
+    """Write entries below target: directories first, files in tasks in order of their first chunk, links after them, directory times deepest first.
 
     Existing files are an error unless forced; set-id bits are never restored; unsafe links are left out. Returns the number of files.
     """
-    facts = entries.select("path", "type", "mode", "mtime_s", "mtime_ns", "link_target")
+    # files of one block are written next to each other; those without chunks come first
+    chunk = F.coalesce(F.try_element_at("chunks", F.lit(1)), F.lit(0).cast("long")) if "chunks" in entries.columns else F.lit(0).cast("long")
+    facts = entries.select("path", "type", "mode", "mtime_s", "mtime_ns", "link_target", chunk.alias("first_chunk"))
     dirs = facts.where("type = 1").withColumn("depth", F.size(F.split("path", "/")))
     os.makedirs(target, exist_ok=True)
     for row in dirs.orderBy("path").toLocalIterator():
@@ -98,6 +100,8 @@ def extract(entries: DataFrame, contents: DataFrame, target: str, force: bool =
             full = os.path.join(target, row["path"])
             if not force and os.path.lexists(full):
                 raise FileExistsError(full)
+            if row["content"] is None:
+                raise ValueError(f"{row['path']!r} can't be read: damaged, or a wrong password")
             os.makedirs(os.path.dirname(full), exist_ok=True)
             part = f"{full}.partial-{os.getpid()}"
             with open(part, "wb") as f:
@@ -109,6 +113,8 @@ def extract(entries: DataFrame, contents: DataFrame, target: str, force: bool =
         yield n
 
     files = facts.where("type = 0").join(contents.select("path", "content"), "path")
+    if "chunks" in entries.columns:
+        files = files.repartitionByRange("first_chunk", "path").sortWithinPartitions("first_chunk", "path")
     done = sum(files.rdd.mapPartitions(write).collect())  # one number per task
     links = facts.where("type = 2") if unsafe_links else facts.where("type = 2").where(link_is_safe(F.col("path"), F.col("link_target")))
     for row in links.toLocalIterator():

@@ -1,9 +1,12 @@
+import hashlib
+import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratarc.functions import paths
+from stratarc.functions import paths, transforms
 from stratarc.functions.crypto import Signer
 from stratarc.operators import blocks as bl
 from stratarc.sources import archive, views
@@ -128,3 +131,99 @@ def test_primed_archive(spark, tmp_path):
     a = archive.Archive(spark, str(tmp_path / "p"), dictionary=priming)
     assert not a.blocks.where("codec = 5").isEmpty() and a.verify().isEmpty()
     assert contents(a.read(a.entries)) == contents(views.synthetic(spark))
+
+
+def _damaged(spark, src, dst, table, change):
+    """A copy of the archive with one table rewritten."""
+    shutil.copytree(src, dst)
+    rows = change(spark.read.parquet(f"{src}/{table}")).collect()
+    schema = spark.read.parquet(f"{src}/{table}").schema
+    shutil.rmtree(f"{dst}/{table}")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{dst}/{table}")
+    return str(dst)
+
+
+def test_a_change_in_any_table_is_found(spark, tmp_path):
+    plain, sealed = str(tmp_path / "plain"), str(tmp_path / "sealed")
+    archive.create(views.synthetic(spark), plain, archive.Options(**SMALL, plan=()))
+    archive.create(views.synthetic(spark), sealed, archive.Options(**SMALL, password="pw"))
+    flip = lambda c: F.overlay(F.col(c), F.lit(b"\xff\x00\xff"), F.lit(3), F.lit(3))
+    first = lambda key: F.col(key) == 0
+    changes = {
+        "entries": lambda d: d.withColumn("mtime_s", F.when(F.col("path") == "src/text.txt", F.col("mtime_s") + 1).otherwise(F.col("mtime_s"))),
+        "refs": lambda d: d.withColumn("chunk_len", F.when((F.col("path") == "src/text.txt") & first("ref_pos"), F.col("chunk_len") + 1).otherwise(F.col("chunk_len"))),
+        "chunks": lambda d: d.withColumn("chunk_hash", F.when(first("chunk_id"), F.lit("00")).otherwise(F.col("chunk_hash"))),
+        "blocks": lambda d: d.withColumn("raw_len", F.when(first("block_id"), F.col("raw_len") + 1).otherwise(F.col("raw_len"))),
+    }
+    for t, change in changes.items():
+        a = archive.Archive(spark, _damaged(spark, plain, tmp_path / f"p-{t}", t, change))
+        assert "root_hash" in {r["problem"] for r in a.verify().collect()}
+    assert "frame" in {r["problem"] for r in a.verify().collect()} and json.loads(a.verify_json())["ok"] is False
+    for t in ("entries", "refs", "chunks"):
+        a = archive.Archive(spark, _damaged(spark, sealed, tmp_path / f"s-{t}", t, lambda d: d.withColumn("data", flip("data"))), "pw")
+        assert {"root_hash", f"{t}_part"} <= {r["problem"] for r in a.verify().collect()}
+    # what is damaged isn't handed out, even where nothing is encrypted or compressed
+    a = archive.Archive(spark, _damaged(spark, plain, tmp_path / "p-payload", "blocks", lambda d: d.withColumn("payload", F.when(first("block_id"), flip("payload")).otherwise(F.col("payload")))))
+    got = {r["path"]: r["content"] for r in a.read(a.entries).select("path", "content").collect()}
+    whole = contents(views.synthetic(spark))
+    assert None in got.values() and all(v is None or bytes(v) == whole[p] for p, v in got.items())
+    lost = next(p for p, v in got.items() if v is None)
+    with pytest.raises(ValueError):
+        a.cat(lost)
+    with pytest.raises(Exception, match="can't be read"):
+        extract(a.entries, a.read(a.entries), str(tmp_path / "out"))
+
+
+def test_names_are_hidden(spark, tmp_path):
+    path = tmp_path / "e"
+    archive.create(views.synthetic(spark), str(path), archive.Options(**SMALL, password="pw"))
+    text = hashlib.sha256(contents(views.synthetic(spark))["src/text.txt"]).hexdigest().encode()
+    for f in path.rglob("*.parquet"):
+        assert b"text.txt" not in f.read_bytes() and text not in f.read_bytes()
+    closed = archive.Archive(spark, str(path))
+    assert closed.verify().isEmpty()  # blocks and the root hash need no password
+    for table in ("entries", "refs", "chunks"):
+        with pytest.raises(PermissionError):
+            getattr(closed, table)
+    a = archive.Archive(spark, str(path), "pw")
+    info = a.info()
+    assert info["encrypted"] and info["files"] == 12 and info["symlinks"] == 2 and info["logical_bytes"] == sum(map(len, contents(views.synthetic(spark)).values()))
+    assert info["unique_bytes"] == sum(c["raw_bytes"] for c in info["codecs"].values()) < info["logical_bytes"] and json.loads(a.info_json()) == json.loads(json.dumps(info))
+    assert json.loads(a.verify_json())["files_ok"] == 12
+
+
+def test_all_or_nothing(spark, tmp_path):
+    path, files = str(tmp_path / "a"), views.synthetic(spark)
+    with pytest.raises(ValueError):
+        archive.create(files.union(files), path)
+    assert os.listdir(tmp_path) == []
+    archive.create(files.where("path LIKE 'src/t%'"), path, archive.Options(**SMALL))
+    with pytest.raises(FileExistsError):
+        archive.create(files, path, archive.Options(**SMALL))
+    assert archive.Archive(spark, path).entries.count() == 2
+    archive.create(files, path, archive.Options(**SMALL, force=True))
+    assert archive.Archive(spark, path).entries.count() == files.count() and os.listdir(tmp_path) == ["a"]
+
+
+def test_root_hash_does_not_depend_on_partitions(spark):
+    from stratarc.operators import verify
+
+    rows = spark.range(20_000).select(F.lit("t").alias("t"), F.col("id").cast("string").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    one = verify.root_hash("m", rows)
+    assert one == verify.root_hash("m", rows.repartition(7)) != verify.root_hash("m", rows.where("k <> '77'"))
+    assert verify.root_hash("m", rows.where("false")) != verify.root_hash("n", rows.where("false"))
+
+
+def test_programs_share_the_better_transform(spark):
+    code = b"".join(b"\xe8" + (0x10000 - 40 * i).to_bytes(4, "little", signed=True) + b"\x48\x8b\x05" + (0x20000 - 40 * i).to_bytes(4, "little", signed=True) + bytes([i % 7] * 28) for i in range(3000))
+    df = spark.createDataFrame([("a", 4, code), ("b", 4, code[:50_000]), ("c", 0, b"x")], "path string, transform int, content binary").withColumn("transform", F.col("transform").cast("short"))
+    got = {r["path"]: r["transform"] for r in archive._best_program_transform(df, archive.Options()).collect()}
+    sizes = {t: sum(len(archive.codecs.compress(_trial(transforms.apply(t, d)), (archive.codecs.ZSTD,), 9)[1]) for d in (code, code[:50_000])) for t in (3, 4)}
+    best = 3 if sizes[3] < sizes[4] else 4
+    assert got == {"a": best, "b": best, "c": 0}
+
+
+def _trial(data):
+    n = archive.SLICE
+    middle, last = max(len(data) - n, 0) // 2, max(len(data) - n, 0)
+    return data[:n] + data[middle : middle + n] + data[last : last + n]

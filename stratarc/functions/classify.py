@@ -81,11 +81,10 @@ def by_rules(path: Column, sample: Column, machine: Column | None = None) -> Col
 
 
 def classified(files: DataFrame, use_filters: bool = True) -> DataFrame:
-    """files with class and transform. Only files that no rule settles reach the probe, which is Python."""
+    """files with class and transform, in one pass. Only samples of files that no rule settles reach the probe, which is Python; others are null there."""
     sample = F.substring(F.col("content"), 1, SAMPLE)
-    ruled = files.withColumn("cl_machine", exec_transform(sample)).withColumn("class", by_rules(F.col("path"), sample, F.col("cl_machine")))
-    settled = ruled.where("class IS NOT NULL")
-    open_ = ruled.where("class IS NULL").withColumn("class", F.when(looks_incompressible(sample), 2).otherwise(0))
-    every = settled.unionByName(open_)
-    transform = F.when(F.col("class") == 1, F.col("cl_machine")).otherwise(0) if use_filters else F.lit(0)
-    return every.withColumns({"class": F.col("class").cast("short"), "transform": transform.cast("short")}).drop("cl_machine")
+    ruled = files.withColumn("cl_machine", exec_transform(sample)).withColumn("cl_rule", by_rules(F.col("path"), sample, F.col("cl_machine")))
+    probed = ruled.withColumn("cl_probe", looks_incompressible(F.when(F.col("cl_rule").isNull(), sample)))
+    kind = F.coalesce("cl_rule", F.when(F.col("cl_probe"), 2).otherwise(0)).cast("short")
+    transform = F.when(kind == 1, F.col("cl_machine")).otherwise(0) if use_filters else F.lit(0)
+    return probed.withColumns({"class": kind, "transform": transform.cast("short")}).drop("cl_machine", "cl_rule", "cl_probe")

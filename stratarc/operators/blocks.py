@@ -3,7 +3,8 @@
 Packing keeps order: a block is closed when the next chunk would overfill it. Where the next block starts depends on all before, yet
 from a given start the rest follows. So the chunks are cut into segments of many blocks; each segment works out, for every start that can come in from
 before, where it leaves and how many blocks that takes; the driver links these few facts up segment by segment; then every segment numbers its blocks
-from its true start. The result is exactly that of one scan.
+from its true start. The result is exactly that of one scan. However many blocks there are, the segments are no more than SEGMENTS, so what the
+driver sees is bounded by them and by the chunks that fit in a block.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from stratarc.operators.ordered import running
 from stratarc.operators.scratch import written
 
 
+#: Segments at most; beyond it they hold more blocks each.
+SEGMENTS = 2000
 #: Entry of a segment in which no block starts.
 NONE = 1 << 62
 
@@ -39,9 +42,10 @@ def _leaps(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
 
 def pack_blocks(chunks: DataFrame, size: int, segment_blocks: int = 256) -> DataFrame:
     """chunks (chunk_id, chunk_len, store_group) with block_id, numbered over both groups, store_group last."""
-    span = size * max(2, segment_blocks)
     placed = running(chunks.select("chunk_id", "chunk_len", "store_group"), ["store_group", "chunk_id"], F.col("chunk_len"), "start")
     placed = written(placed, "pack-starts")
+    ends = placed.agg(F.max(F.col("start") + F.col("chunk_len"))).first()[0] or 0
+    span = size * max(2, segment_blocks, -(-ends // (size * SEGMENTS)))
     bases = {r["store_group"]: r["b"] for r in placed.groupBy("store_group").agg(F.min("start").alias("b")).collect()}  # two groups
     base = F.lit(0).cast("long")
     for group, b in bases.items():

@@ -15,6 +15,7 @@ from stratarc.functions.classify import by_rules, classified, exec_transform, ha
 from stratarc.operators import blocks as bl
 from stratarc.operators import dedup, encodings, rollup, select, trees, verify
 from stratarc.operators.chunking import chunked, fixed_chunks
+from stratarc.operators.ordered import numbered
 from stratarc.operators.reassemble import joined, needed_blocks
 from stratarc.operators.scratch import shared_dir, written
 from stratarc.sources import archive, views
@@ -104,8 +105,9 @@ UNION ALL SELECT 'conversations/' || conv_id || '/' || turn || '-' || role || '.
 k AS (SELECT path, regexp_extract(path, '\\.([^.]*)$', 1) AS ext, regexp_extract(path, '[^/]*$') AS base FROM p)
 SELECT path, ext, row_number() OVER (ORDER BY ext, base, path) - 1 AS storage_pos FROM k""")
 def storage_order(spark, sf_dir):
-    files = classified(views.corpus(spark, sf_dir))
-    return archive.in_storage_order(files.select("path", "class", "transform", "size")).select("path", paths.extension(F.col("path")).alias("ext"), "storage_pos")
+    # ranging reads its input twice, so contents are classified into a slim table first
+    files = written(classified(views.corpus(spark, sf_dir)).select("path", "class", "transform", "size"), "classes")
+    return archive.in_storage_order(files).select("path", paths.extension(F.col("path")).alias("ext"), "storage_pos")
 
 
 @query("""SELECT type_name, count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS logical_bytes FROM (
@@ -287,6 +289,26 @@ def path_front_coding(spark, sf_dir):
     return encodings.front_coded(_docs(spark, sf_dir))
 
 
+@query(f"WITH {_FILES} SELECT row_number() OVER (ORDER BY path) - 1 AS pos, path FROM files")
+def path_front_decoding(spark, sf_dir):
+    """Paths again, from nothing but shared lengths and suffixes in order."""
+    coded = numbered(written(encodings.front_coded(_docs(spark, sf_dir)), "front"), ["path"], "pos").select("pos", "shared", "suffix_hex")
+    return encodings.front_decoded(written(coded, "front-coded"), ["pos"]).select("pos", "path")
+
+
+@query(f"WITH {_FILES} SELECT path, mtime_s FROM files")
+def mtime_decoding(spark, sf_dir):
+    coded = written(encodings.mtime_deltas(_docs(spark, sf_dir)).select("path", "delta"), "mtime-coded")
+    return encodings.mtimes_decoded(coded, ["path"]).select("path", "mtime_s")
+
+
+@query(f"WITH {_REFS} SELECT path, ref_pos, chunk_id FROM refs JOIN chunks USING (chunk_hash)")
+def ref_decoding(spark, sf_dir):
+    _, refs = dedup.with_ids(written(_refs(spark, sf_dir), "refs"), ["file_id", "ref_pos"])
+    coded = written(encodings.ref_deltas(refs).select("path", "ref_pos", "delta"), "ref-coded")
+    return encodings.refs_decoded(coded, ["path", "ref_pos"]).select("path", "ref_pos", "chunk_id")
+
+
 @query(f"WITH {_FILES} SELECT path, mtime_s - coalesce(lag(mtime_s) OVER (ORDER BY path), 0) AS delta FROM files")
 def mtime_delta(spark, sf_dir):
     return encodings.mtime_deltas(_docs(spark, sf_dir)).select("path", "delta")
@@ -406,20 +428,29 @@ def verify_order(spark, sf_dir):
 # Codecs, transforms, archives
 
 
-@query("SELECT doc_id, true AS ok FROM documents")
+@query("""SELECT doc_id, sha256(encode(coalesce(text, ''))) AS hash, CASE WHEN octet_length(encode(text)) >= 1000 THEN true END AS packed FROM documents""")
 def codec_roundtrip(spark, sf_dir):
+    """Digests of what comes back of zstd or LZMA2, and whether texts of 1000 bytes and more got smaller."""
     files = _docs(spark, sf_dir).where("size > 0")
-    packed = files.select(F.col("file_id").alias("doc_id"), "content", "size", codecs.compressed(F.col("content"), 3, (codecs.ZSTD, codecs.LZMA2)).alias("c"))
+    packed = files.select(F.col("file_id").alias("doc_id"), "size", codecs.compressed(F.col("content"), 3, (codecs.ZSTD, codecs.LZMA2)).alias("c"))
     back = codecs.decompressed(F.col("c.codec"), F.col("c.payload"), F.col("size"))
-    done = packed.select("doc_id", (back == F.col("content")).alias("ok"))
-    return done.unionByName(_docs(spark, sf_dir).where("size = 0").select(F.col("file_id").alias("doc_id"), F.lit(True).alias("ok")))
+    smaller = (F.col("c.codec") != codecs.STORE) & (F.octet_length("c.payload") < F.col("size"))
+    done = packed.select("doc_id", F.sha2(back, 256).alias("hash"), F.when(F.col("size") >= 1000, smaller).alias("packed"))
+    empty = _docs(spark, sf_dir).where("size = 0").select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("hash"), F.lit(None).cast("boolean").alias("packed"))
+    return done.unionByName(empty)
+
+
+_BINARY = " || ".join(f"sha256(coalesce(text, '') || '{i}')" for i in range(16))
 
 
-@query("SELECT doc_id, doc_id % 5 AS transform, true AS ok FROM documents")
+@query(f"SELECT doc_id, doc_id % 5 AS transform, sha256(unhex({_BINARY})) AS hash FROM documents")
 def transform_roundtrip(spark, sf_dir):
-    t = (F.col("file_id") % 5).cast("short")
-    files = _docs(spark, sf_dir).select(F.col("file_id").alias("doc_id"), t.alias("transform"), "content").withColumn("t", transforms.transformed(F.col("transform"), F.col("content")))
-    return files.select("doc_id", F.col("transform").cast("long").alias("transform"), (transforms.restored(F.col("t.transform"), F.col("t.data")) == F.col("content")).alias("ok"))
+    """Digests of what comes back, of 512 bytes made of each text's digests, in which all bytes that transforms look for occur."""
+    data = F.unhex(F.concat(*[F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit(str(i))), 256) for i in range(16)]))
+    t = (F.col("doc_id") % 5).cast("short")
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.alias("transform"), data.alias("content"))
+    done = files.withColumn("t", transforms.transformed(F.col("transform"), F.col("content")))
+    return done.select("doc_id", F.col("transform").cast("long").alias("transform"), F.sha2(transforms.restored(F.col("t.transform"), F.col("t.data")), 256).alias("hash"))
 
 
 def _context_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,6 +490,29 @@ def archive_verify(spark, sf_dir):
     return archive.Archive(spark, path, "correct horse").verify()
 
 
+@query(f"WITH {_FILES} SELECT path FROM files WHERE file_id % 50 = 0")
+def archive_damage(spark, sf_dir):
+    """Files of which nothing is handed out: their content doesn't give the hash that the (here falsified) index has."""
+    path = f"{shared_dir(spark)}/stratarc-archive-{uuid.uuid4().hex[:12]}"
+    archive.create(_docs(spark, sf_dir), path, archive.Options(**_SMALL))
+    opened = archive.Archive(spark, path)
+    number = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long")
+    opened.parts["entries"] = opened.entries.withColumn("hash", F.when(number % 50 == 0, F.sha2("path", 256)).otherwise(F.col("hash")))
+    return opened.read(opened.entries).where("content IS NULL").select("path")
+
+
+@query(f"""WITH {_FILES}, p AS (SELECT DISTINCT unnest(['documents', 'documents/' || lang, 'documents/' || lang || '/' || source]) AS d FROM documents)
+SELECT count(*) AS files, (SELECT count(*) FROM p) AS dirs, 0::BIGINT AS symlinks, CAST(sum(size) AS BIGINT) AS logical_bytes, true AS every_byte_in_a_block, true AS smaller FROM files""")
+def archive_info(spark, sf_dir):
+    """The counts of an archive's info; unique bytes are those of all blocks, and stored bytes are fewer."""
+    path = f"{shared_dir(spark)}/stratarc-archive-{uuid.uuid4().hex[:12]}"
+    archive.create(views.with_parents(_docs(spark, sf_dir)), path, archive.Options(**_SMALL, password="correct horse"))
+    i = archive.Archive(spark, path, "correct horse").info()
+    raw = sum(c["raw_bytes"] for c in i["codecs"].values())
+    row = (i["files"], i["dirs"], i["symlinks"], i["logical_bytes"], raw == i["unique_bytes"] <= i["logical_bytes"], i["stored_bytes"] < raw)
+    return spark.createDataFrame([row], "files long, dirs long, symlinks long, logical_bytes long, every_byte_in_a_block boolean, smaller boolean")
+
+
 @query("SELECT event_type, user_id, max_by(value, event_id) AS value, CAST(rank() OVER (PARTITION BY event_type ORDER BY max_by(value, event_id)) = 1 AS BOOLEAN) AS best FROM events GROUP BY event_type, user_id")
 def latest_and_best(spark, sf_dir):
     """Later results replace earlier ones of the same key; the smallest of each group is marked."""
@@ -492,6 +546,11 @@ SELECT seq, chunk_len, block_id FROM f""")
 def stream_pack(spark, sf_dir):
     from stratarc.streaming import ingest
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _stream(spark, sf_dir).select(F.lit(False).alias("store_group"), F.col("doc_id").alias("seq"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("chunk_len"))
-    return ingest.run_available(ingest.stream_pack(rows, BLOCK), "pack").select("seq", "chunk_len", "block_id")
+    try:
+        return ingest.run_available(ingest.stream_pack(rows, BLOCK), "pack").select("seq", "chunk_len", "block_id")
+    finally:
+        spark.conf.set(name, before)

@@ -1,22 +1,24 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
-The text view sees what is written: shares of character classes, word lengths, repetition of words, pairs of words and lines,
-function-word share, hashed word shapes. The metadata view sees how the page presents itself: length, number and length of
-lines, language and source. Each is a logistic regression with standardised inputs. In every round each classifier names the
-unlabelled rows of a pool that it is surest of, in the proportion of the classes, and hands them to the other as pseudo-labels. Then each view's
-logit is calibrated on labelled rows kept aside, and a logistic regression over both calibrated logits scores all documents.
-
-Fitting uses bounded samples, chosen by a hash of doc_id: at most FIT_ROWS labelled rows and POOL_ROWS unlabelled ones. Scoring reads every
+The text view sees what is written: shares of character classes, word lengths and shapes, repetition of words and pairs of words. The metadata
+view sees what the table says about the page and nothing of its text: language, source and the given number of characters (n_chars, where docs has
+it). Each is a logistic regression with standardised inputs. In every round each classifier scores all documents without a label and hands
+the HANDED surest of either class to the other as pseudo-labels; equal documents count once. How sure a view may be is calibrated each round on
+labelled rows that it wasn't fitted on (FOLDS parts in turn), so a view that knows little hands over nothing, as both do with fewer than LEAST labels of a class. In the end a logistic regression over both
+calibrated logits, fitted on other held-out rows than the calibration, scores all documents.
+
+Fitting uses at most FIT_ROWS labelled rows, chosen by a hash of doc_id, and what is handed over. Rounds and scoring read every
 row and whole text. Rows are rejected when the combined score is below THRESHOLD, low enough to keep doubtful documents.
 
-Nulls: a null text counts as empty, null lang or source as a value of its own, null labels as unlabelled. Empty texts have all-zero text
+Nulls: a null text counts as empty, null lang, source or n_chars as a value of its own, null labels as unlabelled. Empty texts have all-zero text
 features and are scored like others. Rows that repeat a doc_id are each scored, and one of them, by a hash of what it holds, is fitted; several labels for a doc_id are averaged and count as 1
 from 0.5 on. Without both classes among the labels everything gets score 1 and is accepted. An empty table gives an empty result. Columns other
-than those named are carried along only by ``keep_good``.
+than those named are carried along only by ``keep_good``, under any name.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +32,19 @@ from stratarc.llm.common import id_hash, split_words, written
 from stratarc.llm.tokens import text_slices
 
 FIT_ROWS = 12_000
-POOL_ROWS = 12_000
 ROUNDS = 4
-#: Pseudo-labels that each view hands over in a round, as a share of the pool.
-SHARE = 0.04
+#: Pseudo-labels of both classes that each view hands over in a round at most, in the proportion of the classes.
+HANDED = 500
+#: By how much a pseudo-label's calibrated log odds have to differ from those of the classes' shares, and parts in which rows are held out to calibrate.
+SURE, FOLDS = 2.5, 5
+#: Labelled rows of each class without which nothing is handed over.
+LEAST = 10
 THRESHOLD = 0.2
 SHAPES = 48
+#: Text bytes that are counted at once.
+PIECE = 1 << 20
+#: Text bytes that are split into words at once.
+SLICE = 2_000_000
 HASHED = 24
 
 _CLASSES = np.full(256, 0, np.uint8)
@@ -45,12 +54,6 @@ _CLASSES[128:] = 18
 N_CLASSES = 19
 
 
-def _per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of values by text, given each text's end."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, 0, dtype=np.float64)])
-    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
-
-
 def _repeats(keys: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Distinct keys of each text."""
     if not len(keys):
@@ -61,54 +64,63 @@ def _repeats(keys: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(d[new], minlength=docs).astype(float)
 
 
+def _classes_of(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts of character classes [texts, classes], taken in pieces, so that no array is many times as long as a text."""
+    out = np.zeros((len(ends), N_CLASSES))
+    for a in range(0, len(data), PIECE):
+        b = min(a + PIECE, len(data))
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left") + 1
+        each = np.diff(np.clip(ends[lo:hi], a, b), prepend=a)
+        doc = np.repeat(np.arange(hi - lo, dtype=np.int32), each)
+        doc *= N_CLASSES
+        doc += _CLASSES[data[a:b]]
+        out[lo:hi] += np.bincount(doc, minlength=(hi - lo) * N_CLASSES).reshape(-1, N_CLASSES)
+    return out
+
+
 def text_view(texts: pa.Array) -> np.ndarray:
     texts = pc.fill_null(texts, "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.empty(0, np.uint8)
-    ends = offsets[1:] - offsets[0]
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    chars = np.bincount(doc * N_CLASSES + _CLASSES[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES).astype(float)
+    chars = _classes_of(data, offsets[1:] - offsets[0])
     size = np.maximum(np.diff(offsets), 1)[:, None]
     unique, codes, word_ends = split_words(texts)
-    owner = np.repeat(np.arange(n), np.diff(np.concatenate([[0], word_ends])))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.concatenate([[0], word_ends])))
     words = np.maximum(np.bincount(owner, minlength=n), 1)
     lengths = pc.binary_length(unique).to_numpy(zero_copy_only=False).astype(float) if len(unique) else np.empty(0)
     per = np.bincount(owner, lengths[codes], minlength=n) / words
     shapes = _shapes(unique)
-    shaped = np.bincount(owner * SHAPES + shapes[codes], minlength=n * SHAPES).reshape(n, SHAPES) if len(codes) else np.zeros((n, SHAPES))
+    shaped = np.bincount(owner.astype(np.int64) * SHAPES + shapes[codes], minlength=n * SHAPES).reshape(n, SHAPES) if len(codes) else np.zeros((n, SHAPES))
     distinct = _repeats(codes, owner, n) / words
     same = owner[1:] == owner[:-1] if len(owner) else np.empty(0, bool)
     pair = (codes[:-1].astype(np.int64) << 32 | codes[1:])[same] if len(codes) else np.empty(0, np.int64)
     pairs = _repeats(pair, owner[1:][same] if len(owner) else owner, n) / words
-    del ends
-    return np.column_stack([np.sqrt(chars / size), np.sqrt(shaped / words[:, None]), per / 10, distinct, pairs, np.log1p(words) / 10])
+    return np.column_stack([np.sqrt(chars / size), np.sqrt(shaped / words[:, None]), per / 10, distinct, pairs])
 
 
 def _shapes(unique: pa.Array) -> np.ndarray:
-    """A hashed class of each word: letter case, digits and what it ends with."""
+    """A hashed class of each word: letter case, digits, whether it is short, what mark it ends with and whether three times."""
     if not len(unique):
         return np.empty(0, np.int64)
-    out = np.empty(len(unique), np.int64)
-    known: dict[tuple, int] = {}
-    for i, w in enumerate(unique.to_pylist()):
-        tail = w[-1:]  # the dictionary may hold the empty string, which no code refers to
-        kind = (w.isupper(), w[:1].isupper(), w.isalpha(), w.isdigit(), len(w) < 4, "" if tail.isalpha() else tail, "" if len(w) < 3 or w[-3].isalpha() or w[-3] != tail else "3")
-        if kind not in known:
-            known[kind] = zlib.crc32(repr(kind).encode()) % SHAPES
-        out[i] = known[kind]
-    return out
-
-
-def meta_view(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> np.ndarray:
-    texts = pc.fill_null(texts, "")
-    n_chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)
-    lines = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False).astype(float) + 1
-    hashed = np.zeros((len(texts), 2 * HASHED))
+    unique = unique.cast(pa.string())
+    tail, third = pc.utf8_slice_codeunits(unique, -1), pc.utf8_slice_codeunits(unique, -3, -2)
+    mark = pc.if_else(pc.utf8_is_alpha(tail), "", tail)
+    short = pc.less(pc.utf8_length(unique), 4)
+    flags = [pc.utf8_is_upper(unique), pc.utf8_is_upper(pc.utf8_slice_codeunits(unique, 0, 1)), pc.utf8_is_alpha(unique), pc.utf8_is_digit(unique), short, pc.equal(third, mark)]
+    kinds = pc.binary_join_element_wise(*[pc.if_else(f, "1", "0") for f in flags], mark, "").dictionary_encode()
+    classes = np.array([zlib.crc32(k.encode()) % SHAPES for k in kinds.dictionary.to_pylist()], np.int64)
+    return classes[kinds.indices.to_numpy(zero_copy_only=False)]
+
+
+def meta_view(langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> np.ndarray:
+    hashed = np.zeros((len(langs), 2 * HASHED))
     for at, column in ((0, langs), (HASHED, sources)):
         for i, v in enumerate(column.to_pylist()):
             hashed[i, at + zlib.crc32(repr(v).encode()) % HASHED] = 1
-    return np.column_stack([np.log1p(n_chars) / 10, np.log1p(lines) / 5, np.log1p(n_chars / lines) / 10, n_chars < 200, hashed])
+    n = pc.fill_null(sizes, -1).to_numpy(zero_copy_only=False).astype(float)
+    log = np.log1p(np.maximum(n, 0))
+    return np.column_stack([log / 10, (log / 10) ** 2, n < 0, *((n >= 0) & (n < k) for k in (50, 200, 800, 3200)), hashed])
 
 
 class Logistic:
@@ -141,37 +153,34 @@ class Logistic:
 class CoTraining:
     """Two views' classifiers, their calibration and their combination."""
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> CoTraining:
-        aside = np.arange(len(y)) % 5 == 0
-        if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
-            aside = np.ones(len(y), bool)  # too few labels to keep some aside
-            fit = aside
-        else:
-            fit = ~aside
-        views, pools = (text[fit], meta[fit]), (pool_text, pool_meta)
-        own = [(v, y[fit], np.ones(fit.sum())) for v in views]
-        free = np.ones(len(pool_text), bool)
-        self.models = [Logistic().fit(*o) for o in own]
-        good = max(1, int(SHARE * len(free) * y[fit].mean()))
-        bad = max(1, int(SHARE * len(free) * (1 - y[fit].mean())))
-        for _ in range(rounds):
-            for v in (0, 1):
-                left = np.flatnonzero(free)
-                if len(left) < good + bad:
-                    break
-                logit = self.models[v].logit(pools[v][left])
-                order = np.argsort(logit, kind="stable")
-                picks = [(left[j], 1.0) for j in order[-good:] if logit[j] > 2] + [(left[j], 0.0) for j in order[:bad] if logit[j] < -2]
-                if picks:
-                    rows, marks = np.array([p for p, _ in picks]), np.array([m for _, m in picks])
-                    free[rows] = False
-                    x, t, k = own[1 - v]
-                    own[1 - v] = (np.concatenate([x, pools[1 - v][rows]]), np.concatenate([t, marks]), np.concatenate([k, np.full(len(rows), 0.3)]))
-            self.models = [Logistic().fit(*o) for o in own]
-        raw = [m.logit(v[aside]) for m, v in zip(self.models, (text, meta), strict=True)]
-        self.calibration = [Logistic(0.1).fit(r[:, None], y[aside]) for r in raw]
-        both = np.column_stack([c.logit(r[:, None]) for c, r in zip(self.calibration, raw, strict=True)])
-        self.combined = Logistic(0.1).fit(both, y[aside])
+    def fit(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS) -> CoTraining:
+        """views: text and metadata features of labelled rows; surest(models, calibration, good share): for each view, the rows (text, meta, label) that it hands over."""
+        # folds and halves that have their share of both classes
+        turn = np.empty(len(y), np.int64)
+        for c in np.unique(y):
+            turn[y == c] = np.arange((y == c).sum())
+        more: list[list[tuple]] = [[], []]
+        for left in range(rounds, -1, -1):
+            learn = lambda v, rows: Logistic().fit(*(np.concatenate(x) for x in zip((views[v][rows], y[rows], np.ones(rows.sum())), *more[v], strict=True)))  # noqa: B023, E731
+            self.models = [learn(v, np.ones(len(y), bool)) for v in (0, 1)]
+            # what a view is worth shows on rows that it wasn't fitted on
+            unseen = [np.zeros(len(y)), np.zeros(len(y))]
+            for f in range(FOLDS):
+                mine = turn % FOLDS == f
+                if mine.any() and len(np.unique(y[~mine])) == 2:
+                    for v in (0, 1):
+                        unseen[v][mine] = learn(v, ~mine).logit(views[v][mine])
+            half = turn // FOLDS % 2 == 0
+            if len(np.unique(y[~half])) < 2:
+                half = np.ones(len(y), bool)
+            self.calibration = [Logistic(1.0).fit(x[half][:, None], y[half]) for x in unseen]
+            if left and min((y == c).sum() for c in (0, 1)) >= LEAST:
+                for v, rows in enumerate(surest(self.models, self.calibration, y.mean())):
+                    if rows is not None:
+                        more[1 - v].append((rows[1 - v], rows[2], np.full(len(rows[2]), 0.3)))
+        rest = ~half if (~half).any() else half
+        both = np.column_stack([c.logit(x[rest][:, None]) for c, x in zip(self.calibration, unseen, strict=True)])
+        self.combined = Logistic(1.0).fit(both, y[rest])
         return self
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -182,68 +191,127 @@ class CoTraining:
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(batch.column("text")), meta_view(batch.column("text"), batch.column("lang"), batch.column("source"))
+    return text_view(batch.column("text")), meta_view(batch.column("lang"), batch.column("source"), batch.column("n_chars"))
 
 
-def _bounded(df: DataFrame, most: int) -> DataFrame:
-    """At most about most rows, one of each doc_id given, by a hash of doc_id: all of them where there are no more."""
-    n = df.count()
-    return df if n <= most else df.where(id_hash(F.col("doc_id")) % 1_000_003 < int(1_000_003 * most / n))
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> CoTraining | None:
-    """Fit on bounded samples; None without both classes. docs: doc_id, text, lang, source; labels: doc_id, quality."""
-    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    marks = written(_bounded(marks, fit_rows), "quality-labels")
-    rest = docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = _bounded(rest.distinct(), pool_rows).withColumn("y", F.lit(-1.0))
-    wanted = written(marks.unionByName(pool), "quality-sample")
+def _packed(rows: DataFrame) -> DataFrame:
+    """doc_id, y, and both views' features as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                text, meta = _views(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.astype("<f4").tobytes() for r in text], pa.binary()), pa.array([r.astype("<f4").tobytes() for r in meta], pa.binary())], names=["doc_id", "y", "text", "meta"])
-
-    # the sample is bounded by fit_rows and pool_rows, so it may be broadcast; which of a doc_id's rows is taken depends on what they hold alone
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text", "lang", "source").alias("hash"), "text", "lang", "source").alias("row"))
-    one = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("row").alias("row")).select("doc_id", "y", "row.text", "row.lang", "row.source")
-    sample = one.mapInArrow(run, "doc_id long, y double, text binary, meta binary").toPandas().sort_values("doc_id", kind="stable")
-    if not len(sample):
-        return None
-    y = sample["y"].to_numpy()
-    text, meta = (np.stack([np.frombuffer(b, "<f4") for b in sample[c]]).astype(float) for c in ("text", "meta"))
-    known = y >= 0
-    if len(np.unique(y[known])) < 2:
+            for batch in text_slices(whole, "text", SLICE):
+                text, meta = (np.ascontiguousarray(x, dtype="<f4") for x in _views(batch))
+                cells = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (text, meta)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *cells], names=["doc_id", "y", "text", "meta"])
+
+    return rows.mapInArrow(run, "doc_id long, y double, text binary, meta binary")
+
+
+def _features(column) -> np.ndarray:
+    return np.stack([np.frombuffer(b, "<f4") for b in column]).astype(float)
+
+
+def _surest(pool: DataFrame, handed: int):
+    """The function that CoTraining.fit asks for pseudo-labels: every round scores the whole pool, and no row is handed over twice."""
+    given: set[tuple[bytes, bytes]] = set()
+
+    def ask(models: list[Logistic], calibration: list[Logistic], share: float) -> list:
+        good, prior = max(1, int(handed * share)), math.log(share / (1 - share))
+        # per view and class: rows wanted, and the sign that puts the surest first
+        lists = [(v, mark, n, sign) for v in (0, 1) for mark, n, sign in ((1.0, good, -1), (0.0, max(1, handed - good), 1))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[tuple]] = [[] for _ in lists]
+            for batch in batches:
+                cells = [batch.column(c).to_pylist() for c in ("text", "meta")]
+                logits = [k.logit(m.logit(_features(c))[:, None]) - prior for k, m, c in zip(calibration, models, cells, strict=True)] if batch.num_rows else []
+                for mine, (v, _, n, sign) in zip(held, lists, strict=True):
+                    if not batch.num_rows or calibration[v].w[1] <= 0:
+                        continue
+                    key = sign * logits[v]
+                    bar = mine[-1][0] if len(mine) == n else -SURE
+                    rows = [(float(key[i]), cells[0][i], cells[1][i]) for i in np.flatnonzero(key <= min(bar, -SURE)).tolist()]
+                    mine[:] = sorted(mine + [r for r in rows if r[1:] not in given])[:n]
+            for k, mine in enumerate(held):
+                if mine:
+                    yield pa.RecordBatch.from_pydict({"list": pa.array([k] * len(mine), pa.int32()), "key": [r[0] for r in mine], "text": pa.array([r[1] for r in mine], pa.binary()), "meta": pa.array([r[2] for r in mine], pa.binary())})
+
+        # at most so many rows a task as are wanted
+        best = written(pool.mapInArrow(run, "list int, key double, text binary, meta binary"), "quality-round")
+        out = []
+        for view in (0, 1):
+            picks = []
+            for k, (v, mark, n, _) in enumerate(lists):
+                if v == view:
+                    rows = best.where(F.col("list") == k).orderBy("key", "text", "meta").limit(n).collect()
+                    rows = [r for r in ((bytes(r["text"]), bytes(r["meta"])) for r in rows) if r not in given]
+                    given.update(rows)
+                    picks += [(*r, mark) for r in rows]
+            out.append((_features([p[0] for p in picks]), _features([p[1] for p in picks]), np.array([p[2] for p in picks])) if picks else None)
+        return out
+
+    return ask
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The columns that are read; n_chars is null where docs has none."""
+    size = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), size.alias("n_chars"))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = HANDED, rounds: int = ROUNDS) -> CoTraining | None:
+    """Fit on at most about fit_rows labelled rows and what each view hands over, at most pool_rows a round; None without both classes.
+
+    docs: doc_id, text, lang, source and, if it has it, n_chars; labels: doc_id, quality.
+    """
+    docs = _named(docs)
+    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    n = marks.count()
+    if n > fit_rows:
+        marks = marks.where(id_hash(F.col("doc_id")) % 1_000_003 < int(1_000_003 * fit_rows / n))
+    marks = written(marks, "quality-labels")
+    # the labels are bounded by fit_rows, so they may be broadcast; which of a doc_id's rows is taken depends on what they hold alone
+    columns = ("text", "lang", "source", "n_chars")
+    rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "y", F.struct(F.xxhash64(*columns).alias("hash"), *columns).alias("row"))
+    one = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("row").alias("row")).select("doc_id", "y", *[f"row.{c}" for c in columns])
+    sample = _packed(one).toPandas().sort_values("doc_id", kind="stable")
+    if not len(sample) or sample["y"].nunique() < 2:
         return None
-    return CoTraining().fit(text[known], meta[known], y[known], text[~known], meta[~known], rounds)
+    views = _features(sample["text"]), _features(sample["meta"])
+    if not rounds:
+        return CoTraining().fit(views, sample["y"].to_numpy(), None, 0)
+    # all rows without a label are the pool; equal ones are one
+    known = written(labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "quality-known")
+    every = written(_packed(docs.withColumn("y", F.lit(-1.0))), "quality-views").select("doc_id", "text", "meta")
+    pool = written(every.join(known, "doc_id", "left_anti").groupBy("text", "meta").agg(F.count("*").alias("rows")).select("text", "meta"), "quality-pool")
+    return CoTraining().fit(views, sample["y"].to_numpy(), _surest(pool, pool_rows), rounds)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, text_score, meta_score, score and accepted of every row."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    model = train(slim, labels, **options)
+    model = train(docs, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 p = model.scores(*_views(batch)) if model else np.ones((batch.num_rows, 3))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
 
-    return slim.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
+    return _named(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs without the rejected rows, in one pass over them; docs' own columns."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    model = train(slim, labels, **options)
+    model = train(docs, labels, **options)
     if model is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                yield batch.filter(pa.array(model.scores(*_views(batch))[:, 2] >= threshold))
+            for batch in text_slices(whole, "text", SLICE):
+                langs, sources = (batch.column(c).cast(pa.string()) for c in ("lang", "source"))
+                sizes = batch.column("n_chars").cast(pa.float64()) if "n_chars" in batch.schema.names else pa.nulls(batch.num_rows, pa.float64())
+                yield batch.filter(pa.array(model.scores(text_view(batch.column("text")), meta_view(langs, sources, sizes))[:, 2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,8 +4,9 @@ Candidates are strings of known key formats, values assigned to credential names
 found in whole texts. Overlapping candidates count once, at the first pattern that names them; only a mixed string with slashes, which may be a
 secret or a path, is a candidate beside its long parts. The forest sees a candidate's length and character mix, its transitions between
 character classes and how likely its letter pairs are in words, how much of it a dictionary covers, whether it stands in a path or address, and the words
-before and after it. It is trained on labelled findings, on the driver, from at most LABELLED_ROWS rows; without a table of
-findings, a built-in generator gives labelled ones of many kinds. The trees are a few thousand numbers, sent with the task.
+before and after it. The dictionary and the letter pairs are counted in Spark over all documents: the DICTIONARY_WORDS words of 4 to 14 ASCII letters that
+occur most often, besides a few that stand for secrets in examples. The forest is trained on labelled findings, on the driver, from at most LABELLED_ROWS rows; without a table of
+findings, a built-in generator gives labelled ones of many kinds. The trees and the dictionary are below a megabyte, sent with the task.
 
 Results: one row per candidate with its probability and ``is_secret``; offset and length count code points. The value itself is not
 returned, only its SHA-256. Null and empty texts have no candidates. Null doc_ids are kept as null. Repeated rows give repeated
@@ -15,6 +16,7 @@ findings. An empty table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import math
 import re
@@ -26,11 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratarc.llm.common import split_words
 from stratarc.llm.tokens import text_slices
 
 LABELLED_ROWS = 6_000
 THRESHOLD = 0.5
 AROUND = 48
+#: Words of the dictionary, and their letters.
+DICTIONARY_WORDS, SHORTEST, LONGEST = 20_000, 4, 14
 
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credentials?"
 ASSIGNED = r"[\"']?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"']?([^\s\"'<>]{4,})"
@@ -54,7 +59,8 @@ HINT = rf"PRIVATE KEY-----|A[KS]IA[A-Z0-9]|gh[pousr]_|xox[abprs]-|[sr]k_(live|te
 
 GOOD_NAMES = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "auth", "credential", "aws", "bearer", "login")
 BAD_NAMES = ("example", "sample", "placeholder", "changeme", "dummy", "test", "commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "id", "version", "file", "http", "https", "www", "isbn", "order", "phone")
-DICTIONARY = ("example", "sample", "password", "secret", "changeme", "change", "your", "here", "test", "token", "insert", "dummy", "none", "null", "true", "false", "default", "value", "string", "user", "name", "admin", "the", "and", "for", "file", "path", "home", "config", "data", "index", "page", "image", "static", "assets", "version", "release", "xxxx", "todo", "key")
+#: Parts of values that stand where a secret would.
+PLACEHOLDERS = ("example", "sample", "password", "secret", "changeme", "change", "your", "here", "test", "token", "insert", "dummy", "none", "null", "true", "false", "default", "value", "string", "user", "name", "admin", "the", "and", "for", "file", "path", "home", "config", "data", "index", "page", "image", "static", "assets", "version", "release", "xxxx", "todo", "key")
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -75,24 +81,61 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for a, b, k in sorted(found)]
 
 
-def _pair_model() -> np.ndarray:
-    """log2 chance of a letter after a letter, from the built-in word lists."""
-    counts = np.full((26, 26), 0.3)
-    for word in (*DICTIONARY, *GOOD_NAMES, *BAD_NAMES, *"information national position thereafter understanding entreprise question nombre acción cuando dieser zwischen heiten werden".split()):
-        low = [ord(c) - 97 for c in word.lower() if "a" <= c <= "z"]
-        for a, b in zip(low, low[1:], strict=False):
-            counts[a, b] += 1
-    return np.log2(counts / counts.sum(1, keepdims=True))
+class Language:
+    """What words look like: which are known, and log2 chances of a letter after a letter."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.words = frozenset(counts) | {w for w in PLACEHOLDERS if len(w) > 3}
+        table = np.full((26, 26), 0.3)
+        for word, n in (counts | dict.fromkeys((*PLACEHOLDERS, *GOOD_NAMES, *BAD_NAMES), 1)).items():
+            low = [ord(c) - 97 for c in word.lower() if "a" <= c <= "z"]
+            for a, b in zip(low, low[1:], strict=False):
+                table[a, b] += n
+        self.pairs = np.log2(table / table.sum(1, keepdims=True))
+
+    def covered(self, low: str) -> float:
+        """Share of the characters that lie in a known word."""
+        inside = np.zeros(len(low), bool)
+        for a in range(len(low) - SHORTEST + 1):
+            for n in range(min(LONGEST, len(low) - a), SHORTEST - 1, -1):
+                if low[a : a + n] in self.words:
+                    inside[a : a + n] = True
+                    break
+        for w in (w for w in PLACEHOLDERS if len(w) < SHORTEST):
+            at = low.find(w)
+            while at >= 0:
+                inside[at : at + len(w)] = True
+                at = low.find(w, at + 1)
+        return float(inside.mean())
+
+
+@functools.cache
+def _plain_language() -> Language:
+    return Language({})
+
 
+def language(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Language:
+    """Counted over all rows of docs (column text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                unique, codes, _ = split_words(batch.column("text"), lower=True)
+                n = np.bincount(codes, minlength=len(unique))
+                letters = np.array(pc.match_substring_regex(unique.cast(pa.string()), f"^[a-z]{{{SHORTEST},{LONGEST}}}$")) if len(unique) else np.empty(0, bool)
+                at = np.flatnonzero(letters & (n > 0))
+                yield pa.RecordBatch.from_arrays([unique.take(pa.array(at)).cast(pa.string()), pa.array(n[at])], names=["word", "n"])
 
-_PAIRS = _pair_model()
+    every = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Language({r["word"]: r["n"] for r in every.orderBy(F.desc("n"), "word").limit(words).collect()})
 
 
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(kind: str, value: str, before: str, after: str) -> list[float]:
+def features(kind: str, value: str, before: str, after: str, known: Language | None = None) -> list[float]:
+    known = known or _plain_language()
     n = len(value)
     classes = [_class(c) for c in value]
     share = [classes.count(k) / n for k in range(4)]
@@ -101,13 +144,7 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     turns = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, n - 1)
     low = value.lower()
     letters = [ord(c) - 97 for c in low if "a" <= c <= "z"]
-    pairs = sum(_PAIRS[a, b] for a, b in zip(letters, letters[1:], strict=False)) / max(1, len(letters) - 1)
-    covered = np.zeros(n, bool)
-    for w in DICTIONARY:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
+    pairs = sum(known.pairs[a, b] for a, b in zip(letters, letters[1:], strict=False)) / max(1, len(letters) - 1)
     run = best = 1
     for a, b in zip(value, value[1:], strict=False):
         run = run + 1 if a == b else 1
@@ -118,7 +155,7 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     mark = before.rstrip()[-1:] if before.rstrip() else ""
     word_kind = [k for k, _ in PATTERNS].index(kind)
     return [
-        n, *share, entropy, entropy / math.log2(max(2, n)), turns, pairs, covered.mean(), best / n,
+        n, *share, entropy, entropy / math.log2(max(2, n)), turns, pairs, known.covered(low), best / n,
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float("/" in before[-3:] or "://" in before[-24:] or "." in before[-1:]), float("/" in value or after[:1] == "/"), float(bool(re.search(r"[{}$<>%]", value[:4]))),
         float(any(w in GOOD_NAMES for w in nears)), float(any(w in BAD_NAMES for w in nears)), float(any(w in BAD_NAMES for w in behind)),
@@ -195,7 +232,8 @@ class Forest:
                     gain = np.where(ok, start - (n * p * (1 - p) + (len(v) - n) * q * (1 - q)) / len(v), 0)
                     j = int(gain.argmax())
                     if gain[j] > best[0]:
-                        best = (gain[j], int(f), (v[j] + v[j + 1]) / 2)
+                        middle = (v[j] + v[j + 1]) / 2
+                        best = (gain[j], int(f), middle if middle < v[j + 1] else v[j])
             if best[1] >= 0:
                 left = x[mine, best[1]] <= best[2]
                 child = len(nodes)
@@ -220,14 +258,14 @@ class Forest:
         return total / len(self.grown)
 
 
-def train(findings: DataFrame | None = None, rows: int = LABELLED_ROWS) -> Forest:
+def train(findings: DataFrame | None = None, rows: int = LABELLED_ROWS, known: Language | None = None) -> Forest:
     """findings: value, before, after, label; at most rows of them are fitted, and none but the generator's if not given."""
     if findings is None:
-        known = labelled_findings()
+        made = labelled_findings()
     else:
-        known = [tuple(r) for r in findings.select("value", "before", "after", "label").where("value <> '' AND label IS NOT NULL").limit(rows).collect()]
-    x = np.array([features(kind_of(v, b or ""), v, b or "", a or "") for v, b, a, _ in known], float)
-    return Forest().fit(x, np.array([y for *_, y in known], float))
+        made = [tuple(r) for r in findings.select("value", "before", "after", "label").where("value <> '' AND label IS NOT NULL").limit(rows).collect()]
+    x = np.array([features(kind_of(v, b or ""), v, b or "", a or "", known) for v, b, a, _ in made], float)
+    return Forest().fit(x, np.array([y for *_, y in made], float))
 
 
 SCHEMA = "doc_id long, kind string, start long, length long, score double, is_secret boolean, secret_sha256 string"
@@ -235,7 +273,9 @@ SCHEMA = "doc_id long, kind string, start long, length long, score double, is_se
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All candidates of all rows, judged."""
-    forest = train(findings)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = language(docs)
+    forest = train(findings, known=known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -245,14 +285,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     for kind, a, b in find(text):
                         rows.append((doc, kind, a, b - a, hashlib.sha256(text[a:b].encode()).hexdigest()))
-                        x.append(features(kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]))
+                        x.append(features(kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], known))
                 p = forest.predict(np.array(x, float)) if rows else np.empty(0)
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 doc, kind, start, length, sha = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
                 yield pa.RecordBatch.from_arrays([doc, kind, start, length, pa.array(p), pa.array(p >= threshold), sha], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

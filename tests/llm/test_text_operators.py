@@ -340,6 +340,39 @@ def test_secrets(spark, docs, odd, empty):
     assert secrets_scan.scan(df, findings).where("is_secret").count() >= 3
 
 
+def test_findings_of_foreign_shape(spark, docs):
+    """Kinds of secrets and of look-alikes that the generator does not make, in lines of configuration, code and prose."""
+    rng = np.random.default_rng(21)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    alnum, hexes = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    words = [w for w in (docs.first()["text"] or "").split() if w.isalpha() and len(w) > 4][:60]
+    some = lambda n, sep: sep.join(rng.choice(words, n))
+    good = [
+        lambda: (f"npm_{pick(alnum, 36)}", "//registry/:_authToken=", ""), lambda: (f"SG.{pick(alnum, 22)}.{pick(alnum, 43)}", "mail.api_key: ", ""), lambda: (f"glpat-{pick(alnum, 20)}", "export CI_TOKEN=", ""),
+        lambda: (f"{pick(alnum, 16)}", "db.password=", ""), lambda: (pick(hexes, 40), 'client_secret: "', '"'), lambda: (f"{pick(alnum, 9)}!{pick(alnum, 3)}", "smtp_passwd = ", ""),
+        lambda: (f"AKIA{pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)}", "key id ", ""), lambda: (f"ghp_{pick(alnum, 36)}", "remote uses ", ""),
+    ]
+    bad = [
+        lambda: (f"{pick(hexes, 64)}", "sha256 digest ", " of the file"), lambda: (some(4, "-") + f"-{rng.integers(1000)}", "see https://www.site.org/blog/", ""), lambda: (f"{pick(hexes, 40)}", "commit ", ""),
+        lambda: (some(2, "") + ".", "the token: ", ""), lambda: ("${VAULT_PASSWORD}", "password=", ""), lambda: (some(5, "_") + "_2", "def ", "(): pass"), lambda: ("your_token_here", "api_key=", ""), lambda: (some(6, "/") + "/v2", "GET /", " HTTP"),
+    ]
+    made = [(*m(), y) for y, makers in ((1, good), (0, bad)) for m in makers for _ in range(12)]
+    lines = [f"{some(5, ' ')}\n{b}{v}{a}\n{some(4, ' ')}" for v, b, a, _ in made]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    named = {r["doc_id"] for r in secrets_scan.scan(df).where("is_secret AND doc_id < 100000").collect()}
+    caught = np.mean([i in named for i, m in enumerate(made) if m[3]])
+    wrong = np.mean([i in named for i, m in enumerate(made) if not m[3]])
+    assert caught >= 0.9 and wrong <= 0.15, (caught, wrong, Counter(i // 12 for i in named))
+
+
+def test_dictionary_is_counted_over_all_rows(spark, odd, docs, empty):
+    for df in (odd, docs):
+        want = Counter(w for r in df.select("text").collect() for w in WORDS.findall(low(r["text"])) if re.fullmatch("[a-z]{4,14}", w))
+        top = {w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:150]}
+        assert secrets_scan.language(df, 150).words == top | {w for w in secrets_scan.PLACEHOLDERS if len(w) > 3}
+    assert secrets_scan.language(empty).covered("xkq") == 0
+
+
 def test_secrets_of_longer_identifiers(spark):
     lines = [
         ("DB_PASSWORD=", "hunter2x!Q9"), ("SECRET_KEY = '", "dj4ng0k3y!z"), ("access_token: ", "8fk29fj2kd93"), ("auth_token=", "abc123def456"), ("aws_secret_access_key = ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYq2Zt8LmV3s"),

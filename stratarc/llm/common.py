@@ -32,7 +32,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 #: Most rows and bytes that go to a Python worker at once; whole texts and blocks are long rows.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager

@@ -9,14 +9,17 @@ similarity 0.85 misses all 121 tables with probability 6e-5.
    there, and only that one goes on to the key's shard, where the same is done across blocks. So a bucket of any size
    gives one candidate link per member and no task sees more than one row per block of a hot bucket.
 3. Each document's most frequent candidate is verified on the full sets; verified links form components.
-4. Components that share a bucket form a cluster. Within it each set A becomes its difference S from the cluster's core C, the
-   shingles that most members have. As the difference of A and B is that of their S, they are alike enough exactly if
+4. Components that share a bucket form a cluster. Its core C are the shingles that most members have, its family those members that differ
+   from C less than from nothing. Within it each set A becomes its difference S from the core.
+   As the difference of A and B is that of their S, they are alike enough exactly if
    K(A) + K(B) <= 2 (100 + percent) |S(A) and S(B)|, where K = (100 + percent) |S| - (100 - percent) |A|. So whatever the sets:
    a. every two members with K(A) + K(B) <= 0 are linked through the member of smallest K, with which each member is verified,
       as it is with the member of smallest K that shares most of the difference;
    b. any other two need so many differences in common that they share one of the rarest of each (a prefix filter), and differences that no
-      other member has count for none. Pairs of different components that pass are verified, without a cap.
-   Near copies of one text have few differences from the core, most of them their own, so few pairs are left, and no link between
+      other member has count for none. What sizes and places in the order leave possible is verified, without a cap.
+   Near copies of one text have few differences from the core, most of them their own, so few pairs are left. Whoever is no nearer to C than
+   to nothing can only be alike to sets with |S| >= (2 percent / 100 - 1) |A|. All these go on to another round with a core of their own;
+   after FAMILIES rounds, or when no core is left, the rest are paired by the same filter on the sets themselves. So no link between
    members of a cluster is lost. Pairs inside a component need no check: they can't change the result.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles are five words; a text with fewer words is one shingle.
@@ -40,8 +43,12 @@ from stratarc.llm.tokens import text_slices
 WORDS = 5
 ROWS = 3
 BLOCK = 2_048
+#: Text bytes that are split into words at once.
+SLICE = 2_000_000
 #: Keys that a shard holds in the mean.
 SHARD_KEYS = 1_000_000
+#: Rounds of cores before sets are paired as they are.
+FAMILIES = 2
 #: Rows up to which ids and set keys (some 60 bytes a row on the JVM), and numbers up to which cores, are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +116,7 @@ def sketches(docs: DataFrame, m: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"))
                 sig = minhashes(sets, 2 * m * ROWS)
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +220,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set_key", "n", "diff"])
 
@@ -264,7 +271,7 @@ def _each_shingle(sets: DataFrame) -> DataFrame:
 
 
 def _core_differences(sets: DataFrame) -> DataFrame:
-    """sets (cluster, rep, n, diff) with diff taken to the cluster's core: the shingles that more than half of its members have."""
+    """sets (cluster, rep, n, diff) with diff taken to the cluster's core, the shingles that more than half of its members have, and the core's size c."""
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"))
     counted = written(_each_shingle(sets).groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-holders")
     core = counted.join(sizes, "cluster").where("2 * holders > members").groupBy("cluster").agg(F.sort_array(F.collect_list("shingle")).alias("core"))
@@ -274,16 +281,17 @@ def _core_differences(sets: DataFrame) -> DataFrame:
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         for batch in batches:
-            out = []
+            out, sizes = [], []
             for x, c in zip(batch.column("diff"), batch.column("core"), strict=True):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
                 if c.is_valid:
                     own = np.setxor1d(own, c.values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True)
                 out.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), batch.column("n"), pa.array(out, pa.binary())], names=["cluster", "rep", "n", "diff"])
+                sizes.append(len(c) if c.is_valid else 0)
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), batch.column("n"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["cluster", "rep", "n", "c", "diff"])
 
     joined = sets.join(F.broadcast(core) if small else core, "cluster", "left")
-    return written(joined.select("cluster", "rep", "n", "diff", "core").mapInArrow(taken, "cluster long, rep long, n long, diff binary"), "minhash-differences")
+    return written(joined.select("cluster", "rep", "n", "diff", "core").mapInArrow(taken, "cluster long, rep long, n long, c long, diff binary"), "minhash-differences")
 
 
 def cluster_links(sets: DataFrame, labels: DataFrame, cross: DataFrame, percent: int) -> DataFrame:
@@ -293,21 +301,41 @@ def cluster_links(sets: DataFrame, labels: DataFrame, cross: DataFrame, percent:
     """
     clusters = components(cross.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     members = written(labels.join(clusters, "component"), "minhash-members")
-    diffs = _core_differences(written(sets.join(members.select("rep", "cluster"), "rep"), "minhash-clustered"))
+    now, links = members.select("rep", "component"), []
+    todo = written(sets.join(members.select("rep", "cluster"), "rep").select("cluster", "rep", "n", "diff"), "minhash-clustered")
+    for _ in range(FAMILIES):
+        diffs = _core_differences(todo)
+        far = F.octet_length("diff") / 8
+        family = written(diffs.where(far < F.col("n")), "minhash-family")
+        if family.isEmpty():
+            break
+        found, now = _family_links(family, now, percent)
+        links.append(found)
+        rest = diffs.where(far * 100 >= F.col("n") * (2 * percent - 100)).select("cluster", "rep")
+        several = rest.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1").select("cluster")
+        todo = written(todo.join(written(rest.join(several, "cluster"), "minhash-rest").select("rep"), "rep"), "minhash-todo")
+    found, _ = _family_links(todo.withColumn("c", F.lit(0).cast("long")), now, percent)
+    for more in links:
+        found = found.unionByName(more)
+    return found
+
+
+def _family_links(diffs: DataFrame, now: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Steps a and b for sets (cluster, rep, n, c, diff) of one core a cluster: links, and (rep, component) of all after step a."""
     rows = written(_each_shingle(diffs), "minhash-each")
     held = written(rows.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-shared")
     rows = written(rows.join(held, ["cluster", "shingle"]), "minhash-rows")
     shared = rows.groupBy("rep").agg(F.count("*").alias("shared"))
     excess = F.octet_length("diff").cast("long") / 8 * (100 + percent) - F.col("n") * (100 - percent)
-    facts = diffs.select("cluster", "rep", excess.cast("long").alias("k")).join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
-    facts = written(facts.join(members.select("rep", "component"), "rep"), "minhash-facts")
+    facts = diffs.select("cluster", "rep", "n", "c", excess.cast("long").alias("k")).join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    facts = written(facts.join(now, "rep"), "minhash-facts")
 
-    links = None
     unit = 2 * (100 + percent)
-    room = f"ka + kb <= {unit} * least(sa, sb)"
-    side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("k").alias(f"k{x}"), F.col("shared").alias(f"s{x}")]
-    least = F.min(F.struct("k", "rep", "component", "shared")).alias("h")
-    hub = [F.col("h.rep").alias("b"), F.col("h.component").alias("cb"), F.col("h.k").alias("kb"), F.col("h.shared").alias("sb")]
+    sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    room = f"ka + kb <= {unit} * least(sa, sb) AND {sizes}"
+    side = lambda x: [F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("shared").alias(f"s{x}")]
+    least = F.min(F.struct("k", "rep", "component", "n", "shared")).alias("h")
+    hub = [F.col("h.rep").alias("b"), F.col("h.component").alias("cb"), F.col("h.n").alias("nb"), F.col("h.k").alias("kb"), F.col("h.shared").alias("sb")]
 
     # a. with the member of smallest k of the cluster, and of all that share a difference
     hubs = written(facts.groupBy("cluster").agg(least).select("cluster", *hub), "minhash-hubs")
@@ -319,28 +347,33 @@ def cluster_links(sets: DataFrame, labels: DataFrame, cross: DataFrame, percent:
     links = written(verified(written(pairs.union(near).distinct(), "minhash-hub-pairs"), diffs, percent), "minhash-hub-links")
 
     # b. the components of now, then all other pairs by the prefix filter
-    now = facts.select("rep", "component")
     ends = links.join(now.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(now.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
     merged = components(written(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "minhash-merged"))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    facts = written(facts.join(merged, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"), "minhash-facts")
+    now = written(now.join(merged, "component", "left").select("rep", F.coalesce("whole", "component").alias("component")), "minhash-now")
+    facts = written(facts.drop("component").join(now, "rep"), "minhash-facts")
     # smallest k in any other component: of the component that has the smallest one, and of the rest
     first = facts.groupBy("cluster").agg(F.min(F.struct("k", "component")).alias("h")).select("cluster", F.col("h.k").alias("k1"), F.col("h.component").alias("c1"))
     first = written(first, "minhash-first")
     second = facts.join(first, "cluster").where("component <> c1").groupBy("cluster").agg(F.min("k").alias("k2"))
     lows = written(first.join(second, "cluster"), "minhash-lows")  # clusters of a single component are settled
     other = F.when(F.col("component") == F.col("c1"), F.col("k2")).otherwise(F.col("k1"))
+    # a set of x shingles differs from a core of c by |x - c| at least; of the sizes that can go with n, that nearest to c has the least k
+    near_size = F.greatest(F.least(F.col("c").cast("double"), F.col("n") * 100 / percent), F.col("n") * percent / 100)
+    other = F.greatest(other, F.floor(F.abs(near_size - F.col("c")) * (100 + percent) - near_size * (100 - percent) - 0.01))
     # at least one: whoever needs none in common with a member of another component is linked already
     need = F.greatest(F.ceil((F.col("k") + other) / unit), F.lit(1))
-    open_ = facts.join(lows, "cluster").withColumn("keep", F.col("shared") - need + 1).where("keep > 0").select("rep", "component", "k", "shared", "keep")
+    open_ = facts.join(lows, "cluster").withColumn("keep", F.col("shared") - need + 1).where("keep > 0").select("rep", "component", "n", "k", "shared", "keep")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
-    prefix = rows.join(written(open_, "minhash-open"), "rep").withColumn("rank", rank).where("rank <= keep").drop("rank", "keep", "holders")
+    prefix = rows.join(written(open_, "minhash-open"), "rep").withColumn("rank", rank).where("rank <= keep").drop("keep", "holders")
     prefix = written(prefix, "minhash-prefix")
     mixed = prefix.groupBy("cluster", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster", "shingle")
     last = written(prefix.join(mixed, ["cluster", "shingle"], "left_semi"), "minhash-last")
-    x, y = last.select("cluster", "shingle", *side("a")), last.select("cluster", "shingle", *side("b"))
-    pairs = written(x.join(y, ["cluster", "shingle"]).where(f"ca < cb AND {room}").select("a", "b").distinct(), "minhash-pairs")
-    return links.unionByName(verified(pairs, diffs, percent))
+    x, y = (last.select("cluster", "shingle", *side(end), F.col("rank").alias(f"r{end}")) for end in "ab")
+    # where the first difference in common stands so late that too few can follow, there is no link
+    follow = f"ka + kb <= {unit} * (1 + least(sa - ra, sb - rb)) AND {sizes}"
+    pairs = written(x.join(y, ["cluster", "shingle"]).where(f"ca < cb AND {follow}").select("a", "b").distinct(), "minhash-pairs")
+    return links.unionByName(verified(pairs, diffs, percent)), now
 
 
 def _labels(ends: DataFrame, links: DataFrame) -> DataFrame:

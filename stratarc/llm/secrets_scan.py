@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import split_words
+from stratarc.llm.common import split_words, written
 from stratarc.llm.tokens import text_slices
 
 LABELLED_ROWS = 6_000
@@ -126,8 +126,14 @@ def language(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Language:
                 at = np.flatnonzero(letters & (n > 0))
                 yield pa.RecordBatch.from_arrays([unique.take(pa.array(at)).cast(pa.string()), pa.array(n[at])], names=["word", "n"])
 
-    every = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Language({r["word"]: r["n"] for r in every.orderBy(F.desc("n"), "word").limit(words).collect()})
+    every = written(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "secrets-words")
+    # how often a word has to occur to be among the first: different counts are few, words are not
+    seen, least = 0, 1
+    for r in every.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        seen, least = seen + r["words"], r["n"]
+        if seen >= words:
+            break
+    return Language({r["word"]: r["n"] for r in every.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()})
 
 
 def _class(c: str) -> int:

@@ -114,3 +114,38 @@ def test_pipeline_rows(spark):
     for r in got:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "blank"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """Nulls, empty and blank texts, repeated rows and ids, very long texts, a source without words, and columns named like the operators' own."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    base = " ".join(f"word{i % 37}x{i % 11}" for i in range(300))
+    rows = [
+        (5, base, "en", "a"), (3, base.replace(" ", " \n\t"), "en", "a"), (9, base + " extra", "en", None), (4, None, None, "b"), (8, "", "fr", "b"), (2, " \n ", "fr", "b"), (7, "one two", "de", "c"), (7, "one two", "de", "c"),
+        (None, "no id at all here", "en", "a"), (None, base, "en", "d"), (12, "x" * 300_000 + " " + "y, " * 200_000, "en", "a"), (13, "one two three four five", "es", None), (7, "another text under a used id", "de", "c"), (2**40, "\\" * 100_000, "en", "a"),
+    ]
+    rows = {"odd": rows, "empty": [], "blank": [(i, (None, "", " \n")[i % 3], "en", "s") for i in range(5)]}[kind]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["position", "mx_size", "mx_row", "xd_id", "xd_sha", "row", "nd_id", "kept", "component_id", "n_shingles", "y", "hash", "rank", "score", "piece", "length", "start", "sig", "rep"]
+    df = df.withColumns({n: F.lit(i) for i, n in enumerate(names)}).withColumn("tags", F.create_map(F.lit("k"), "lang"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 0), (8, 0, 0), (12, 1, 0), (7, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert sorted(after.columns) == sorted(docs.columns), name
+        after.write.parquet(str(tmp_path / name.replace(" ", "-")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    # every row that reached the last stage is packed whole, without gaps or overlaps
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(out)
+    used = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0) and r["offset"] + r["length"] <= 2048
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sum(r["piece"] == 0 for r in out) == docs.count()
+    if kind == "odd":
+        assert {12, 2**40} & {r["doc_id"] for r in out} and docs.where("doc_id = 12").count() <= 3

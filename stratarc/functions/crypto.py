@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import secrets
 import unicodedata
 
@@ -17,6 +18,21 @@ def new_salt() -> bytes:
     return secrets.token_bytes(16)
 
 
+def read_key(given: str, size: int) -> bytes:
+    """A key of so many bytes from hex digits, or from a file that holds them; white space around them doesn't matter."""
+    text = given.strip()
+    if os.path.isfile(given):
+        with open(given) as f:
+            text = f.read(4 * size + 64).strip()
+    try:
+        key = bytes.fromhex(text)
+    except ValueError:
+        key = b""
+    if len(key) != size:
+        raise ValueError(f"not a key of {size} bytes in hex")
+    return key
+
+
 def derive_key(password: str, salt: bytes, n: int = 1 << 14, r: int = 8, p: int = 1) -> bytes:
     """A 32-byte key; the password is normalised, so the same characters always give the same key. A fresh salt gives a fresh key."""
     if not (1 <= p <= 16 and 1 <= r <= 64 and 2 <= n <= 1 << 22 and n & (n - 1) == 0):

@@ -43,6 +43,21 @@ def human(n: Column) -> Column:
     return out
 
 
+def grouped(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part of whole in hundredths, to one decimal; null for a whole of 0."""
+    return F.round(F.try_divide(part * 100.0, whole), 1)
+
+
+def rate(size: Column, seconds: Column) -> Column:
+    """Millions of bytes a second, to two decimals; null for no time."""
+    return F.round(F.try_divide(size / 1e6, seconds), 2)
+
+
 def civil(seconds: Column) -> Column:
     """Unix seconds as YYYY-MM-DD HH:MM in UTC (the session's zone has to be UTC)."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")

@@ -8,7 +8,7 @@ seen. A chunk ends at the first such place at or beyond ``least`` bytes, at ``mo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,48 @@ def cuts(data: bytes, least: int, bits: int, most: int) -> list[int]:
     return out
 
 
+def streamed(read: Callable[[int], bytes], least: int, bits: int, most: int, buffer: int = 8 << 20) -> Iterator[bytes]:
+    """The chunks that cuts() makes of everything that read(n) returns until it returns nothing, with no more than buffer + most bytes held."""
+    held = before = b""
+    while True:
+        more = read(buffer)
+        held += more
+        # the rolling value looks back beyond what is held
+        ends = candidates(np.frombuffer(before + held, np.uint8), bits) - len(before)
+        start = 0
+        while start < len(held) and (not more or len(held) - start >= most):
+            at = np.searchsorted(ends, start + least)
+            end = min(int(ends[at]) if at < len(ends) else len(held), start + most, len(held))
+            yield held[start:end]
+            start = end
+        before, held = (before + held[:start])[1 - WINDOW :], held[start:]
+        if not more:
+            return
+
+
+def chunked_paths(paths: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MOST, with_data: bool = False, batch: int = 8 << 20) -> DataFrame:
+    """chunked() for files of any size, by path (column path, below a folder that every machine sees): contents are read piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "ref_pos", "offset", "chunk_len", "chunk_hash", *(["data"] if with_data else [])]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                rows, size, offset = [], 0, 0
+                with open(path, "rb") as f:
+                    for i, part in enumerate(streamed(f.read, least, bits, most)):
+                        rows.append((path, i, offset, len(part), hashlib.sha256(part).hexdigest(), *([part] if with_data else [])))
+                        offset, size = offset + len(part), size + (len(part) if with_data else 100)
+                        if size >= batch:
+                            yield out(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield out(rows)
+
+    return paths.select("path").mapInArrow(run, "path string, ref_pos int, offset long, chunk_len long, chunk_hash string" + (", data binary" if with_data else ""))
+
+
 def chunked(files: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MOST, with_data: bool = False, key: str = "file_id") -> DataFrame:
     """One row per chunk: key, ref_pos, offset, chunk_len, chunk_hash, and data if asked for. Empty or null files have none."""
 

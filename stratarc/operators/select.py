@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,12 @@ def prefix_select(entries: DataFrame, filters: list[str], strict: bool = True) -
     """Entries that equal or lie below any filter, once each; all for no filter. strict: each filter has to select something."""
     if not filters:
         return entries
-    wanted = None
-    for f in filters:
-        hit = under(F.col("path"), F.lit(f))
-        wanted = hit if wanted is None else wanted | hit
-        if strict and entries.where(hit).isEmpty():
-            raise NoMatch(f"no entry matches {f!r}")
-    return entries.where(wanted).dropDuplicates(["path"])
+    hits = [under(F.col("path"), F.lit(f)) for f in filters]
+    if strict:
+        found = entries.agg(*[F.coalesce(F.bool_or(h), F.lit(False)).alias(f"f{i}") for i, h in enumerate(hits)]).first()
+        if missing := [f for f, there in zip(filters, found, strict=True) if not there]:
+            raise NoMatch(f"no entry matches {missing[0]!r}")
+    return entries.where(functools.reduce(operator.or_, hits))
 
 
 def unmatched(entries: DataFrame, filters: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def list_entries(spark, sf_dir):
 @query("SELECT 'documents/' || lang || '/' || source || '/' || doc_id || '.txt' AS path, doc_id AS file_id FROM documents WHERE doc_id = 7")
 def find_entry(spark, sf_dir):
     path = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id = 7").select(F.concat(F.lit("documents/"), "lang", F.lit("/"), "source", F.lit("/7.txt"))).first()
-    return select.find(_docs(spark, sf_dir), path[0]).select("path", "file_id")
+    return views.find_document(spark, sf_dir, path[0]).select("path", "file_id")
 
 
 _PREFIXES = ["documents/en/src1", "documents/en/", "documents/fr/src3/"]
@@ -164,6 +164,13 @@ def classify_rules(spark, sf_dir):
     return files.select(F.col("file_id").alias("doc_id"), by_rules(F.col("path"), sample).alias("rule_class"), has_compressed_magic(sample).alias("magic"), exec_transform(sample).isNotNull().alias("program"))
 
 
+@query("SELECT o_orderkey, format('{:,}', o_orderkey * 7919) AS grouped, round(o_custkey * 100.0 / nullif(o_orderkey, 0), 1) AS percent FROM orders")
+def report_numbers(spark, sf_dir):
+    """Numbers as reports show them."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", scalars.grouped(F.col("o_orderkey") * 7919).alias("grouped"), scalars.percent(F.col("o_custkey"), F.col("o_orderkey")).alias("percent"))
+
+
 @query("SELECT event_id, coalesce(regexp_extract(props, '^.+\\.([^.]*)$', 1), '') AS ext FROM (SELECT event_id, 'a.' || event_type || '.' || CASE WHEN event_id % 2 = 0 THEN 'gz' ELSE 'txt' END AS props FROM events)")
 def extension_projection(spark, sf_dir):
     name = F.concat(F.lit("x.d/a."), "event_type", F.lit("."), F.when(F.col("event_id") % 2 == 0, "GZ").otherwise("tXt"))

@@ -10,12 +10,14 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stratarc.functions.paths import link_is_safe
 
+MOST_READ = 1 << 28
 SCHEMA = "path string, type short, mode int, mtime_s long, mtime_ns int, size long, content binary, link_target string"
 
 
@@ -81,6 +83,24 @@ def read_directory(spark: SparkSession, *roots: str, skip: tuple[str, ...] = (),
     return spark.read.format("stratarc_directory").option("path", os.pathsep.join(roots)).option("skip", os.pathsep.join(map(os.path.abspath, skip))).option("files_per_task", files_per_task).load()
 
 
+def read_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges (path, offset, length) with content: only those bytes are read. A range beyond the end of its file, or of more than MOST_READ bytes, is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+                with open(path, "rb") as f:
+                    end = os.fstat(f.fileno()).st_size
+                    if not 0 <= length <= MOST_READ or not 0 <= offset <= end - length:
+                        raise ValueError(f"{path!r} has no {length} bytes at {offset}")
+                    f.seek(offset)
+                    data = f.read(length)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([offset]), pa.array([length]), pa.array([data], pa.binary())], names=["path", "offset", "length", "content"])
+
+    plain = ranges.select("path", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    return plain.mapInArrow(run, "path string, offset long, length long, content binary")
+
+
 def extract(entries: DataFrame, contents: DataFrame, target: str, force: bool = False, unsafe_links: bool = False) -> int:
     """Write entries below target: directories first, files in tasks in order of their first chunk, links after them, directory times deepest first.
 

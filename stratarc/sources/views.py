@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,22 @@ def _files(df: DataFrame, path, text, number) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _document_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _document_files(d: DataFrame) -> DataFrame:
     return _files(d, F.concat(F.lit("documents/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), F.col("doc_id"))
 
 
+def find_document(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The document file with exactly this path; its parts reach the scan as pushed filters on the table's own columns."""
+    parts = path.split("/")
+    if len(parts) != 4 or parts[0] != "documents" or not re.fullmatch(r"-?[0-9]+\.txt", parts[3]):
+        return documents(spark, sf_dir).where("false")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where((F.col("doc_id") == int(parts[3][:-4])) & (F.col("lang") == parts[1]) & (F.col("source") == parts[2]))
+    return _document_files(d).where(F.col("path") == path)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return _files(d, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"), F.col("page_id") + 1_000_000_000)

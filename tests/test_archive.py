@@ -1,6 +1,8 @@
 import hashlib
+import io
 import json
 import os
+import random
 import shutil
 
 import pytest
@@ -227,3 +229,36 @@ def _trial(data):
     n = archive.SLICE
     middle, last = max(len(data) - n, 0) // 2, max(len(data) - n, 0)
     return data[:n] + data[middle : middle + n] + data[last : last + n]
+
+
+def test_large_files_piece_by_piece(spark, tmp_path):
+    from stratarc.operators.chunking import chunked_paths, cuts, streamed
+    from stratarc.sources.directory import read_ranges
+
+    data = random.Random(3).randbytes(300_000) + bytes(50_000) + b"tail" * 999
+    for least, bits, most, buffer in ((256, 9, 4096, 1000), (17, 5, 70, 64), (1024, 14, 20_000, 7777)):
+        f = io.BytesIO(data)
+        parts = list(streamed(f.read, least, bits, most, buffer))
+        assert b"".join(parts) == data
+        ends = cuts(data, least, bits, most)
+        assert [len(p) for p in parts] == [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    assert list(streamed(io.BytesIO(b"").read, 256, 9, 4096)) == []
+    path = tmp_path / "big"
+    path.write_bytes(data)
+    got = chunked_paths(spark.createDataFrame([(str(path),)], "path string"), 256, 9, 4096, True, 5000).orderBy("ref_pos").collect()
+    assert b"".join(bytes(r["data"]) for r in got) == data and [r["offset"] + r["chunk_len"] for r in got] == cuts(data, 256, 9, 4096)
+    asked = [(str(path), 0, 10), (str(path), len(data) - 4, 4), (str(path), 300_000, 0)]
+    found = {(r["offset"], r["length"]): bytes(r["content"]) for r in read_ranges(spark.createDataFrame(asked, "path string, offset long, length long")).collect()}
+    assert found == {(o, n): data[o : o + n] for _, o, n in asked}
+    with pytest.raises(Exception, match="has no 5 bytes"):
+        read_ranges(spark.createDataFrame([(str(path), len(data) - 4, 5)], "path string, offset long, length long")).collect()
+
+
+def test_keys_from_files(tmp_path):
+    from stratarc.functions.crypto import read_key
+
+    (tmp_path / "k").write_text("  " + "ab" * 32 + "\n")
+    assert read_key(str(tmp_path / "k"), 32) == read_key("AB" * 32, 32) == bytes([0xAB] * 32)
+    for bad in ("ab" * 31, "xy" * 32, "", str(tmp_path)):
+        with pytest.raises(ValueError):
+            read_key(bad, 32)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -20,9 +21,11 @@ WORD = f"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """Folder all executors share: spark.checkpoint.dir; a local one only where that is unset and everything runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "stratarc-shared")
     return found.rstrip("/")
 
@@ -54,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables of written(), or paths, that nothing reads any more: neither a plan that is still to run nor one that may run again."""
+    for table in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table._scratch)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_count(text: Column) -> Column:
@@ -138,25 +150,31 @@ def unsqueeze(data: bytes, dtype, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=dtype) if rising else values
 
 
-_trimmed = False
+_libc = None
+#: What modules keep in a worker from task to task, by name, and how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
-def frugal() -> None:
-    """Have this worker give large buffers back to the system as soon as they are free.
+def frugal(needs: str = "") -> None:
+    """Have this worker give memory back to the system, as it is kept for many tasks of many operators.
 
-    Workers are kept for many tasks, and by default both Arrow's pool and malloc keep what one task needed at its peak.
+    By default both Arrow's pool and malloc keep what one task needed at its peak. Whatever another operator left for its next tasks goes as well, but for
+    what this one needs.
     """
-    global _trimmed
-    if _trimmed:
-        return
-    _trimmed = True
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        import ctypes
-
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-        libc.mallopt(-8, 2)  # M_ARENA_MAX
-    except (OSError, AttributeError):  # another C library: nothing to set
-        pass
+    global _libc
+    for name, drop in KEPT.items():
+        if name != needs:
+            drop()
+    if _libc is None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            import ctypes
+
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            _libc.mallopt(-8, 2)  # M_ARENA_MAX
+        except (OSError, AttributeError):  # another C library: nothing to set
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratarc.llm.common import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
     Each round a node and its present root learn the smallest label among the node's neighbours, then labels jump
@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "cc-edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b")
         seen = seen.join(labels.select(F.col("node").alias("a"), F.col("label").alias("mine")), "a").where("theirs < mine")
         offers = written(seen.select(F.col("mine").alias("node"), "theirs").union(seen.select(F.col("a").alias("node"), "theirs")).groupBy("node").agg(F.min("theirs").alias("theirs")), "cc-offers")
@@ -29,4 +29,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             target = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
             hooked = written(hooked.join(target, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels")
         labels = hooked
-    raise RuntimeError("components did not settle")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import frugal, hash_words, mix64, scratch_path, split_words, squeeze, unsqueeze, written
+from stratarc.llm.common import discard, frugal, hash_words, mix64, scratch_path, split_words, squeeze, unsqueeze, written
 from stratarc.llm.shared_files import mapped, put
 from stratarc.llm.tokens import text_slices
 
@@ -347,7 +347,9 @@ def score_texts(docs: DataFrame, folds: int = 10, shards: int | None = None, id_
         for row in _rows(batches):
             yield scored(_Block(row))
 
-    return written(blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    scores = written(blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    discard(spark, blocks, root)
+    return scores
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

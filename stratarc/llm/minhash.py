@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import frugal, hash_words, mix64, split_words, written
+from stratarc.llm.common import discard, frugal, hash_words, mix64, split_words, written
 from stratarc.llm.components import components
 from stratarc.llm.tokens import text_slices
 
@@ -166,8 +166,8 @@ _EDGE = pa.schema([("shard", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 _EDGE_SQL = "shard int, a long, b long, n long, keys binary, ids binary"
 
 
-def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
-    """(a, b, n): document a shares n buckets with b, which is the smallest in them (of a's block or of all)."""
+def candidate_stars(reps: DataFrame, m: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n): document a shares n buckets with b, which is the smallest in them (of a's block or of all); and the scratch table that it reads."""
 
     def of_block(ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys = table_keys(sig, m)
@@ -208,7 +208,7 @@ def candidate_stars(reps: DataFrame, m: int, shards: int) -> DataFrame:
 
     local = written(reps.select("rep", "sig").mapInArrow(blocks, _EDGE_SQL), "minhash-buckets")
     across = local.where("shard >= 0").select("shard", "keys", "ids").groupBy("shard").applyInArrow(merged, "a long, b long, n long")
-    return local.where("shard < 0").select("a", "b", "n").unionByName(across)
+    return local.where("shard < 0").select("a", "b", "n").unionByName(across), local
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
@@ -322,9 +322,11 @@ def cluster_links(sets: DataFrame, labels: DataFrame, cross: DataFrame, percent:
 
 def _family_links(diffs: DataFrame, now: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Steps a and b for sets (cluster, rep, n, c, diff) of one core a cluster: links, and (rep, component) of all after step a."""
-    rows = written(_each_shingle(diffs), "minhash-each")
-    held = written(rows.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-shared")
-    rows = written(rows.join(held, ["cluster", "shingle"]), "minhash-rows")
+    spark = diffs.sparkSession
+    each = written(_each_shingle(diffs), "minhash-each")
+    held = written(each.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "minhash-shared")
+    rows = written(each.join(held, ["cluster", "shingle"]), "minhash-rows")
+    discard(spark, each, held)
     shared = rows.groupBy("rep").agg(F.count("*").alias("shared"))
     excess = F.octet_length("diff").cast("long") / 8 * (100 + percent) - F.col("n") * (100 - percent)
     facts = diffs.select("cluster", "rep", "n", "c", excess.cast("long").alias("k")).join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
@@ -373,7 +375,9 @@ def _family_links(diffs: DataFrame, now: DataFrame, percent: int) -> tuple[DataF
     # where the first difference in common stands so late that too few can follow, there is no link
     follow = f"ka + kb <= {unit} * (1 + least(sa - ra, sb - rb)) AND {sizes}"
     pairs = written(x.join(y, ["cluster", "shingle"]).where(f"ca < cb AND {follow}").select("a", "b").distinct(), "minhash-pairs")
-    return links.unionByName(verified(pairs, diffs, percent)), now
+    found = written(verified(pairs, diffs, percent), "minhash-pair-links")
+    discard(spark, rows, known, local, prefix, last, pairs)
+    return links.unionByName(found), now
 
 
 def _labels(ends: DataFrame, links: DataFrame) -> DataFrame:
@@ -393,7 +397,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
     copies = able.select("doc_id", "set_key").join(reps.select("rep", "set_key"), "set_key").where("doc_id <> rep")
     copies = written(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-copies")
 
-    stars = written(candidate_stars(reps, m, shards).groupBy("a", "b").agg(F.sum("n").alias("n")), "minhash-stars")
+    stars, buckets = candidate_stars(reps, m, shards)
+    stars = written(stars.groupBy("a", "b").agg(F.sum("n").alias("n")), "minhash-stars")
+    discard(spark, buckets)
     best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "minhash-best")
     ends = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "minhash-ends")
     sets = full_sets(docs, ends.select(F.col("node").alias("rep")), reps)

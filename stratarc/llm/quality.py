@@ -236,8 +236,8 @@ def _surest(pool: DataFrame, handed: int):
                 if mine:
                     yield pa.RecordBatch.from_pydict({"list": pa.array([k] * len(mine), pa.int32()), "key": [r[0] for r in mine], "text": pa.array([r[1] for r in mine], pa.binary()), "meta": pa.array([r[2] for r in mine], pa.binary())})
 
-        # at most so many rows a task as are wanted
-        best = written(pool.mapInArrow(run, "list int, key double, text binary, meta binary"), "quality-round")
+        # at most so many rows a task as are wanted; dealt by list, so that they make few files
+        best = written(pool.mapInArrow(run, "list int, key double, text binary, meta binary").repartition("list"), "quality-round")
         out = []
         for view in (0, 1):
             picks = []
@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
         return CoTraining().fit(views, sample["y"].to_numpy(), None, 0)
     # all rows without a label are the pool; equal ones are one
     known = written(labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "quality-known")
-    every = written(_packed(docs.withColumn("y", F.lit(-1.0))), "quality-views").select("doc_id", "text", "meta")
+    every = _packed(docs.withColumn("y", F.lit(-1.0))).select("doc_id", "text", "meta")
     pool = written(every.join(known, "doc_id", "left_anti").groupBy("text", "meta").agg(F.count("*").alias("rows")).select("text", "meta"), "quality-pool")
     return CoTraining().fit(views, sample["y"].to_numpy(), _surest(pool, pool_rows), rounds)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from stratarc.llm.common import frugal, split_words
+from stratarc.llm.common import KEPT, frugal, split_words
 
 CACHE = 400_000
 #: Words that are encoded as one text.
@@ -183,9 +183,12 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return places
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+KEPT["words"] = WordEncoder._by_path.clear
+
+
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, needs: str = ""):
     """The batch in slices of at most about so many text bytes, at least one row each."""
-    frugal()
+    frugal(needs)
     texts = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0

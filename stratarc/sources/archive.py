@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -60,6 +60,8 @@ class Options(NamedTuple):
     creator: str = "stratarc"
     created: int = 0
     force: bool = False
+    #: Called on the driver with a step's name and the bytes that it has done: files, chunks, blocks.
+    progress: Callable[[str, int], None] | None = None
 
 
 class EmptyInput(ValueError):
@@ -181,11 +183,14 @@ def _create(files: DataFrame, path: str, options: Options) -> None:
     coded = hashed.where("transform <> 0").withColumn("t", done).withColumns({"transform": F.col("t.transform"), "content": F.col("t.data")}).drop("t")
     ready = hashed.where("transform = 0").unionByName(coded)
     ordered = written(in_storage_order(ready.select("path", "class", "transform", "size", "hash", "mode", "mtime_s", "mtime_ns", "content")), "archive-files")
+    tell = lambda step, df, column: options.progress and options.progress(step, df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
+    tell("files", ordered, "size")
     refs = written(chunked(ordered.select("storage_pos", "content"), options.least, options.bits, options.most, True, "storage_pos").join(ordered.select("storage_pos", "path", "class"), "storage_pos"), "archive-refs")
     light = refs.drop("data").withColumn("store_group", F.col("class") == 2)
     order = ["storage_pos", "ref_pos"]
     chunks, linked = (with_ids if options.dedup else without_dedup)(light, order)
     packed = written(chunk_offsets(pack_blocks(chunks.select("chunk_id", "chunk_len", "chunk_hash", "store_group", "storage_pos", "ref_pos"), size)), "archive-chunks")
+    tell("chunks", packed, "chunk_len")
     data = packed.join(refs.select("storage_pos", "ref_pos", "data"), order)
     raw = data.groupBy("block_id").agg(F.first("store_group").alias("store_group"), F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "data"))), lambda x: x["data"]).alias("parts"))
     raw = raw.select("block_id", "store_group", joined(F.col("parts")).alias("raw"))
@@ -199,6 +204,7 @@ def _create(files: DataFrame, path: str, options: Options) -> None:
         blocks = written(blocks, "archive-plain").withColumn("payload", crypto.sealed(F.col("payload"), key, F.col("block_id"), _header(blocks)))
     blocks = blocks.withColumns({"stored_len": F.octet_length("payload").cast("long"), "hash": F.sha2("payload", 256)})
     blocks = written(blocks, "archive-blocks")
+    tell("blocks", blocks, "stored_len")
     blocks = blocks.withColumn("frame", frame(F.col("codec"), F.col("encrypted"), F.col("raw_len"), F.col("stored_len")))
     blocks = block_offsets(blocks).select("block_id", "codec", "raw_len", "stored_len", "file_offset", "encrypted", "hash", "frame", "payload")
     by_file = linked.groupBy("storage_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
@@ -249,7 +255,8 @@ def _header(blocks: DataFrame):
 class Archive:
     """An opened archive; its tables are lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, path: str, password: str | None = None, dictionary: bytes | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, password: str | None = None, dictionary: bytes | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """provider: given the blocks' table, where blocks come from instead (a cache, another store), with the same columns; they are checked like any."""
         row = spark.read.parquet(f"{path}/meta").first()
         self.spark, self.path, self.meta_text, self.root, self.signature, self.signer = spark, path, row["meta"], row["root_hash"], row["signature"], row["signer"]
         self.meta = json.loads(self.meta_text)
@@ -257,7 +264,8 @@ class Archive:
             raise ValueError(f"unknown version {self.meta['version']}")
         if unknown := set(self.meta["critical"]) - CRITICAL:
             raise ValueError(f"needs what this version doesn't know: {', '.join(sorted(unknown))}")
-        self.stored, self.parts = spark.read.parquet(f"{path}/blocks"), {t: spark.read.parquet(f"{path}/{t}") for t in SCHEMAS}
+        table = spark.read.parquet(f"{path}/blocks")
+        self.stored, self.parts = provider(table) if provider else table, {t: spark.read.parquet(f"{path}/{t}") for t in SCHEMAS}
         self.dictionary = dictionary
         self.key = None
         if self.meta["salt"] and password is not None:

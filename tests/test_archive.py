@@ -262,3 +262,19 @@ def test_keys_from_files(tmp_path):
     for bad in ("ab" * 31, "xy" * 32, "", str(tmp_path)):
         with pytest.raises(ValueError):
             read_key(bad, 32)
+
+
+def test_progress_provider_and_tuning(spark, tmp_path):
+    from stratarc.functions import codecs
+
+    told = []
+    files = views.synthetic(spark)
+    archive.create(files, str(tmp_path / "a"), archive.Options(**SMALL, progress=lambda step, n: told.append((step, n))))
+    sizes = {p: len(c) for p, c in contents(files).items()}
+    assert [s for s, _ in told] == ["files", "chunks", "blocks"] and told[0][1] == sum(sizes.values()) > told[1][1] > told[2][1]
+    asked = []
+    a = archive.Archive(spark, str(tmp_path / "a"), provider=lambda table: asked.append(1) or table.repartition(3))
+    assert asked and contents(a.read(a.entries)) == contents(files)
+    rows = codecs.tune(files.where("type = 0"), (codecs.ZSTD, codecs.CONTEXT_FAST)).collect()
+    assert all(r["whole"] and r["packed_bytes"] <= r["raw_bytes"] for r in rows)
+    assert {r["codec"]: r["raw_bytes"] for r in rows if r["path"] is None} == dict.fromkeys(("zstd", "context-fast"), sum(sizes.values()))

@@ -297,7 +297,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **op
                 p = model.scores(*_views(batch)) if model else np.ones((batch.num_rows, 3))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
+    return written(_named(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, accepted boolean"), "quality-scores")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -313,7 +313,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                 sizes = batch.column("n_chars").cast(pa.float64()) if "n_chars" in batch.schema.names else pa.nulls(batch.num_rows, pa.float64())
                 yield batch.filter(pa.array(model.scores(text_view(batch.column("text")), meta_view(langs, sources, sizes))[:, 2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # written here, where batches are bounded, and not in whatever job the caller has
+    return written(docs.mapInArrow(run, docs.schema), "quality-kept")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

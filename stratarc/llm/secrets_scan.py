@@ -298,7 +298,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
                 doc, kind, start, length, sha = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
                 yield pa.RecordBatch.from_arrays([doc, kind, start, length, pa.array(p), pa.array(p >= threshold), sha], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return written(docs.mapInArrow(run, SCHEMA), "secrets-found")
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

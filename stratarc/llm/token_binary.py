@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratarc.llm import range_coder
-from stratarc.llm.common import scratch_path, small_batches
+from stratarc.llm.common import scratch_path, small_batches, written
 from stratarc.llm.tokens import WordEncoder, default_path, text_slices
 
 #: Ids after which a frame ends with the document in hand: many blocks share what numpy's calls cost.
-FRAME = 8_000_000
-#: Text bytes of a partition, about as many as make a frame; smaller ones keep the cores busy.
+FRAME = 12_000_000
+#: Text bytes of a partition, which are some 8 million ids and so make one frame; smaller ones keep the cores busy.
 PARTITION, SMALLEST = 44_000_000, 4_000_000
 #: Frames up to which their starts are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -124,7 +124,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     few = frames.count() <= BROADCAST_ROWS  # 16 bytes a frame of about FRAME ids
-    return frames.join(F.broadcast(starts) if few else starts, ["shard", "frame"]).select("base", "payload").mapInArrow(run, schema)
+    return written(frames.join(F.broadcast(starts) if few else starts, ["shard", "frame"]).select("base", "payload").mapInArrow(run, schema), "token-rows")
 
 
 def op2_token_binary(spark, sf_dir: str) -> DataFrame:

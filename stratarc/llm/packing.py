@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, most: int, end_id: int, tokenizer: str, id_col: str
         encoder = WordEncoder.at(tokenizer)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for whole in batches:
-            for batch in text_slices(whole, "text", 3_000_000, "words"):
+            for batch in text_slices(whole, "text", 2_000_000, "words"):
                 ids, ends = encoder.of_texts(batch.column("text"))
                 n = np.diff(np.concatenate([[0], ends])) + 1
                 per = -(-n // most)

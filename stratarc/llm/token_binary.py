@@ -77,7 +77,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "frame", "n_ids", "payload"])
 
         for whole in batches:
-            for batch in text_slices(whole, "text", 3_000_000, "words"):
+            for batch in text_slices(whole, "text", 2_000_000, "words"):
                 ids, each = with_end(*encoder.of_texts(batch.column("text")), end_id)
                 names += batch.column("doc_id").to_pylist()
                 sizes.append(each)

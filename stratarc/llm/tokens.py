@@ -3,15 +3,13 @@
 The vocabulary used here drops white space and ends every token at a word's end, so the ids of a text are the ids
 of its words in a row. A batch's words are made distinct in Arrow, looked up there among the words that the worker has seen, and only new
 ones come to Python. New words of letters, before and after normalising, are encoded many at a time as one text and cut behind the tokens that end a word;
-those of ASCII letters, put in lower case, by the same model without the normalising and splitting that change nothing about them. Words
-with ASCII punctuation behind the letters are encoded as two pieces, since the vocabulary splits there too; all others one by one. A worker keeps what
+those with ASCII punctuation behind the letters as two pieces, since the vocabulary splits there too; all others one by one. A worker keeps what
 it has encoded, as arrays, up to CACHE words; then those go that were not met again since.
 """
 
 from __future__ import annotations
 
 import itertools
-import json
 import os
 import re
 import string
@@ -23,7 +21,7 @@ import pyarrow.compute as pc
 
 from stratarc.llm.common import KEPT, frugal, split_words
 
-CACHE = 400_000
+CACHE = 250_000
 #: Words that are encoded as one text.
 JOINED = 200
 _PUNCTUATION = string.punctuation.encode()
@@ -41,18 +39,6 @@ def _stays_letters(stem: str) -> bool:
     return stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha()
 
 
-def _for_plain_letters(tokenizer):
-    """A tokenizer of the same model for ASCII letters in lower case and spaces; the tokenizer itself if its steps aren't known to leave them alone."""
-    from tokenizers import Tokenizer
-
-    steps = json.loads(tokenizer.to_str())
-    normalizers = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
-    splitters = [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    if normalizers != ["NFC", "Replace", "Lowercase"] or splitters != [("Split", None, None), ("ByteLevel", False, False)] or steps["model"].get("end_of_word_suffix") != "</w>":
-        return tokenizer
-    return Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-
-
 class WordEncoder:
     """Ids by distinct word for a tokenizer whose ids do not depend on what stands beyond white space."""
 
@@ -63,7 +49,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = _for_plain_letters(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -95,12 +80,12 @@ class WordEncoder:
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(sizes.sum())), sizes
 
-    def _of_letters(self, stems: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    def _of_letters(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters."""
         parts = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
         texts = [b" ".join(p).decode("utf-8", "replace") for p in parts]
         out = [(np.empty(0, np.uint16), np.empty(0, np.int32))]
-        for part, found in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint16)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
@@ -115,7 +100,7 @@ class WordEncoder:
         ascii_ = np.array(cut.is_valid())
         cut = cut.drop_null()
         stems, tails = pc.ascii_lower(pc.struct_field(cut, 0)).dictionary_encode(), pc.struct_field(cut, 1).dictionary_encode()
-        kinds = [(self._of_letters(stems.dictionary.cast(pa.binary()).to_pylist(), self.plain), stems.indices.to_numpy(), np.flatnonzero(ascii_))]
+        kinds = [(self._of_letters(stems.dictionary.cast(pa.binary()).to_pylist()), stems.indices.to_numpy(), np.flatnonzero(ascii_))]
         kinds.append((self._one_by_one(tails.dictionary.cast(pa.binary()).to_pylist()), tails.indices.to_numpy(), None))
         rest = np.flatnonzero(~ascii_)
         letters, other, ends = [], [], []
@@ -127,7 +112,7 @@ class WordEncoder:
             else:
                 other.append((i, w))
         each = lambda pairs: (np.arange(len(pairs)), np.array([i for i, _ in pairs], np.int64))
-        kinds.append((self._of_letters([w for _, w in letters], self.tokenizer), *each(letters)))
+        kinds.append((self._of_letters([w for _, w in letters]), *each(letters)))
         marks = pa.array(ends, pa.binary()).dictionary_encode()
         kinds.append((self._one_by_one(marks.dictionary.to_pylist()), marks.indices.to_numpy(), None))
         kinds.append((self._one_by_one([w for _, w in other]), *each(other)))

@@ -411,6 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int | None = None, sh
     if not cross.isEmpty():
         links = links.unionByName(cluster_links(sets, labels, cross, percent))
     found = written(components(links.unionByName(copies)), "minhash-components")
+    discard(spark, sets, stars, reps)
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     joined = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", label.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

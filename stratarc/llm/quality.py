@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import id_hash, split_words, written
+from stratarc.llm.common import discard, id_hash, split_words, written
 from stratarc.llm.tokens import text_slices
 
 FIT_ROWS = 12_000
@@ -284,7 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     known = written(labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "quality-known")
     every = _packed(docs.withColumn("y", F.lit(-1.0))).select("doc_id", "text", "meta")
     pool = written(every.join(known, "doc_id", "left_anti").groupBy("text", "meta").agg(F.count("*").alias("rows")).select("text", "meta"), "quality-pool")
-    return CoTraining().fit(views, sample["y"].to_numpy(), _surest(pool, pool_rows), rounds)
+    model = CoTraining().fit(views, sample["y"].to_numpy(), _surest(pool, pool_rows), rounds)
+    discard(docs.sparkSession, pool, known, marks)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

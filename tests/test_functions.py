@@ -145,3 +145,13 @@ def test_priming_data_is_used():
         assert codecs.compress(data, *codecs.LEVELS[7][:2], other) == (codecs.STORE, data)
     big = dictionary * 2000
     assert codecs.compress(big, *codecs.LEVELS[1][:2], dictionary)[0] == codecs.ZSTD
+
+
+def test_varint_lengths_beyond_seven_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from stratarc.functions import scalars
+
+    edges = [n for k in range(1, 10) for n in ((1 << 7 * k) - 1, 1 << 7 * k) if n < 1 << 63]
+    got = spark.createDataFrame([(n,) for n in edges], "n long").select("n", scalars.varint_length(F.col("n")).alias("bytes")).collect()
+    assert {r["n"]: r["bytes"] for r in got} == {n: -(-n.bit_length() // 7) for n in edges}

@@ -57,7 +57,9 @@ class WordEncoder:
     @classmethod
     def at(cls, path: str) -> WordEncoder:
         if path not in cls._by_path:
+            frugal("words")  # what tasks of other operators left goes before the tokenizer comes
             cls._by_path[path] = cls(path)
+            frugal("words")
         return cls._by_path[path]
 
     def _forget(self) -> None:

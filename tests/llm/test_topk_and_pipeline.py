@@ -149,3 +149,14 @@ def test_pipeline_on_odd_tables(spark, tmp_path, kind):
     assert sum(r["piece"] == 0 for r in out) == docs.count()
     if kind == "odd":
         assert {12, 2**40} & {r["doc_id"] for r in out} and docs.where("doc_id = 12").count() <= 3
+
+
+def test_what_other_operators_left_goes_before_a_tokenizer_comes(monkeypatch):
+    from stratarc.llm import common, tokens
+
+    left, seen = ["model"], []
+    monkeypatch.setitem(common.KEPT, "other", left.clear)
+    monkeypatch.setattr(tokens.WordEncoder, "_by_path", {})
+    monkeypatch.setattr(tokens.WordEncoder, "__init__", lambda self, path: seen.append(list(left)))
+    tokens.WordEncoder.at("any")
+    assert seen == [[]]

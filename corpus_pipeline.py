@@ -6,10 +6,24 @@ documents; the last returns a row per packed piece.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stratarc.llm import exact_dedup, minhash, mixing, packing, quality
-from stratarc.llm.common import written
+from stratarc.llm.common import release_heap, written
+
+
+def lean(stage: Callable) -> Callable:
+    """The stage begins on executors that have given back what the stage before needed."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,21 +31,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@lean
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_exact(docs)
 
 
+@lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
     return minhash.drop_near(docs, percent=80)
 
 
+@lean
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in training order."""
     return mixing.training_order(docs).select(*docs.columns)
 
 
+@lean
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
     return packing.pack(docs)

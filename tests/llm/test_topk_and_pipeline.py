@@ -160,3 +160,22 @@ def test_what_other_operators_left_goes_before_a_tokenizer_comes(monkeypatch):
     monkeypatch.setattr(tokens.WordEncoder, "__init__", lambda self, path: seen.append(list(left)))
     tokens.WordEncoder.at("any")
     assert seen == [[]]
+
+
+def test_stages_begin_on_executors_that_gave_heap_back(spark, monkeypatch):
+    import corpus_pipeline
+    from stratarc.llm.common import release_heap
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans())
+    before = collections()
+    release_heap(spark)
+    assert collections() > before
+
+    did = []
+    monkeypatch.setattr(corpus_pipeline, "release_heap", lambda s: did.append("release"))
+    for module, name in (("exact_dedup", "drop_exact"), ("minhash", "drop_near"), ("packing", "pack")):
+        monkeypatch.setattr(getattr(corpus_pipeline, module), name, lambda docs, **_: did.append("work"))
+    for k in (1, 2, 4):
+        corpus_pipeline.STAGES[k][1](spark, None, "")
+    assert did == ["release", "work"] * 3

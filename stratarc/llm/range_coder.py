@@ -32,10 +32,16 @@ _LEAST, _MASK30, _MASK32 = _U(1 << 30), _U((1 << 30) - 1), _U((1 << 32) - 1)
 _NONE = 0xFFFF
 #: Chances of 2**16 move towards these, so that none gets near 0 or 1.
 _LOW, _HIGH = 40, 65_500
-#: Where the bounds of bands move after a band was seen; every band keeps a width of 1 at least.
-_GOAL = np.array([[j + ((1 << BITS) - CLASSES) * (j > c) for j in range(CLASSES + 1)] for c in range(CLASSES)], np.int16)
+#: Numbers of the bounds between bands. After band c was seen, bound j moves to j, or to j + 2**BITS - CLASSES if it is above c; every band keeps a width of 1 at least.
+_INNER = np.arange(1, CLASSES, dtype=np.int16)[:, None]
 #: Chances that a prediction of confidence 0 to 3 is right, before anything is learned.
 _PRIOR = np.array([60, 15_000, 35_000, 55_000], np.int32)
+#: Confidence, above an id, after one of 0 to 3 was wrong, then right.
+_CONFIDENCE = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32) << 16
+#: The last two flags after another one, by 4 times the former plus the latter.
+_PASTS = np.array([k % 12 // 4 * 12 + k % 4 * 4 for k in range(36)])
+#: Which prediction is told, by 2 if order 2 is right plus 1 if order 1 is.
+_FLAGS = np.array([2, 1, 0, 0])
 _START = np.array([j * (1 << BITS) // CLASSES for j in range(CLASSES + 1)], np.int16)
 
 
@@ -56,67 +62,116 @@ class _Bands:
         ids, counts = ids[order].astype(np.int64), counts[order]
         before = np.cumsum(counts) - counts
         band = np.minimum(before * CLASSES // max(1, int(counts.sum())), CLASSES - 1)
-        self.band, self.low, self.width = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.band, low, wide = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
         self.band[ids] = band
         self.by_place = np.zeros((CLASSES, 1 << PLACE), np.uint16)
         for c in np.unique(band):
             mine = band == c
             width = frequencies(counts[mine], 1 << PLACE)
-            self.width[ids[mine]], self.low[ids[mine]] = width, np.cumsum(width) - width
+            wide[ids[mine]], low[ids[mine]] = width, np.cumsum(width) - width
             self.by_place[c] = np.repeat(ids[mine], width)
-        self.low, self.width = self.low.astype(np.uint64), self.width.astype(np.uint64)
+        self.interval = (low << PLACE | wide - 1).astype(np.uint32)  # one look for both
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' places in their bands begin, and how many they are."""
+        interval = self.interval.take(ids).astype(np.uint64)
+        width = interval & _U((1 << PLACE) - 1)
+        width += _U(1)
+        interval >>= _U(PLACE)
+        return interval, width
 
 
 class _State:
+    """What blocks have learned. Arrays of two rows hold order 2 and order 1; both rows go through numpy at once, whose calls cost more than their work."""
+
     def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes)
-        self.bases, self.lane16, self.lane36 = [lane * k for k in SLOTS], lane * 16, lane * 36
+        self.slots_at = np.stack([lane * SLOTS[0], lanes * SLOTS[0] + lane * SLOTS[1]])
+        self.conf_at = np.stack([lane * 16, (lanes + lane) * 16])
+        self.past_at = np.stack([lane * 36, (lanes + lane) * 36])
         # predicted id and, above it, confidence
-        self.table = [np.full(lanes * k, _NONE, np.int32) for k in SLOTS]
+        self.table = np.full(lanes * sum(SLOTS), _NONE, np.int32)
         # chances of 2**16 that order 2 is right, and that order 1 is if order 2 isn't
-        self.by_conf = [np.tile(np.repeat(_PRIOR, 4), lanes), np.tile(_PRIOR, 4 * lanes)]
-        self.by_past = [np.tile(_PRIOR, 9 * lanes) for _ in range(2)]
-        self.bounds = np.tile(_START, (lanes, 1))
+        self.by_conf = np.concatenate([np.tile(np.repeat(_PRIOR, 4), lanes), np.tile(_PRIOR, 4 * lanes)])
+        self.by_past = np.tile(_PRIOR, 2 * 9 * lanes)
+        self.bounds = np.repeat(_START[:, None], lanes, 1)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.past = np.full(lanes, 32)  # 4 times both last flags, in threes
         self.range = np.full(lanes, (1 << 62) - 1, np.uint64)
+        self.lane = lane
+        self.only(lanes)
+
+    def only(self, n: int) -> None:
+        """From now on the first n lanes take part."""
+        self.p1, self.p2, self.past, self.lane = self.p1[:n], self.p2[:n], self.past[:n], self.lane[:n]
+        self.slots_at, self.conf_at, self.past_at = (np.ascontiguousarray(x[:, :n]) for x in (self.slots_at, self.conf_at, self.past_at))
+        self.gate = np.ones((2, n), np.int32)
+        self.bands, self.change = np.zeros(n, np.int16), np.empty((CLASSES - 1, n), np.int16)
+        self.inner = self.bounds[1:-1, :n]
+
+    def look(self) -> None:
+        """Predictions, and the widths of both flags of 2**BITS."""
+        h = self.p1 * 40503
+        slots = np.empty_like(self.slots_at)
+        two = self.p2 * 30011
+        two += h
+        two >>= 3
+        np.bitwise_and(two, SLOTS[0] - 1, out=slots[0])
+        h >>= 4
+        np.bitwise_and(h, SLOTS[1] - 1, out=slots[1])
+        slots += self.slots_at
+        self.slots = slots.reshape(-1)
+        held = self.table.take(slots)
+        self.ids, self.conf = held & 0xFFFF, held >> 16
+        pair = self.conf[0] << 2
+        pair += self.conf[1]
+        a = self.conf_at + pair
+        b = self.past_at + self.past
+        b += self.conf
+        self.at = a.reshape(-1), b.reshape(-1)
+        self.chances = self.by_conf.take(a), self.by_past.take(b)
+        p = self.chances[0] + self.chances[1]
+        p >>= 17 - BITS
+        self.two, rest = p[0], (1 << BITS) - p[0]
+        one = rest * p[1]
+        one >>= BITS
+        self.one = np.maximum(one, 1, out=one)
+        self.none = rest - one
 
-    def look(self, n: int) -> None:
-        """Predictions of the first n lanes, and the widths of both flags of 2**BITS."""
-        h = self.p1[:n] * 40503
-        s1 = (h >> 4 & (SLOTS[1] - 1)) + self.bases[1][:n]
-        s2 = (h + self.p2[:n] * 30011 >> 3 & (SLOTS[0] - 1)) + self.bases[0][:n]
-        self.slots = s2, s1
-        self.held = e2, e1 = self.table[0].take(s2), self.table[1].take(s1)
-        self.ids = e2 & 0xFFFF, e1 & 0xFFFF
-        c2, c1 = e2 >> 16, e1 >> 16
-        a = (c2 << 2) + c1 + self.lane16[:n]
-        b = self.lane36[:n] + self.past[:n]
-        self.at = (a, b + c2), (a, b + c1)
-        self.chances = [(x.take(i), y.take(j)) for x, y, (i, j) in zip(self.by_conf, self.by_past, self.at, strict=True)]
-        p, q = (x + y >> 17 - BITS for x, y in self.chances)
-        rest = (1 << BITS) - p
-        self.two, self.one = p, np.maximum(rest * q >> BITS, 1)
-        self.none = rest - self.one
+    def learn(self, ids: np.ndarray, flag: np.ndarray, right: np.ndarray) -> None:
+        """flag: 0 where order 2 was right, 1 where only order 1 was, else 2; right: which were, in two rows."""
+        # a prediction of confidence 2 or 3 outlives an error
+        fresh = ids.astype(np.int32)
+        new = self.ids ^ fresh
+        new &= -(self.conf >> 1)
+        new ^= fresh
+        new |= _CONFIDENCE.take(self.conf + (right.view(np.int8) << 2))
+        self.table[self.slots] = new.reshape(-1)
+        goal = right * np.int32(_HIGH - _LOW)
+        goal += np.int32(_LOW)
+        self.gate[1] = flag > 0
+        for chances, before, at, pace in zip((self.by_conf, self.by_past), self.chances, self.at, (4, 5), strict=True):
+            step = goal - before
+            step >>= pace
+            step *= self.gate
+            step += before
+            chances[at] = step.reshape(-1)
+        self.p2[:] = self.p1
+        self.p1[:] = ids
+        self.past += flag
+        self.past[:] = _PASTS.take(self.past)
 
-    def learn(self, n: int, ids: np.ndarray, flag: np.ndarray, right: tuple[np.ndarray, np.ndarray]) -> None:
-        """flag: 0 where order 2 was right, 1 where only order 1 was, else 2; right: which were."""
-        fresh = (ids | 0x10000).astype(np.int32)
-        for table, s, e, hit in zip(self.table, self.slots, self.held, right, strict=True):
-            new = np.where(e < 0x20000, fresh, e - 0x10000)
-            table[s] = np.where(hit, e + ((e < 0x30000) << 16), new)
-        (a, b), (_, d) = self.at
-        (xa, xb), (ya, yb) = self.chances
-        goal = right[0] * np.int32(_HIGH - _LOW) + np.int32(_LOW)
-        self.by_conf[0][a] = xa + (goal - xa >> 4)
-        self.by_past[0][b] = xb + (goal - xb >> 5)
-        goal = right[1] * np.int32(_HIGH - _LOW) + np.int32(_LOW)
-        open_ = flag > 0
-        self.by_conf[1][a] = ya + (goal - ya >> 4) * open_
-        self.by_past[1][d] = yb + (goal - yb >> 5) * open_
-        self.p2[:n] = self.p1[:n]
-        self.p1[:n] = ids
-        self.past[:n] = self.past[:n] % 12 * 3 + flag * 4
+    def moved(self, neither: np.ndarray, bands: np.ndarray, flag: np.ndarray) -> None:
+        """Bounds of the given lanes move towards those of their bands; all lanes are worked out, the others by 0."""
+        self.bands[neither] = bands
+        change = np.subtract(self.bands, _INNER, out=self.change)
+        change >>= 15  # -1 above the band
+        change &= (1 << BITS) - CLASSES
+        change += _INNER
+        change -= self.inner
+        change >>= 5
+        change &= -(flag == 2).view(np.int8)
+        self.inner += change
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -129,6 +184,7 @@ def encode(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * BLOCK, np.uint16)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)  # a step reads one row
+    del padded
     state = _State(lanes)
     low, rng = np.zeros(lanes, np.uint64), state.range
     words = np.zeros((lanes, BLOCK + 4), np.uint64)
@@ -144,37 +200,55 @@ def encode(ids: np.ndarray) -> bytes:
         low[lane] = (own & _MASK30) << _U(32)
         rng[lane] <<= _U(32)
 
+    n = lanes
     for t in range(min(BLOCK, len(ids))):
-        n = lanes if t < short else lanes - 1
+        if t == short:
+            n = lanes - 1
+            state.only(n)
         x = grid[t, :n].astype(np.int64)
-        state.look(n)
-        is2, is1 = x == state.ids[0], x == state.ids[1]
-        flag = np.where(is2, 0, 2 - is1)
-        lo = np.where(is2, 0, state.two) << BITS
-        width = np.where(is2, state.two, state.one) << BITS
+        state.look()
+        hits = x == state.ids
+        flag = _FLAGS.take(hits[0] * np.int8(2) + hits[1])
+        first2 = flag == 0
+        lo = state.two * (flag > 0)
+        lo <<= BITS
+        width = np.where(first2, state.two, state.one)
+        width <<= BITS
         neither = np.flatnonzero(flag == 2)
-        own = x[neither]
-        c = bands.band[own]
-        bounds = state.bounds.take(neither, 0)
-        left, right = (bounds.reshape(-1).take(np.arange(k, bounds.size, CLASSES + 1)[: len(c)] + c).astype(np.int32) for k in (0, 1))
-        none = state.none[neither]
-        lo[neither] += (state.one[neither] << BITS) + none * left
-        width[neither] = none * (right - left)
-        bounds += _GOAL.take(c, 0) - bounds >> 5
-        state.bounds[neither] = bounds
+        own = x.take(neither)
+        c = bands.band.take(own)
+        at_bound = c * np.int64(lanes)
+        at_bound += neither
+        left = state.bounds.reshape(-1).take(at_bound).astype(np.int32)
+        at_bound += lanes
+        right = state.bounds.reshape(-1).take(at_bound) - left
+        none = state.none.take(neither)
+        left *= none
+        left += state.one.take(neither) << BITS
+        left += lo.take(neither)
+        lo[neither] = left
+        right *= none
+        width[neither] = right
+        state.moved(neither, c, flag)
         r = rng[:n] >> _U(2 * BITS)
         low[:n] += r * lo.astype(np.uint64)
-        rng[:n] = r * width.astype(np.uint64)
-        shift(np.flatnonzero(rng[:n] < _LEAST))
-        r = rng[neither] >> _U(PLACE)
-        low[neither] += r * bands.low[own]
-        r *= bands.width[own]
+        r *= width.astype(np.uint64)
+        rng[:n] = r
+        shift(np.flatnonzero(r < _LEAST))
+        r = rng.take(neither)
+        r >>= _U(PLACE)
+        begin, wide = bands.of(own)
+        begin *= r
+        begin += low.take(neither)
+        low[neither] = begin
+        r *= wide
         rng[neither] = r
         shift(neither[r < _LEAST])
-        state.learn(n, x, flag, (is2, is1))
+        state.learn(x, flag, hits)
     for _ in range(2):
         shift(np.arange(lanes))
     sizes = at - first
+    words = words[:, : int(sizes.max(initial=0))]
     for k in range(int(sizes.max(initial=0)) - 1, 0, -1):  # words behind a block's end are 0
         words[:, k - 1] += words[:, k] >> _U(32)
     body = (words & _MASK32).astype("<u4")[np.arange(words.shape[1]) < sizes[:, None]] if lanes else np.empty(0, "<u4")
@@ -221,42 +295,58 @@ def decode(frame: bytes) -> np.ndarray:
         at[lane] = place + 1
         rng[lane] <<= _U(32)
 
+    n = lanes
     for t in range(min(BLOCK, count)):
-        n = lanes if t < short else lanes - 1
-        state.look(n)
+        if t == short:
+            n = lanes - 1
+            state.only(n)
+        state.look()
         r = rng[:n] >> _U(2 * BITS)
         v = np.minimum(code[:n] // r, _U((1 << 2 * BITS) - 1)).astype(np.int32)
         two = state.two << BITS
-        split = two + (state.one << BITS)
+        one = state.one << BITS
+        split = two + one
         is2, none_right = v < two, v >= split
         flag = np.where(is2, 0, 1 + none_right)
-        lo = np.where(is2, 0, two)
-        width = np.where(is2, two, split - two)
+        lo = two * (flag > 0)
+        width = np.where(is2, two, one)
         x = np.where(is2, state.ids[0], state.ids[1]).astype(np.int64)
         neither = np.flatnonzero(none_right)
-        bounds = state.bounds.take(neither, 0)
-        none, base = state.none[neither], split[neither]
-        u = np.minimum((v[neither] - base) // none, (1 << BITS) - 1).astype(np.int16)
-        c = np.add.reduce(bounds[:, 1:] <= u[:, None], 1, dtype=np.int8).astype(np.int64)
-        left, right = (bounds.reshape(-1).take(np.arange(k, bounds.size, CLASSES + 1)[: len(c)] + c).astype(np.int32) for k in (0, 1))
-        lo[neither] = base + none * left
-        width[neither] = none * (right - left)
-        bounds += _GOAL.take(c, 0) - bounds >> 5
-        state.bounds[neither] = bounds
+        none, base = state.none.take(neither), split.take(neither)
+        u = np.zeros(n, np.int16)
+        u[neither] = np.minimum((v.take(neither) - base) / none, (1 << BITS) - 1)  # exact below 2**53
+        c = np.add.reduce((state.inner <= u).view(np.int8), 0, dtype=np.int8).take(neither)
+        at_bound = c * np.int64(lanes)
+        at_bound += neither
+        left = state.bounds.reshape(-1).take(at_bound).astype(np.int32)
+        at_bound += lanes
+        right = state.bounds.reshape(-1).take(at_bound) - left
+        left *= none
+        left += base
+        lo[neither] = left
+        right *= none
+        width[neither] = right
+        state.moved(neither, c, flag)
         code[:n] -= r * lo.astype(np.uint64)
-        rng[:n] = r * width.astype(np.uint64)
-        shift(np.flatnonzero(rng[:n] < _LEAST))
-        r = rng[neither] >> _U(PLACE)
-        own = code[neither]
+        r *= width.astype(np.uint64)
+        rng[:n] = r
+        shift(np.flatnonzero(r < _LEAST))
+        r = rng.take(neither)
+        r >>= _U(PLACE)
+        own = code.take(neither)
         place = np.minimum(own // r, _U((1 << PLACE) - 1)).astype(np.int64)
-        found = places.take((c << PLACE) + place).astype(np.int64)
-        code[neither] = own - r * bands.low[found]
-        r *= np.maximum(bands.width[found], _U(1))
+        place += c * np.int64(1 << PLACE)
+        found = places.take(place)
+        begin, wide = bands.of(found)
+        begin *= r
+        own -= begin
+        code[neither] = own
+        r *= wide
         rng[neither] = r
         shift(neither[r < _LEAST])
         x[neither] = found
         grid[t, :n] = x
-        state.learn(n, x, flag, (x == state.ids[0], x == state.ids[1]))
+        state.learn(x, flag, x == state.ids)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:count]
     wide = ids.astype("<u4")
     for i in range(lanes):

@@ -27,9 +27,11 @@ from stratarc.llm.common import scratch_path, small_batches, written
 from stratarc.llm.tokens import WordEncoder, default_path, text_slices
 
 #: Ids after which a frame ends with the document in hand: many blocks share what numpy's calls cost.
-FRAME = 12_000_000
-#: Text bytes of a partition, which are some 8 million ids and so make one frame; smaller ones keep the cores busy.
+FRAME = 20_000_000
+#: Text bytes of a partition, which are some 16 million ids and so make one frame; smaller ones keep the cores busy.
 PARTITION, SMALLEST = 44_000_000, 4_000_000
+#: Words that a worker keeps, and text bytes that it looks up at once: every look-up passes over all words kept.
+KEEP, SLICE = 600_000, 8_000_000
 #: Frames up to which their starts are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SCHEMA = "shard int, frame int, n_ids long, payload binary"
@@ -66,7 +68,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.at(tokenizer)
+        encoder = WordEncoder.at(tokenizer, KEEP)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit in 16 bits")
         shard, frame = TaskContext.get().partitionId(), 0
@@ -77,7 +79,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "frame", "n_ids", "payload"])
 
         for whole in batches:
-            for batch in text_slices(whole, "text", 2_000_000, "words"):
+            for batch in text_slices(whole, "text", SLICE, "words"):
                 ids, each = with_end(*encoder.of_texts(batch.column("text")), end_id)
                 names += batch.column("doc_id").to_pylist()
                 sizes.append(each)
@@ -114,9 +116,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
             for base, payload in zip(batch.column("base").to_pylist(), batch.column("payload"), strict=True):
                 names, sizes, ids = read_payload(payload.as_py())
                 start = base + np.cumsum(sizes) - sizes
-                wide = memoryview(ids.astype("<u4").tobytes())
                 at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at, at[1:], strict=False)]
                 columns = [pa.array(names, pa.int64()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))

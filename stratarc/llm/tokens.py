@@ -2,9 +2,10 @@
 
 The vocabulary used here drops white space and ends every token at a word's end, so the ids of a text are the ids
 of its words in a row. A batch's words are made distinct in Arrow, looked up there among the words that the worker has seen, and only new
-ones come to Python. New words of letters, before and after normalising, are encoded many at a time as one text and cut behind the tokens that end a word;
+ones come to Python. New words of letters, before and after normalising, are encoded many at a time as one text and cut behind the tokens that end a word,
+ASCII ones in lower case by a tokenizer that shares the model and needs no normaliser;
 those with ASCII punctuation behind the letters as two pieces, since the vocabulary splits there too; all others one by one. A worker keeps what
-it has encoded, as arrays, up to CACHE words; then those go that were not met again since.
+it has encoded, as arrays, up to CACHE words or as many as its operator asks for; then those go that were not met again since.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CACHE = 250_000
 #: Words that are encoded as one text.
 JOINED = 200
 _PUNCTUATION = string.punctuation.encode()
+#: Texts that tell whether a tokenizer takes lower-case letters as they are, word by word.
+_PROBES = [string.ascii_lowercase, " ".join(string.ascii_lowercase), "the quick brown fox jumps over the lazy dog", "it s don t we ll they re i ve i m he d", "straightforwardness qzxjkv aaaaaaaaaaaaaaaaaaaaaaaa startoftext endoftext"]
 _STEM = rf"^(?P<stem>[A-Za-z]+)(?P<tail>[{re.escape(string.punctuation)}]*)$"
 
 
@@ -43,25 +46,37 @@ class WordEncoder:
     """Ids by distinct word for a tokenizer whose ids do not depend on what stands beyond white space."""
 
     _by_path: dict[str, WordEncoder] = {}
+    keep = CACHE
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._without_preparation()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._forget()
 
     @classmethod
-    def at(cls, path: str) -> WordEncoder:
+    def at(cls, path: str, keep: int = CACHE) -> WordEncoder:
         if path not in cls._by_path:
             frugal("words")  # what tasks of other operators left goes before the tokenizer comes
             cls._by_path[path] = cls(path)
             frugal("words")
+        cls._by_path[path].keep = keep
         return cls._by_path[path]
 
+    def _without_preparation(self):
+        """A tokenizer of the same model, which it shares, for lower-case ASCII letters, on which normaliser and pre-tokenizer have nothing to do but to split at spaces."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        same = all(plain.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(x, add_special_tokens=False).ids for x in _PROBES)
+        return plain if same else self.tokenizer
+
     def _forget(self) -> None:
         self.words = pa.array([], pa.binary())
         self.starts, self.sizes, self.pool = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint16)
@@ -82,12 +97,13 @@ class WordEncoder:
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(sizes.sum())), sizes
 
-    def _of_letters(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _of_letters(self, stems: list[bytes], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters."""
+        tokenizer = tokenizer or self.tokenizer
         parts = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
         texts = [b" ".join(p).decode("utf-8", "replace") for p in parts]
         out = [(np.empty(0, np.uint16), np.empty(0, np.int32))]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for part, found in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint16)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
@@ -102,7 +118,7 @@ class WordEncoder:
         ascii_ = np.array(cut.is_valid())
         cut = cut.drop_null()
         stems, tails = pc.ascii_lower(pc.struct_field(cut, 0)).dictionary_encode(), pc.struct_field(cut, 1).dictionary_encode()
-        kinds = [(self._of_letters(stems.dictionary.cast(pa.binary()).to_pylist()), stems.indices.to_numpy(), np.flatnonzero(ascii_))]
+        kinds = [(self._of_letters(stems.dictionary.cast(pa.binary()).to_pylist(), self.plain), stems.indices.to_numpy(), np.flatnonzero(ascii_))]
         kinds.append((self._one_by_one(tails.dictionary.cast(pa.binary()).to_pylist()), tails.indices.to_numpy(), None))
         rest = np.flatnonzero(~ascii_)
         letters, other, ends = [], [], []
@@ -131,7 +147,7 @@ class WordEncoder:
 
     def _places(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each word's ids start, and how many they are."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.keep:
             self._thin_out()
         unique = unique.cast(pa.binary())
         at = pc.index_in(unique, value_set=self.words)

@@ -179,3 +179,16 @@ def test_stages_begin_on_executors_that_gave_heap_back(spark, monkeypatch):
     for k in (1, 2, 4):
         corpus_pipeline.STAGES[k][1](spark, None, "")
     assert did == ["release", "work"] * 3
+
+
+def test_token_binary_makes_one_frame_of_a_partition_and_skips_the_normaliser_for_plain_letters():
+    from stratarc.llm import token_binary
+    from stratarc.llm.tokens import WordEncoder, default_path
+
+    assert token_binary.FRAME * 2.5 >= token_binary.PARTITION  # bytes an id
+    encoder = WordEncoder(default_path())
+    assert encoder.plain is not encoder.tokenizer
+    stems = [w[:-4] for w in encoder.tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and w[:-4].islower()][:5000]
+    stems = [x.encode() for x in stems] + [a.encode() + b"qx" + b.encode() for a, b in zip(stems, stems[::-1], strict=True)]
+    for plain, full in zip(encoder._of_letters(stems, encoder.plain), encoder._one_by_one(stems), strict=True):
+        assert plain.tolist() == full.tolist()

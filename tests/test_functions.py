@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratarc.functions import codecs, context_codec, transforms
+from stratarc.functions import codecs, context_codec, copies, transforms
 from stratarc.operators.blocks import greedy
 from stratarc.operators.chunking import cuts
 
@@ -171,3 +171,44 @@ def test_context_codec_runs_blocks_together():
         assert together < time.process_time() - start
         hurt = [p[:-2] if i == 3 else p for i, p in enumerate(payloads)]
         assert context_codec.decompress_all(hurt, list(map(len, blocks)), fast) == [None if i == 3 else d for i, d in enumerate(blocks)]
+
+
+def near_copies(seed: int) -> bytes:
+    """Texts of which each other one is an earlier one with a word changed."""
+    r, texts, new = random.Random(seed), [], iter(prose(seed, 15 * 150).split(b" "))
+    for i in range(30):
+        words = [next(new) for _ in range(150)] if i % 2 == 0 else r.choice(texts).split(b" ")
+        words[r.randrange(len(words))] = b"changed%d" % i
+        texts.append(b" ".join(words))
+    return b"\n".join(texts)
+
+
+@pytest.mark.parametrize("fast", [False, True])
+def test_context_codec_takes_copies_out(fast):
+    """Blocks of near copies take less than with zstd; damaged lists are found, and spoil no other block; short repeats of templates aren't taken out at a loss."""
+    blocks = [near_copies(i) for i in range(4)]
+    payloads = context_codec.compress_all(blocks, fast)
+    for data, payload in zip(blocks, payloads, strict=True):
+        assert payload[0] == context_codec.COPIES and len(payload) < len(codecs.compress(data, (codecs.ZSTD,), 19)[1])
+        assert payload == context_codec.compress(data, fast)
+    one = payloads[1]
+    for bad in (one[:3], one[:9], one[:1] + b"\xff\xff\xff\xff" + one[5:], one[:5] + b"\0" + one[6:], one[:5] + b"\xff" * 6 + one[11:], one[:-2]):
+        with pytest.raises(ValueError):
+            context_codec.decompress(bad, len(blocks[1]), fast)
+        assert context_codec.decompress_all([payloads[0], bad, *payloads[2:]], list(map(len, blocks)), fast) == [blocks[0], None, *blocks[2:]]
+    r = random.Random(9)
+    log = b"".join(b"2026-01-01 00:00:%02d GET /index/%d.html HTTP/1.1 status=200 bytes=%d\n" % (r.randrange(60), r.randrange(1000), r.randrange(99_999)) for _ in range(800))
+    assert context_codec.compress(log, fast) == context_codec._coded([log], not fast, b"")[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=90), st.integers(0, 3000), st.integers(0, 700)), max_size=12), st.sampled_from([40, 1000, copies.SEARCHED]))
+def test_copies_are_put_back(parts, searched):
+    data = b""
+    for new, at, n in parts:
+        data += new
+        data += data[at : at + n]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(copies, "SEARCHED", searched)
+        for literals, listed in copies.ways(data):
+            assert copies.put_back(literals, copies.read(listed, len(data))) == data

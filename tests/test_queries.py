@@ -82,3 +82,21 @@ def test_stream_pack_takes_files_in_any_order(spark, tmp_path):
         want += want[-1:] * (len(lengths) - len(want))
         got = {r["seq"]: (r["chunk_len"], r["block_id"]) for r in catalog.QUERIES["stream_pack"](spark, str(tmp_path / name)).collect()}
         assert got == {i: (None if t is None else len(t), b) for (i, t), b in zip(docs, want, strict=True)}
+
+
+def test_context_roundtrip_on_near_copies(spark, tmp_path):
+    """Blocks of documents most of which are near copies of one another."""
+    import random
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    texts = []
+    for i in range(96):
+        words = [vocabulary[min(int(r.expovariate(0.005)), 2999)] for _ in range(300)] if i % 4 == 0 else list(r.choice(texts[-(i % 32) :]))
+        words[r.randrange(300)] = f"word{i}"
+        texts.append(words)
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, " ".join(t), "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(folder)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    assert rows(catalog.QUERIES["context_roundtrip"](spark, str(tmp_path)).toPandas()) == rows(c.execute(catalog.ORACLES["context_roundtrip"]).df())
